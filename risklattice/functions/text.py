@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Stop words of the title matcher.
 STOP_WORDS = (
@@ -44,7 +45,7 @@ def normalise_key(value: Column | str, mode: str = "alnum") -> Column:
     if mode not in ("alnum", "ascii", "words"):
         raise ValueError(f"unknown mode {mode!r}")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def fold(values: pd.Series) -> pd.Series:
         codes, uniques = pd.factorize(values)
         keys = [_key(u, mode) for u in uniques]
@@ -82,7 +83,7 @@ def containment(inner: Column, outer: Column) -> Column:
     return F.when(F.size(inner) > 0, share)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_blocks_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, 2M/(|a|+|b|) over the longest matching blocks.
 

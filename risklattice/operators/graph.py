@@ -124,25 +124,21 @@ def weighted_degree(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def page_rank(links: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
-    """Weighted PageRank over directed (src, dst, weight) rows.
+    """Weighted PageRank over directed (src, dst, weight) rows, normalised to sum one.
 
-    Each round is one join and one partial sum. Lineage is cut through the shared folder now and then.
+    Each round is one join and one partial sum. Mass lost at nodes without links is not handed back round by
+    round; scaling the result at the end has the same fixed point. Lineage is cut through the shared
+    folder now and then.
     """
     links = links.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
     out_weight = links.groupBy("src").agg(F.sum("weight").alias("total"))
     step = cut_lineage(links.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     nodes = cut_lineage(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct())
-    n = nodes.select(F.count(F.lit(1)).cast("double")).scalar()
-    ends = nodes.join(step.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("sink", F.lit(True))
-    nodes = nodes.join(ends, "node", "left").withColumn("sink", F.coalesce("sink", F.lit(False)))
-    rank = nodes.select("node", "sink", (F.lit(1.0) / n).alias("rank"))
+    rank = nodes.withColumn("rank", F.lit(1.0))
     for i in range(1, rounds + 1):
-        lost = rank.select(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).scalar()
-        got = step.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("in_rank"))
-        rank = nodes.join(got, "node", "left").select(
-            "node", "sink",
-            (F.lit(1 - damping) / n + F.lit(damping) * (F.coalesce("in_rank", F.lit(0.0)) + lost / n)).alias("rank"),
-        )
-        if i % cut_every == 0 and i < rounds:
+        got = step.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        rank = nodes.join(got, "node", "left").select("node", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        if i % cut_every == 0 or i == rounds:
             rank = cut_lineage(rank)
-    return rank.select("node", "rank")
+    whole = rank.select(F.sum("rank")).scalar()
+    return rank.withColumn("rank", F.col("rank") / whole)

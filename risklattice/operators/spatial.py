@@ -38,7 +38,10 @@ def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: C
     along = F.when(length > 0, ((px - x1) * dx + (py - y1) * dy) / length).otherwise(F.lit(0.0))
     along = F.greatest(F.least(along, F.lit(1.0)), F.lit(0.0))
     ex, ey = px - (x1 + along * dx), py - (y1 + along * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    # Rounding in the foot point must not lift a boundary point off the boundary.
+    on_line = (px - x1) * dy == (py - y1) * dx
+    on_segment = on_line & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
+    return F.when(on_segment, F.lit(0.0)).otherwise(F.sqrt(ex * ex + ey * ey))
 
 
 def locate(points: DataFrame, polygons: DataFrame, cell: float, tolerance: float = SNAP_TOLERANCE, x: str = "x", y: str = "y", code: str = "code") -> DataFrame:
@@ -149,7 +152,9 @@ def nearest_target(centroids: DataFrame, targets: DataFrame, cell: float, max_la
         spread = left.select("*", F.explode(around).alias("s")).select(
             area, x, y, (F.floor(F.col(x) / size) + F.col("s.i")).alias("cx"), (F.floor(F.col(y) / size) + F.col("s.j")).alias("cy")
         )
-        filed = goal.withColumn("cx", F.floor(F.col("tx") / size)).withColumn("cy", F.floor(F.col("ty") / size))
+        # Targets are also filed one turn east and west, so that the date line is no border.
+        turns = goal.withColumn("_turn", F.explode(F.array(F.lit(-360), F.lit(0), F.lit(360))))
+        filed = turns.withColumn("cx", F.floor((F.col("tx") + F.col("_turn")) / size)).withColumn("cy", F.floor(F.col("ty") / size))
         km = haversine_km(F.col(x), F.col(y), F.col("tx"), F.col("ty"))
         best = (
             spread.join(filed, ["cx", "cy"]).filter(F.col(area) != F.col("target"))

@@ -65,14 +65,11 @@ def group_profile(df: DataFrame, group: str, observed: str, predicted: str) -> D
 
 def concentration(totals: DataFrame, value: str, top: list[int], order: list[Column]) -> DataFrame:
     """Share held by the n largest groups, for each n. ``totals`` is one row per group, already summed."""
-    parts, whole = [], totals.select(F.sum(value)).scalar()
-    for n in top:
-        held = totals.orderBy(*order).limit(n).agg(F.sum(value).alias("held"))
-        parts.append(held.select(F.lit(n).alias("top"), ratio(F.col("held"), whole).alias("share")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    whole = totals.select(F.sum(value)).scalar()
+    # The largest groups, at most max(top) rows, are cut once; each n sums its part of them.
+    largest = totals.orderBy(*order).limit(max(top)).withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    spread = largest.withColumn("top", F.explode(F.array(*[F.lit(n) for n in top]))).filter(F.col("_rank") <= F.col("top"))
+    return spread.groupBy("top").agg(F.sum(value).alias("_held")).select("top", ratio(F.col("_held"), whole).alias("share"))
 
 
 def subset_share(df: DataFrame, inside: Column, value: Column) -> DataFrame:

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Declared columns and keys of the landing tables.
-AREAS = "pcode string, lga string, state string, rings array<array<array<double>>>"
+# Declared columns and keys of the landing tables. Points are lon/lat, shapes are rings.
+LGA = "lga_id string, lga_name string, state_name string, rings array<array<array<double>>>"
 INCIDENTS = (
-    "source_event_id string, event_date date, event_type string, sub_event_type string, actor1 string, actor2 string, "
-    "admin1 string, admin2 string, fatalities int, lon double, lat double, notes string, ingested_at timestamp"
+    "incident_id string, lga_id string, event_date date, event_type string, event_subtype string, actor1 string, "
+    "actor2 string, fatalities int, source string, source_scale string, notes string, lon double, lat double, ingested_at timestamp"
 )
 TEXT_MENTIONS = (
-    "id long, source string, published_at timestamp, body string, entities string, embedding array<float>, "
-    "sentiment double, pcode string"
+    "mention_id long, source string, published_at timestamp, lga_id string, raw_text string, entities string, "
+    "embedding array<float>, sentiment_score double, ingested_at timestamp"
 )
-WEEKLY_FEATURES = (
-    "pcode string, week_start date, actor_centrality double, festival boolean, operation boolean, nearby_event boolean, "
-    "event_count int, spatial_lag double, mention_count int, mean_sentiment double"
+FEATURES_WEEKLY = (
+    "lga_id string, week_start date, incident_count_7d int, actor_centrality double, festival_flag boolean, "
+    "military_ops_flag boolean, ransom_payment_nearby boolean, sentiment_score double, spatial_lag_risk double, "
+    "entity_mentions int, incident_prob_7d double"
 )
-KEYS = {"areas": ["pcode"], "incidents": ["source_event_id"], "text_mentions": ["id"], "weekly_features": ["pcode", "week_start"]}
+KEYS = {"lga": ["lga_id"], "incidents": ["incident_id"], "text_mentions": ["mention_id"], "features_weekly": ["lga_id", "week_start"]}
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:

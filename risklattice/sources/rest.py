@@ -34,7 +34,7 @@ class PagedReader(DataSourceReader):
         return out
 
     def read(self, part):
-        size, page = int(self.options.get("page_size", "5000")), 1
+        size, page = int(self.options.get("page_size", "500")), 1
         pause = float(self.options.get("pause", str(PAGE_PAUSE_SECONDS)))
         while True:
             rows = self.fetch(part.start, part.end, page, size, self.options)
