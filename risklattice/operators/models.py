@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from risklattice.functions.scalar import clip, log_odds, sigmoid
 from risklattice.operators.metrics import ranking_quality, recall_at_k
 from risklattice.operators.panel import complete_horizon, forward_label
+from risklattice.session import cut_lineage
 
 SPLITS = 3
 SMALLEST_SPLIT = 50
@@ -212,7 +213,7 @@ def recalibrate(df: DataFrame, probability: str, targets: DataFrame, group: str,
     input stays and the shift is null. Groups are few (horizons).
     """
     odds = log_odds(F.col("_p"), 1e-9)
-    cells = df.groupBy(group, F.col(probability).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = cut_lineage(df.groupBy(group, F.col(probability).alias("_p")).agg(F.count(F.lit(1)).alias("_n")))
     bounds = targets.select(group, "target", F.lit(-bracket).alias("_lo"), F.lit(bracket).alias("_hi"), F.lit(True).alias("_ok"))
     for i in range(passes):
         width = (F.col("_hi") - F.col("_lo")) / F.lit(float(grid))
@@ -315,7 +316,7 @@ def under_reporting_experiment(panel: DataFrame, weights: DataFrame, learner: Le
     """Model with and without inverse-detection weights per area (columns area, weight)."""
     from dataclasses import replace
 
-    weighted = panel.join(weights.select(area, "weight"), area)
+    weighted = cut_lineage(panel.join(weights.select(area, "weight"), area))
     return _stacked([
         evaluate(rolling_origin(weighted, replace(learner, weight=w), folds, test_weeks, last_step), ["fold"], k).withColumn("weighting", F.lit(name))
         for name, w in (("none", None), ("inverse detection", "weight"))

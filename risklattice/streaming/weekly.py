@@ -70,7 +70,7 @@ class TimeSinceLast(StatefulProcessor):
 
     State is one timestamp per area. The times of an area in one micro-batch are sorted before they are compared,
     eight bytes each; the trigger's intake limit bounds them. An event older than the last one seen reports no
-    gap. A timer clears an area after the longest gap.
+    gap. An event-time timer clears an area once the watermark is past the longest gap.
     """
 
     def __init__(self, forget_days: int = 3640):
@@ -91,7 +91,7 @@ class TimeSinceLast(StatefulProcessor):
         self.last.update((newest.to_pydatetime(),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.forget_ms)
+        self.handle.registerTimer(int(newest.timestamp() * 1000) + self.forget_ms)
         gap = (ts - before).dt.total_seconds() / 604_800
         yield pd.DataFrame({"area": [str(key[0])] * len(ts), "ts": ts, "weeks_since": gap})
 
@@ -106,4 +106,6 @@ class TimeSinceLast(StatefulProcessor):
 def time_since_last(events: DataFrame, area: str = "area", ts: str = "ts") -> DataFrame:
     """Stream of (area, ts, weeks_since). Needs the RocksDB state store."""
     rows = events.select(F.col(area).cast("string").alias("area"), F.col(ts).cast("timestamp").alias("ts"))
-    return rows.groupBy("area").transformWithStateInPandas(TimeSinceLast(), GAP_ROW, "append", "processingTime")
+    timed = rows.withWatermark("ts", LATENESS)
+    # Event time, not processing time: with processing-time timers a drained stream never ends.
+    return timed.groupBy("area").transformWithStateInPandas(TimeSinceLast(), GAP_ROW, "append", "eventTime", eventTimeColumnName="ts")
