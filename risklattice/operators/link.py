@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from risklattice.functions.text import containment, content_words
+from risklattice.session import cut_lineage
 
 LINK_THRESHOLD = 0.60
 
@@ -24,11 +25,13 @@ def find_duplicates(additional: DataFrame, main: DataFrame, block: list[str], ti
     * the surviving pairs are checked on the full word sets.
     """
     titles = additional.dropna(subset=block).select(*block, add_id, F.array_sort(content_words(title)).alias("_t"))
-    titles = titles.filter(F.size("_t") > 0).withColumn("_th", F.sha2(F.concat_ws(" ", "_t"), 256))
+    # Word sets are written once: cutting text into words costs more than reading them back three times.
+    # Empty sets are dropped afterwards, as a filter before would cut every text a second time.
+    titles = cut_lineage(titles.withColumn("_th", F.sha2(F.concat_ws(" ", "_t"), 256))).filter(F.size("_t") > 0)
     stories = main.dropna(subset=block).select(*block, main_id, F.array_sort(content_words(narrative)).alias("_n"))
-    stories = stories.filter(F.size("_n") > 0).withColumn("_nh", F.sha2(F.concat_ws(" ", "_n"), 256))
+    stories = stories.withColumn("_nh", F.sha2(F.concat_ws(" ", "_n"), 256))
     title_sets = titles.groupBy(*block, "_th").agg(F.first("_t").alias("_t"))
-    story_sets = stories.groupBy(*block, "_nh").agg(F.first("_n").alias("_n"), F.min(main_id).alias(main_id))
+    story_sets = cut_lineage(stories.groupBy(*block, "_nh").agg(F.first("_n").alias("_n"), F.min(main_id).alias(main_id))).filter(F.size("_n") > 0)
 
     in_block = story_sets.select(*block, F.explode("_n").alias("_w")).groupBy(*block, "_w").agg(F.count(F.lit(1)).alias("_df"))
     words = title_sets.select(*block, "_th", F.explode("_t").alias("_w"), F.size("_t").alias("_size"))
@@ -37,9 +40,10 @@ def find_duplicates(additional: DataFrame, main: DataFrame, block: list[str], ti
         "_rank", F.row_number().over(Window.partitionBy(*block, "_th").orderBy(F.coalesce("_df", F.lit(0)), "_w"))
     )
     need = F.ceil(F.col("_size") * F.lit(float(threshold)) - F.lit(1e-9))
-    probes = ranked.filter((F.col("_rank") <= F.col("_size") - need + 1) & F.col("_df").isNotNull()).select(*block, "_w", "_th")
-    postings = story_sets.select(*block, "_nh", F.explode("_n").alias("_w"))
-    pairs = probes.join(postings, block + ["_w"]).select(*block, "_th", "_nh").distinct()
+    probes = ranked.filter((F.col("_rank") <= F.col("_size") - need + 1) & F.col("_df").isNotNull()).select(*block, "_w", "_th", need.alias("_need"))
+    postings = story_sets.select(*block, "_nh", F.size("_n").alias("_have"), F.explode("_n").alias("_w"))
+    # A narrative with fewer words than must be shared cannot match.
+    pairs = probes.join(postings, block + ["_w"]).filter("_have >= _need").select(*block, "_th", "_nh").distinct()
     scored = (
         pairs.join(title_sets, block + ["_th"]).join(story_sets, block + ["_nh"])
         .withColumn("score", containment(F.col("_t"), F.col("_n"))).filter(F.col("score") >= threshold)

@@ -91,11 +91,11 @@ class Learner:
             fitted.scaler = Scaler.fit(train, self.features)
             train = fitted.scaler.apply(train)
         columns = [f"z_{c}" for c in self.features] if scaled else self.features
-        fitted.model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), self._stage(train)]).fit(train)
+        fitted.model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features"), self._stage(train)]).fit(train)
         return fitted
 
     def _stage(self, train: DataFrame):
-        common = {"featuresCol": "x", "labelCol": self.label}
+        common = {"featuresCol": "_features", "labelCol": self.label}
         if self.weight:
             common["weightCol"] = self.weight
         if self.kind == "logistic":
@@ -164,8 +164,8 @@ def poisson_stage(train: DataFrame, features: list[str], count: str = "events",
     scaler = Scaler.fit(positive, features)
     used = [c for c in features if scaler.std[c] > 0]
     stages = [
-        VectorAssembler(inputCols=[f"z_{c}" for c in used], outputCol="x2"),
-        GeneralizedLinearRegression(featuresCol="x2", labelCol="_extra", predictionCol="_mu", family="poisson", link="log", regParam=reg, maxIter=50),
+        VectorAssembler(inputCols=[f"z_{c}" for c in used], outputCol="_features2"),
+        GeneralizedLinearRegression(featuresCol="_features2", labelCol="_extra", predictionCol="_mu", family="poisson", link="log", regParam=reg, maxIter=50),
     ]
     return scaler, Pipeline(stages=stages).fit(scaler.apply(positive))
 

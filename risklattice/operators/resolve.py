@@ -36,21 +36,20 @@ def gazetteer_match(texts: DataFrame, gazetteer: DataFrame, row_id: str, group:
     """Longest place name of the declared group contained in a text field, fields in the given order.
 
     ``texts`` holds normalised fields; ``gazetteer`` has (name_key, group_key, code, place), each name already
-    resolved to one area. Containment becomes an equi-join: a name of at least ``shortest`` letters can only
-    occur where its first letters occur, so each text offers its distinct n-grams of that length. Every
-    text is read whole. Ties of equal length go to the earlier gazetteer place.
+    resolved to one area. Containment becomes an equi-join: at every position a text offers the letters that
+    start there, as many as the longest name has; the first ``shortest`` of them are the join key and the
+    rest settles the match. Texts are read whole, and they never travel: only short windows meet the
+    gazetteer. Ties of equal length go to the earlier gazetteer place.
     """
     n = shortest
     names = gazetteer.filter(F.length("name_key") >= n).withColumn("_gram", F.substring("name_key", 1, n))
+    # One number from the place dimension.
+    longest = names.agg(F.max(F.length("name_key"))).first()[0] or n
     tall = F.explode(F.array(*[F.struct(F.lit(i).alias("field_no"), F.col(f).alias("blob")) for i, f in enumerate(fields)]))
     blobs = texts.filter(F.col(group).isNotNull()).select(row_id, F.col(group).alias("group_key"), tall.alias("b")).select(row_id, "group_key", "b.field_no", "b.blob")
-    blobs = blobs.filter(F.length("blob") >= n)
-    starts = F.sequence(F.lit(1), F.length("blob") - (n - 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("blob"), i, n)))
-    hits = (
-        blobs.withColumn("_gram", F.explode(grams)).join(names, ["group_key", "_gram"])
-        .filter(F.contains("blob", "name_key"))
-    )
+    windows = F.regexp_extract_all("blob", F.lit(f"(?=(.{{{n},{longest}}}))"), F.lit(1))
+    starts = blobs.select(row_id, "group_key", "field_no", F.explode(F.array_distinct(windows)).alias("_w")).withColumn("_gram", F.substring("_w", 1, n))
+    hits = starts.join(names, ["group_key", "_gram"]).filter(F.startswith("_w", "name_key"))
     order = F.struct("field_no", (-F.length("name_key")).alias("len"), "place", "name_key")
     return first_value(hits.select(row_id, "field_no", "name_key", "place", "code"), [row_id], order, ["code", "name_key", "field_no"])
 

@@ -115,7 +115,11 @@ def adjacency(polygons: DataFrame, cell: float, tolerance: float = ADJACENCY_TOL
         point_segment_distance(b[0], b[1], *a), point_segment_distance(b[2], b[3], *a),
     )
     close = F.when(_segments_cross(a, b), F.lit(0.0)).otherwise(apart) <= tolerance
-    touching = left.join(right, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    # Boxes of the two segments first: cheap, and rules out nearly all pairs of a cell.
+    in_reach = (F.least(a[0], a[2]) - tolerance <= F.greatest(b[0], b[2])) & (F.least(b[0], b[2]) - tolerance <= F.greatest(a[0], a[2]))
+    in_reach = in_reach & (F.least(a[1], a[3]) - tolerance <= F.greatest(b[1], b[3])) & (F.least(b[1], b[3]) - tolerance <= F.greatest(a[1], a[3]))
+    candidates = left.join(right, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & in_reach)
+    touching = candidates.drop("cx", "cy").distinct().filter(close).select("a", "b").distinct()
     vertex = polygons.select(F.col(code).alias("owner"), F.get(F.get(F.get("rings", F.lit(0)), F.lit(0)), F.lit(0)).alias("px"), F.get(F.get(F.get("rings", F.lit(0)), F.lit(0)), F.lit(1)).alias("py"))
     by_row = segments(polygons, code).filter("y1 <> y2").select("*", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell).alias("row"))
     crossing = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))

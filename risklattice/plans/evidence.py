@@ -238,25 +238,25 @@ def _(spark, sf):
     return reconcile.candidate_state(table(spark, sf, "customer").select("c_custkey"), candidates, ["c_custkey"])
 
 
-# ---- duplicates between two sources of documents (sources src0-src9 and the rest), blocked by language
+# ---- duplicates between two sources of documents (sources src0-src9 and the rest), blocked by language and first word
 
 LINK_SQL = f"""
-w as (select doc_id, lang, regexp_matches(source, '^src[0-9]$') as is_main, {WORDS_SQL} as w from documents),
+w as (select doc_id, lang, string_split(text, ' ')[1] as opener, regexp_matches(source, '^src[0-9]$') as is_main, {WORDS_SQL} as w from documents),
 pr as (
   select a.doc_id as add_id, m.doc_id as main_id, len(list_intersect(a.w, m.w))::double / len(a.w) as score
-  from w a join w m on a.lang = m.lang and not a.is_main and m.is_main and len(a.w) > 0),
+  from w a join w m on a.lang = m.lang and a.opener = m.opener and not a.is_main and m.is_main and len(a.w) > 0),
 lk as (select add_id, arg_min(main_id, (-score, main_id)) as main_id, max(score) as score from pr where score >= 0.6 group by 1)"""
 
 
 def sources(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents").withColumn("opener", F.split("text", " ")[0])
     main = F.col("source").rlike("^src[0-9]$")
     return d.filter(main).withColumnRenamed("doc_id", "main_id"), d.filter(~main).withColumnRenamed("doc_id", "add_id")
 
 
 def linked(spark, sf):
     main, extra = sources(spark, sf)
-    return link.find_duplicates(extra, main, ["lang"], "text", "text")
+    return link.find_duplicates(extra, main, ["lang", "opener"], "text", "text")
 
 
 @query("J5_find_duplicates", f"with {LINK_SQL} select add_id, main_id, round(score, 6) as score from lk")
