@@ -111,14 +111,21 @@ class Learner:
         raise ValueError(f"unknown learner {self.kind!r}")
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        keep = df.columns
         if self.scaler:
-            df = self.scaler.apply(df)
-        return _probability(self.model.transform(df), name).select(*keep, name)
+            # A linear model is one expression over the columns: it stays inside generated code.
+            return df.withColumn(name, sigmoid(self.linear_part()))
+        return _probability(self.model.transform(df), name).select(*df.columns, name)
+
+    def linear_part(self) -> Column:
+        weights = self.coefficients()
+        return sum((self.scaler.column(c) * F.lit(w) for c, w in weights.items()), F.lit(self.intercept()))
 
     def coefficients(self) -> dict[str, float]:
         return dict(zip(self.features, (float(v) for v in self.model.stages[-1].coefficients)))
 
+    def intercept(self) -> float:
+        return float(self.model.stages[-1].intercept)
+
 
 @dataclass
 class Calibrated:
@@ -167,15 +174,16 @@ def poisson_stage(train: DataFrame, features: list[str], count: str = "events",
         VectorAssembler(inputCols=[f"z_{c}" for c in used], outputCol="_features2"),
         GeneralizedLinearRegression(featuresCol="_features2", labelCol="_extra", predictionCol="_mu", family="poisson", link="log", regParam=reg, maxIter=50),
     ]
-    return scaler, Pipeline(stages=stages).fit(scaler.apply(positive))
+    return scaler, used, Pipeline(stages=stages).fit(scaler.apply(positive))
 
 
 def severity(df: DataFrame, stage, probability: str = "score") -> DataFrame:
     """Events expected given any, and expected at all (probability x severity)."""
-    scaler, model = stage
-    out = model.transform(scaler.apply(df))
-    given = F.lit(1.0) + F.greatest(F.col("_mu"), F.lit(0.0))
-    return out.select(*df.columns, given.alias("severity"), (F.col(probability) * given).alias("expected"))
+    scaler, used, model = stage
+    fitted = model.stages[-1]
+    linear = sum((scaler.column(c) * F.lit(float(w)) for c, w in zip(used, fitted.coefficients)), F.lit(float(fitted.intercept)))
+    given = F.lit(1.0) + F.greatest(F.exp(linear), F.lit(0.0))
+    return df.select(*df.columns, given.alias("severity"), (F.col(probability) * given).alias("expected"))
 
 
 def stack(train: DataFrame, apply_to: DataFrame, bases: dict, inner: Column, calibrate_split: str | None = None, label: str = "y", weighted: bool = False):

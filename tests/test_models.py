@@ -83,7 +83,7 @@ def test_contributions_add_up(panel):
     m = models.Learner(["x", "z", "flat"]).fit(panel)
     long = models.contributions(panel, ["area", "t"], m.scaler, m.coefficients(), {"x": "both", "z": "both"})
     total = long.groupBy("area", "t").agg(F.sum("contribution").alias("c"))
-    scored = m.score(panel).join(total, ["area", "t"]).withColumn("p", sigmoid(F.col("c") + float(m.model.stages[-1].intercept)))
+    scored = m.score(panel).join(total, ["area", "t"]).withColumn("p", sigmoid(F.col("c") + m.intercept()))
     assert scored.agg(F.max(F.abs(F.col("p") - F.col("score")))).first()[0] < 1e-9
     top = models.top_drivers(long, ["area", "t"], 2).collect()
     assert all((r.value is None) == (r.n_features > 1) for r in top)

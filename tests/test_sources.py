@@ -54,18 +54,17 @@ def test_boundaries(spark, tmp_path, zipped):
     assert rows["A"].rings[0][1] == [1.0, 0.0]
 
 
-def fake_fetch(start, end, page, size, options):
-    total = 5 if start == "2020-01-01" else 4 if start == "2020-01-11" else 0
-    return [{"event_id": f"{start}-{i}", "event_date": start} for i in range((page - 1) * size, min(page * size, total))]
-
-
 def test_rest_pages(spark):
-    spark.dataSource.register(paged_source("paged_test", fake_fetch))
+    def fetch(start, end, page, size, options):
+        total = {"2020-01-01": 5, "2020-01-11": 4}.get(start, 0)
+        return [{"event_id": f"{start}-{i}", "event_date": start} for i in range((page - 1) * size, min(page * size, total))]
+
+    spark.dataSource.register(paged_source("paged_test", fetch))
     read = spark.read.format("paged_test").options(start="2020-01-01", end="2020-01-25", slice_days="10", page_size="2", pause="0")
-    df = read.options(user="u", key="k").load()
-    assert df.count() == 9 and df.select("event_id").distinct().count() == 9
     with pytest.raises(Exception, match="missing credentials"):
         read.load().count()
+    df = read.options(user="u", key="k").load()
+    assert df.count() == 9 and df.select("event_id").distinct().count() == 9
 
 
 def test_messages_and_fingerprints(spark, tmp_path):
