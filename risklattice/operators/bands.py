@@ -85,13 +85,8 @@ def comparable_anchor(weekly: DataFrame, reference_volume: Column, cap: int = AN
     )
 
 
-def band_list(spark) -> DataFrame:
-    return spark.createDataFrame([(b, i + 1) for i, b in enumerate(BANDS)], "band string, severity int")
-
-
 def band_profile(scored: DataFrame, keys: list[str] = [], label: str = "y", area: str = "area", week: str = "week") -> DataFrame:
     """Per band: areas per week, realised rate, multiple of base, share of events, areas ever; empty bands keep a row."""
-    spark = scored.sparkSession
     sums = scored.groupBy(*keys, "band").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos"), F.countDistinct(area).alias("areas_ever")
     )

@@ -48,7 +48,7 @@ def gazetteer_match(texts: DataFrame, gazetteer: DataFrame, row_id: str, group:
     tall = F.explode(F.array(*[F.struct(F.lit(i).alias("field_no"), F.col(f).alias("blob")) for i, f in enumerate(fields)]))
     blobs = texts.filter(F.col(group).isNotNull()).select(row_id, F.col(group).alias("group_key"), tall.alias("b")).select(row_id, "group_key", "b.field_no", "b.blob")
     windows = F.regexp_extract_all("blob", F.lit(f"(?=(.{{{n},{longest}}}))"), F.lit(1))
-    starts = blobs.select(row_id, "group_key", "field_no", F.explode(F.array_distinct(windows)).alias("_w")).withColumn("_gram", F.substring("_w", 1, n))
+    starts = blobs.select(row_id, "group_key", "field_no", F.explode(windows).alias("_w")).withColumn("_gram", F.substring("_w", 1, n))
     hits = starts.join(names, ["group_key", "_gram"]).filter(F.startswith("_w", "name_key"))
     order = F.struct("field_no", (-F.length("name_key")).alias("len"), "place", "name_key")
     return first_value(hits.select(row_id, "field_no", "name_key", "place", "code"), [row_id], order, ["code", "name_key", "field_no"])
