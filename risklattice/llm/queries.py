@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklattice.llm import html, lines, mixing, simhash, tokens, toxicity
+from risklattice.llm import html, lines, mixing, pii, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,14 @@ def op2(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op5_personal_data")
+def op5(spark, sf):
+    found = pii.find_personal_data(table(spark, sf, "documents"))
+    base = list(pii.PATTERNS)
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(base).cast("binary"), 256).alias("base_sha256"), pii.as_text([*base, "id"]).alias("spans"))
+
+
 @query("op6_line_dedup", lines.SQL)
 def op6(spark, sf):
     out = lines.dedup_lines(table(spark, sf, "documents"))
