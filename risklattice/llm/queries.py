@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklattice.llm import html, lines, mixing, pii, simhash, tokens, toxicity
+from risklattice.llm import chunks, decontaminate, html, lines, mixing, pii, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,16 @@ def op2(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op3_repeated_passages")
+def op3(spark, sf):
+    return chunks.repeated_passages(table(spark, sf, "documents"))
+
+
+@query("op4_decontaminate")
+def op4(spark, sf):
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op5_personal_data")
 def op5(spark, sf):
     found = pii.find_personal_data(table(spark, sf, "documents"))
