@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklattice.llm import chunks, decontaminate, html, lines, mixing, pii, simhash, tokens, toxicity
+from risklattice.llm import chunks, decontaminate, html, lines, mixing, neighbours, pii, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_neighbours")
+def op1(spark, sf):
+    found = neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 @query("op2_token_counts")
 def op2(spark, sf):
     import public_tokenizers
@@ -79,3 +85,10 @@ def op9(spark, sf):
 @query("op10_mixing", mixing.SQL)
 def op10(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
