@@ -39,11 +39,12 @@ def with_fold(df: DataFrame, last_step: Column, folds: int = 5, test_weeks: int
     return df.withColumn("fold", F.when((back >= 0) & (back < folds), F.lit(folds) - back))
 
 
-def anchors(df: DataFrame, kind: str, last_step: Column, folds: int = 5, test_weeks: int = 52, window: int = ANCHOR_WEEKS, step: str = "t", label: str = "y", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Base rate per fold: of the test block itself, of all training weeks, or of its last ``window`` weeks.
+def anchors(df: DataFrame, kind: str, last_step: Column, folds: int = 5, test_weeks: int = 52, window: int = ANCHOR_WEEKS, step: str = "t", label: str = "y", keys: tuple[str, ...] = (), horizon: int = 1) -> DataFrame:
+    """Base rate per fold: ``evaluation`` pools the test blocks of all folds, ``test_block`` is the fold's own, ``training`` takes
+    all training weeks and ``recent`` the last ``window`` of them.
 
     A labelled week belongs to each fold it can inform; weeks are summed first, so the fan-out to
-    folds touches one row per week. The recent anchor ends before the fold's first test week.
+    folds touches one row per week. Training and recent anchors use only labels whose ``horizon`` weeks end before the fold's first test week.
     """
     weekly = df.filter(F.col(label).isNotNull()).groupBy(*keys, step).agg(
         F.sum(F.col(label).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n")
@@ -51,10 +52,12 @@ def anchors(df: DataFrame, kind: str, last_step: Column, folds: int = 5, test_we
     spread = weekly.select("*", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))
     start = last_step + 1 - (F.lit(folds + 1) - F.col("fold")) * test_weeks
     t = F.col(step)
+    known = t + horizon - 1 < start
     keep = {
-        "evaluation": (t >= start) & (t < start + test_weeks),
-        "training": t < start,
-        "recent": (t < start) & (t >= start - window),
+        "evaluation": t > last_step - folds * test_weeks,
+        "test_block": (t >= start) & (t < start + test_weeks),
+        "training": known,
+        "recent": known & (t >= start - window),
     }[kind]
     return spread.filter(keep).groupBy(*keys, "fold").agg(ratio(F.sum("_pos"), F.sum("_n")).alias("anchor_rate"))
 

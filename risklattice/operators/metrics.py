@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risklattice.functions.scalar import clip, ratio
-from risklattice.operators.ranking import cell_quantiles, ranked_within, running_totals, score_cells, top_k
+from risklattice.operators.ranking import cell_quantiles, ordered_numbers, ranked_within, running_totals, score_cells, top_k
 
 
 def _confusion_cells(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -98,8 +98,8 @@ def confusion_at_k(df: DataFrame, keys: list[str], k: int, **cols) -> DataFrame:
 
 
 def weekly_flag(df: DataFrame, k: int, week: str = "week", area: str = "area", score: str = "score", keys: list[str] = []) -> DataFrame:
-    """Weekly rank, first key first among ties, with a flag on the top k."""
-    ranked = ranked_within(df, keys + [week], [F.col(score).desc(), F.col(area).asc()])
+    """Weekly rank, first key first among ties, with a flag on the top k; a week's areas are numbered over all tasks."""
+    ranked = ordered_numbers(df.withColumn("_down", -F.col(score)), keys + [week], ["_down", area], "rank").drop("_down")
     return ranked.withColumn("flagged", F.col("rank") <= k)
 
 
@@ -107,7 +107,7 @@ def calibration(df: DataFrame, keys: list[str], bins: int = 10, score: str = "sc
     """Mean predicted against observed in quantile bins of the score.
 
     Ties stay together and repeated edges merge, so there may be fewer bins. Edges are one array per
-    group and therefore small enough to send everywhere.
+    group.
     """
     if not keys:
         return calibration(df.withColumn("_all", F.lit(0)), ["_all"], bins, score, label).drop("_all")
@@ -115,7 +115,7 @@ def calibration(df: DataFrame, keys: list[str], bins: int = 10, score: str = "sc
     cells = running_totals(score_cells(df, keys, score, sums), keys, ["n"], descending=False)
     edges = cell_quantiles(cells, keys, [i / bins for i in range(bins + 1)])
     inner = F.slice(F.array_distinct("edges"), 2, bins)
-    binned = cells.join(F.broadcast(edges), keys).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("score"))))
+    binned = cells.join(edges, keys).withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("score"))))
     return binned.groupBy(*keys, "bin").agg(
         F.sum("n").alias("rows"),
         (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("predicted"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from risklattice.functions.scalar import clip, log_odds, sigmoid
 from risklattice.operators.metrics import ranking_quality, recall_at_k
 from risklattice.operators.panel import complete_horizon, forward_label
+from risklattice.operators.ranking import ordered_numbers
 from risklattice.session import cut_lineage
 
 SPLITS = 3
@@ -58,8 +59,9 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
 
 
 def dense_code(keys: DataFrame, key: str, name: str = "code") -> DataFrame:
-    """Integer code from 0 by key order. ``keys`` is the area dimension: one row per area, never per event."""
-    return keys.select(key).distinct().withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1)
+    """Integer code from 0 by key order, numbered over all tasks."""
+    placed = ordered_numbers(keys.select(key).distinct(), [], [key], "_place")
+    return placed.select(key, (F.col("_place") - 1).cast("int").alias(name))
 
 
 def area_split(df: DataFrame, area: str = "area", splits: int = SPLITS, name: str = "split") -> DataFrame:
@@ -225,7 +227,7 @@ def recalibrate(df: DataFrame, probability: str, targets: DataFrame, group: str,
     bounds = targets.select(group, "target", F.lit(-bracket).alias("_lo"), F.lit(bracket).alias("_hi"), F.lit(True).alias("_ok"))
     for i in range(passes):
         width = (F.col("_hi") - F.col("_lo")) / F.lit(float(grid))
-        joined = cells.join(F.broadcast(bounds), group)
+        joined = cells.join(bounds, group)
         means = [
             (F.sum(F.col("_n") * sigmoid(odds + F.col("_lo") + width * k)) / F.sum("_n")).alias(f"_m{k}") for k in range(grid + 1)
         ]
@@ -236,7 +238,7 @@ def recalibrate(df: DataFrame, probability: str, targets: DataFrame, group: str,
         bounds = got.select(group, "target", reach.alias("_ok"), (F.col("_lo") + width * at).alias("_lo2"), (F.col("_lo") + width * (at + 1)).alias("_hi2")).withColumnsRenamed({"_lo2": "_lo", "_hi2": "_hi"})
     shift = bounds.select(group, "target", F.when(F.col("_ok"), (F.col("_lo") + F.col("_hi")) / 2).alias("shift"))
     moved = sigmoid(log_odds(F.col(probability), 1e-9) + F.col("shift"))
-    return df.join(F.broadcast(shift), group).withColumn("recalibrated", F.coalesce(moved, F.col(probability)))
+    return df.join(shift, group).withColumn("recalibrated", F.coalesce(moved, F.col(probability)))
 
 
 def contributions(df: DataFrame, keys: list[str], scaler: Scaler, weights: dict[str, float], families: dict[str, str] = DRIVER_FAMILY) -> DataFrame:

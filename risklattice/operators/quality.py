@@ -59,10 +59,10 @@ def expectations(computed: DataFrame, stated: dict[str, float], tolerance: float
 
 
 def require(checks: DataFrame) -> None:
-    """Raise with the failed rows. A check table has one row per expectation."""
-    failed = checks.filter(~F.col("ok")).limit(20).collect()
+    """Raise with every failed row and their number. A check table has one row per stated expectation, so it is small."""
+    failed = checks.filter(~F.coalesce("ok", F.lit(False))).collect()
     if failed:
-        raise AssertionError("; ".join(f"{r['label']}: stated {r['stated']}, computed {r['computed']}" for r in failed))
+        raise AssertionError(f"{len(failed)} failed: " + "; ".join(f"{r['label']}: stated {r['stated']}, computed {r['computed']}" for r in failed))
 
 
 def non_finite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,13 +74,15 @@ def non_finite(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # Figures worth tracing, and those too common to trace. Fixed values.
-FIGURE = r"((?<![\d.\w])\d+(?:[.,]\d+)+|(?<![\d.\w])\d{3,})"
+FIGURE = r"((?<![\d.\w])\d+(?:[.,]\d+)+|(?<![\d.\w])\d{3,}|(?<![\d.\w])\d+(?=\s*per cent))"
 COMMON_FIGURES = ["5", "20", "52", "42", "2", "4", "14", "28", "7"]
 
 
-def figures(texts: DataFrame, doc: str, text: str, pattern: str = FIGURE, skip: list[str] = COMMON_FIGURES) -> DataFrame:
-    """Distinct numbers of each text, without years and the listed common ones."""
-    found = texts.select(doc, F.explode(F.expr(f"regexp_extract_all({text}, r'{pattern}', 1)")).alias("figure"))
+def figures(texts: DataFrame, doc: str, text: str, pattern: str | list[str] = FIGURE, skip: list[str] = COMMON_FIGURES) -> DataFrame:
+    """Distinct numbers of each text, without years and the listed common ones. Several patterns are taken together."""
+    patterns = [pattern] if isinstance(pattern, str) else pattern
+    hits = [F.expr(f"regexp_extract_all({text}, r'{p}', 1)") for p in patterns]
+    found = texts.select(doc, F.explode(F.concat(*hits)).alias("figure"))
     year = F.regexp_replace("figure", ",", "").rlike("^(19|20)[0-9][0-9]$")
     return found.filter(~year & ~F.col("figure").isin(skip)).distinct()
 
@@ -123,10 +125,13 @@ def letter_suffixes(entries: DataFrame, key: str, order: list[str], name: str =
     """
     shared = entries.groupBy(key).agg((F.count(F.lit(1)) > 1).alias("_shared"))
     placed = ordered_numbers(entries, [key], order, "_n").join(shared, key)
-    letter = lambda n: F.chr(F.lit(97) + n)
-    i = F.col("_n") - 1
-    two = F.concat(letter(F.floor((i - 26) / 26)), letter((i - 26) % 26))
-    text = F.when(i < 26, letter(i)).when(i < 702, two).otherwise(F.col("_n").cast("string"))
+    # Names of k letters follow the (26 ** k - 26) / 25 shorter ones; the rest in base 26 gives the letters.
+    shorter = lambda k: (26**k - 26) // 25
+    letters = sum(((F.col("_n") > shorter(k)).cast("int") for k in range(2, 14)), F.lit(1))
+    rest = F.col("_n") - 1 - F.element_at(F.array(*[F.lit(shorter(k)).cast("long") for k in range(1, 14)]), letters)
+    powers = F.array(*[F.lit(26**k).cast("long") for k in range(13)])
+    digit = lambda k: F.call_function("mod", F.call_function("div", rest, F.element_at(powers, k)), F.lit(26))
+    text = F.array_join(F.transform(F.sequence(letters, F.lit(1)), lambda k: F.chr(F.lit(97) + digit(k))), "")
     return placed.withColumn(name, F.when(F.col("_shared"), text).otherwise(F.lit(""))).drop("_n", "_shared")
 
 

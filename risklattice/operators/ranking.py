@@ -27,7 +27,7 @@ def running_totals(cells: DataFrame, keys: list[str], sums: list[str], descendin
     holding more than ``piece_rows`` cells). Piece totals are few, so their prefix is a small window;
     it is added to a window inside each piece. ``keys`` are few groups (models, folds), not areas.
     Band statistics number below 100,000 per group and piece totals below that plus
-    cells / ``piece_rows``; both are small beside the cells, so they go to every task.
+    cells / ``piece_rows``; whether they are small enough to send to every task is left to Spark, which checks.
     """
     band = F.floor(F.asinh(F.col("score") * 1e6) * 64).cast("long")
     banded = cells.withColumn("_band", band)
@@ -36,7 +36,7 @@ def running_totals(cells: DataFrame, keys: list[str], sums: list[str], descendin
     )
     pieces = F.ceil(F.col("_n") / F.lit(float(piece_rows)))
     place = F.coalesce(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = banded.join(F.broadcast(stats), keys + ["_band"]).withColumn(
+    placed = banded.join(stats, keys + ["_band"]).withColumn(
         "_piece", F.least(F.floor(place * pieces), pieces - 1).cast("long")
     ).drop("_lo", "_hi", "_n")
 
@@ -51,7 +51,7 @@ def running_totals(cells: DataFrame, keys: list[str], sums: list[str], descendin
         *[F.sum(c).over(Window.partitionBy(*group)).alias(f"all_{c}") for c in sums],
     )
     inside = Window.partitionBy(*keys, "_band", "_piece").orderBy(way("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(starts), keys + ["_band", "_piece"])
+    out = placed.join(starts, keys + ["_band", "_piece"])
     out = out.withColumns({f"cum_{c}": F.col(f"_pre_{c}") + F.sum(c).over(inside) for c in sums})
     return out.drop("_band", "_piece", *[f"_pre_{c}" for c in sums])
 

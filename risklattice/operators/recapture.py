@@ -30,7 +30,9 @@ def detection(events: DataFrame, main: str, other: str, groups: DataFrame, days:
     """Chapman estimate and detection rate per group and pooled (group null).
 
     Cells are (area, day). With ``days`` = 0 a cell seen by both sources is one aggregated row. Otherwise
-    main cells count as matched when the other source has a cell nearby; every distinct cell stays observed.
+    cells of the other source count as matched when the main source has a cell nearby, so matches never outnumber its
+    records; every distinct cell stays observed. Areas of no group form one more group with a null name, told
+    from the pooled row by ``pooled``. Detection is null where the estimate is not above zero.
     """
     cells = source_cells(events.filter(F.col(source).isin(main, other)), [area, day], source)
     seen = cells.groupBy(area, day).agg(
@@ -39,16 +41,16 @@ def detection(events: DataFrame, main: str, other: str, groups: DataFrame, days:
     if days == 0:
         seen = seen.withColumn("matched", F.col("in_main") * F.col("in_other"))
     else:
-        near = shared_within(seen.filter("in_main = 1").select(area, day), seen.filter("in_other = 1"), days, area, day)
+        near = shared_within(seen.filter("in_other = 1").select(area, day), seen.filter("in_main = 1"), days, area, day)
         seen = seen.join(near.withColumn("matched", F.lit(1)), [area, day], "left").na.fill(0, ["matched"])
-    located = seen.join(groups.select(area, group), area)
+    located = seen.join(groups.select(area, group), area, "left")
     sums = located.rollup(group).agg(
         F.sum("in_main").alias("n_main"), F.sum("in_other").alias("n_other"), F.sum("matched").alias("matched"),
         F.count(F.lit(1)).alias("observed"), F.grouping(group).alias("pooled"),
     )
     chapman = (F.col("n_main") + 1).cast("double") * (F.col("n_other") + 1) / (F.col("matched") + 1) - 1
     return sums.withColumn("estimate", chapman).withColumns({
-        "detection": F.least(ratio(F.col("observed"), F.col("estimate")), F.lit(1.0)),
+        "detection": F.when(F.col("estimate") > 0, F.least(ratio(F.col("observed"), F.col("estimate")), F.lit(1.0))),
         "reliable": F.col("matched") >= RELIABLE_MATCHES,
     })
 

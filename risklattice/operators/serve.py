@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from risklattice.operators.ranking import ordered_numbers
 from risklattice.operators.bands import band_index
 
 
@@ -28,8 +29,8 @@ def choose(df: DataFrame, **wanted) -> DataFrame:
 
 
 def ranked_by_horizon(forecast: DataFrame, p: str = "probability", horizon: str = "horizon_days", area: str = "area") -> DataFrame:
-    """Rank inside each horizon, 1 = highest."""
-    return forecast.withColumn("rank", F.row_number().over(Window.partitionBy(horizon).orderBy(F.col(p).desc(), F.col(area))))
+    """Rank inside each horizon, 1 = highest; a horizon's areas are numbered over all tasks."""
+    return ordered_numbers(forecast.withColumn("_down", -F.col(p)), [horizon], ["_down", area], "rank").drop("_down")
 
 
 def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
@@ -49,7 +50,7 @@ def band_shift(forecast: DataFrame, keep: list[str], first: int = 7, last: int =
     wide = wide.withColumnsRenamed({f"{h}_{c}": f"{c}_{h}" for h in horizons for c in ("band", "rank")})
     a, b = band_index(F.col(f"band_{first}")), band_index(F.col(f"band_{last}"))
     direction = F.when(b > a, f"rises by {last} days").otherwise(f"falls by {last} days")
-    return wide.filter(a != b).withColumn("direction", direction)
+    return wide.filter(a != b).withColumn("direction", direction).orderBy(f"rank_{first}")
 
 
 def recent_rows(events: DataFrame, area: str, day: str, newest: Column, weeks: int, order: list[Column], n: int) -> DataFrame:

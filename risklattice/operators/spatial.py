@@ -99,8 +99,8 @@ def _segments_cross(a: list[Column], b: list[Column]) -> Column:
 def adjacency(polygons: DataFrame, cell: float, tolerance: float = ADJACENCY_TOLERANCE, code: str = "code") -> DataFrame:
     """Pairs (a < b) of polygons at most ``tolerance`` apart.
 
-    Boundary segments meet only inside a shared cell; identical segments of one polygon are filed once. A polygon
-    wholly within another is found by locating its first vertex.
+    Boundary segments meet only inside a shared cell; identical segments of one polygon are filed once. A polygon of which a
+    part lies within another is found by locating one vertex of each of its rings.
     """
     halo = F.lit(tolerance / 2)
     segs = segments(polygons, code).select(
@@ -120,13 +120,14 @@ def adjacency(polygons: DataFrame, cell: float, tolerance: float = ADJACENCY_TOL
     in_reach = in_reach & (F.least(a[1], a[3]) - tolerance <= F.greatest(b[1], b[3])) & (F.least(b[1], b[3]) - tolerance <= F.greatest(a[1], a[3]))
     candidates = left.join(right, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & in_reach)
     touching = candidates.drop("cx", "cy").distinct().filter(close).select("a", "b").distinct()
-    vertex = polygons.select(F.col(code).alias("owner"), F.get(F.get(F.get("rings", F.lit(0)), F.lit(0)), F.lit(0)).alias("px"), F.get(F.get(F.get("rings", F.lit(0)), F.lit(0)), F.lit(1)).alias("py"))
+    rings = polygons.select(F.col(code).alias("owner"), F.posexplode("rings").alias("ring", "_r")).filter(F.size("_r") > 0)
+    vertex = rings.select("owner", "ring", F.get(F.get("_r", F.lit(0)), F.lit(0)).alias("px"), F.get(F.get("_r", F.lit(0)), F.lit(1)).alias("py"))
     by_row = segments(polygons, code).filter("y1 <> y2").select("*", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell).alias("row"))
     crossing = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
     at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     within = (
         vertex.withColumn("row", F.floor(F.col("py") / cell)).join(by_row, "row").filter((F.col("owner") != F.col(code)) & crossing & (F.col("px") < at))
-        .groupBy("owner", code).agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1")
+        .groupBy("owner", "ring", code).agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1")
         .select(F.least("owner", code).alias("a"), F.greatest("owner", code).alias("b"))
     )
     return touching.union(within).distinct()
@@ -138,36 +139,38 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return F.lit(2 * 6371.0088) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def nearest_target(centroids: DataFrame, targets: DataFrame, cell: float, max_latitude: float = 60.0, area: str = "area", x: str = "x", y: str = "y") -> DataFrame:
-    """Nearest target centroid in km for each area (itself excluded), exact, by widening grid rings.
+def nearest_target(centroids: DataFrame, targets: DataFrame, cell: float, area: str = "area", x: str = "x", y: str = "y") -> DataFrame:
+    """Nearest target centroid in km for each area (itself excluded), exact anywhere on the globe, by widening grid rings.
 
-    Each round files the targets on a grid twice as coarse and lets open areas look at the 3 x 3 cells around.
-    Anything further off is at least one cell away, so a best distance below that is final. Rounds
-    are written to the shared folder, since each one narrows the next.
+    Places become points of the unit sphere, where the straight distance grows with the distance along the ground and neither
+    poles nor the date line are borders. Each round files the targets on a 3-D grid twice as coarse (``cell`` degrees at first) and lets open
+    areas look at the 27 cells around. Anything further off is at least one cell away, so a best distance below that is final.
+    Rounds are written to the shared folder, since each one narrows the next.
     """
     import math
 
-    left = centroids.select(area, x, y)
-    goal = targets.select(F.col(area).alias("target"), F.col(x).alias("tx"), F.col(y).alias("ty"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    size, found = cell, None
+    def sphere(df: DataFrame, prefix: str) -> DataFrame:
+        lon, lat = F.radians(F.col(f"{prefix}x")), F.radians(F.col(f"{prefix}y"))
+        return df.withColumns({f"{prefix}1": F.cos(lat) * F.cos(lon), f"{prefix}2": F.cos(lat) * F.sin(lon), f"{prefix}3": F.sin(lat)})
+
+    left = sphere(centroids.select(area, F.col(x).alias("ax"), F.col(y).alias("ay")), "a")
+    goal = sphere(targets.select(F.col(area).alias("target"), F.col(x).alias("tx"), F.col(y).alias("ty")), "t")
+    steps = [F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias(f"s{k}") for k in (1, 2, 3)]
+    size, found = math.radians(cell), None
     while True:
-        last = size > 360
-        spread = left.select("*", F.explode(around).alias("s")).select(
-            area, x, y, (F.floor(F.col(x) / size) + F.col("s.i")).alias("cx"), (F.floor(F.col(y) / size) + F.col("s.j")).alias("cy")
-        )
-        # Targets are also filed one turn east and west, so that the date line is no border.
-        turns = goal.withColumn("_turn", F.explode(F.array(F.lit(-360), F.lit(0), F.lit(360))))
-        filed = turns.withColumn("cx", F.floor((F.col("tx") + F.col("_turn")) / size)).withColumn("cy", F.floor(F.col("ty") / size))
-        km = haversine_km(F.col(x), F.col(y), F.col("tx"), F.col("ty"))
+        last = size >= 2
+        spread = left.select("*", steps[0]).select("*", steps[1]).select("*", steps[2])
+        spread = spread.select(area, "ax", "ay", "a1", "a2", "a3", *[(F.floor(F.col(f"a{k}") / size) + F.col(f"s{k}")).alias(f"c{k}") for k in (1, 2, 3)])
+        filed = goal.select("*", *[F.floor(F.col(f"t{k}") / size).alias(f"c{k}") for k in (1, 2, 3)])
+        km = haversine_km(F.col("ax"), F.col("ay"), F.col("tx"), F.col("ty"))
+        chord = F.sqrt(sum((F.col(f"a{k}") - F.col(f"t{k}")) * (F.col(f"a{k}") - F.col(f"t{k}")) for k in (1, 2, 3)))
         best = (
-            spread.join(filed, ["cx", "cy"]).filter(F.col(area) != F.col("target"))
-            .groupBy(area).agg(F.min(F.struct(km.alias("km"), F.col("target"))).alias("b")).select(area, "b.km", "b.target")
+            spread.join(filed, ["c1", "c2", "c3"]).filter(F.col(area) != F.col("target"))
+            .groupBy(area).agg(F.min(F.struct(km.alias("km"), F.col("target"), chord.alias("chord"))).alias("b")).select(area, "b.km", "b.target", "b.chord")
         )
         if not last:
-            # A degree is never shorter than this at the latitudes covered.
-            best = best.filter(F.col("km") <= size * 110.0 * math.cos(math.radians(max_latitude)) * 0.95)
-        best = cut_lineage(best)
+            best = best.filter(F.col("chord") <= size * (1 - 1e-9))
+        best = cut_lineage(best.drop("chord"))
         found = best if found is None else found.unionByName(best)
         left = cut_lineage(left.join(best.select(area), area, "left_anti"))
         if last or left.isEmpty():

@@ -12,8 +12,9 @@ from risklattice.operators.ranking import exact_quantiles, previous_value
 def frequency(df: DataFrame, keys: list[str], within: list[str] = []) -> DataFrame:
     """Rows per key and share of the total (or of the ``within`` group); counted first, shared after."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(*(within or [F.lit(0)]))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(whole))
+    if not within:
+        return counts.withColumn("share", F.col("n") / df.select(F.count(F.lit(1))).scalar())
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
 
 
 def pivot_count(df: DataFrame, row: str, column: str, values: list) -> DataFrame:

@@ -28,7 +28,7 @@ def raw_orders(spark, sf):
 
 
 def general_log(spark, sf):
-    raw = raw_orders(spark, sf).filter("o_orderstatus = 'F'")
+    raw = raw_orders(spark, sf).filter("o_orderstatus <> 'O'")
     return conform.general_events(raw.select(
         F.col("day").alias("Date of Incident"), F.col("t1").alias("Incident Type"), F.col("t2").alias("Incident Type 2"),
         F.col("c_mktsegment").alias("State"), F.col("c_name").alias("Local Govt Area"), F.lit(None).cast("string").alias("Location"),
@@ -53,7 +53,7 @@ g as (
     o_totalprice as deaths, cast(null as double) as kidnapped, cast(null as varchar) as perpetrator, 'main' as source_file,
     lower(trim(t2)) in ('banditry', 'kidnap incident') as is_target,
     case when lower(trim(t2)) in ('banditry', 'kidnap incident') then lower(trim(t2)) else 'other' end as category,
-    lower(trim(t1)) = 'gsf operation' as is_operation from raw where o_orderstatus = 'F'),
+    lower(trim(t1)) = 'gsf operation' as is_operation from raw where o_orderstatus <> 'O'),
 s as (
   select cast(day as date) as date, c_mktsegment as state_raw, c_name as lga_raw, cast(null as double) as latitude, cast(null as double) as longitude,
     cast(null as double) as deaths, o_totalprice as kidnapped, c_mktsegment as perpetrator, 'additional' as source_file, true as is_target,
@@ -232,9 +232,9 @@ def _(spark, sf):
     return reconcile.attach_counts(table(spark, sf, "customer").select("c_custkey"), counts, ["c_custkey"])
 
 
-@query("J23_candidate_state", "select c_custkey, coalesce(n, 0) as candidates, case when n is null then 'missing' when n = 1 then 'resolved' else 'ambiguous' end as state from customer left join (select o_custkey, count(*) as n from orders where o_totalprice > 300000 group by 1) on o_custkey = c_custkey")
+@query("J23_candidate_state", "select c_custkey, coalesce(n, 0) as candidates, case when n is null then 'missing' when n = 1 then 'resolved' else 'ambiguous' end as state from customer left join (select o_custkey, count(*) as n from orders group by 1) on o_custkey = c_custkey")
 def _(spark, sf):
-    candidates = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    candidates = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return reconcile.candidate_state(table(spark, sf, "customer").select("c_custkey"), candidates, ["c_custkey"])
 
 
@@ -385,11 +385,11 @@ def _(spark, sf):
 
 
 @query("D12_nearest_target", """
-with c as (select c_custkey as area, (c_custkey * 13 % 350 - 175)::double as x, (c_custkey * 7 % 110 - 55)::double as y, c_acctbal from customer),
+with c as (select c_custkey as area, (c_custkey * 13 % 350 - 175)::double as x, (c_custkey * 7 % 179 - 89)::double as y, c_acctbal from customer),
 k as (
   select a.area, 2 * 6371.0088::double * asin(sqrt(least(1, power(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * power(sin(radians(b.x - a.x) / 2), 2)))) as km
   from c a join c b on a.area <> b.area and b.c_acctbal > 9500)
 select area, round(min(km), 4) as km from k group by area""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("area"), (F.col("c_custkey") * 13 % 350 - 175).cast("double").alias("x"), (F.col("c_custkey") * 7 % 110 - 55).cast("double").alias("y"), "c_acctbal")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("area"), (F.col("c_custkey") * 13 % 350 - 175).cast("double").alias("x"), (F.col("c_custkey") * 7 % 179 - 89).cast("double").alias("y"), "c_acctbal")
     return spatial.nearest_target(c, c.filter("c_acctbal > 9500"), 5.0).select("area", r("km", 4).alias("km"))

@@ -141,7 +141,7 @@ lastt as (select max(t) as m from tall),
 one as (select t, y from tall where model = 'long_run'),
 fs as (select f as fold, (select m from lastt) + 1 - (6 - f) * 52 as s from (select unnest([1, 2, 3, 4, 5]) as f)),
 ank as (
-  select fold, avg(y) filter (t >= s and t < s + 52) as evaluation, avg(y) filter (t < s) as training,
+  select fold, avg(y) filter (t > (select m from lastt) - 260) as evaluation, avg(y) filter (t < s) as training,
          avg(y) filter (t < s and t >= s - 52) as recent
   from fs cross join one group by fold)"""
 
@@ -354,44 +354,49 @@ def _(spark, sf):
     return serve.selected_or_first(serve.choose(forecast(spark, sf), horizon_days=7), "area", 7, ["rank"]).select("area", "band", F.col("rank").cast("long").alias("rank"))
 
 
-# ---- capture-recapture on order status F and O as two sources of one event stream
+# ---- capture-recapture of target events: orders of status O are one source, all others the main one
 
 RECAPTURE = EV + """,
-cells as (select area, grp, day, max((source = 'F')::int) as a, max((source = 'O')::int) as b from ev where source in ('F', 'O') group by 1, 2, 3),
+cells as (select area, grp, day, max((source <> 'O')::int) as a, max((source = 'O')::int) as b from ev where is_target group by 1, 2, 3),
 det as (
   select grp, grouping(grp) as pooled, cast(sum(a) as bigint) as n_main, cast(sum(b) as bigint) as n_other, cast(sum(a * b) as bigint) as matched, count(*) as observed
   from cells group by rollup (grp)),
 dd as (select *, (n_main + 1)::double * (n_other + 1) / (matched + 1) - 1 as estimate, matched >= 5 as reliable from det)"""
 
 
+def two_sources(spark, sf):
+    other = F.col("source") == "O"
+    return events(spark, sf).filter("is_target").withColumn("source", F.when(other, "O").otherwise("F"))
+
+
 @query("A30_detection", f"with {RECAPTURE} select grp, n_main, n_other, matched, observed, round(estimate, 4) as estimate, round(least(observed / estimate, 1), 6) as detection, reliable from dd")
 def _(spark, sf):
-    d = recapture.detection(events(spark, sf), "F", "O", areas(spark, sf))
+    d = recapture.detection(two_sources(spark, sf), "F", "O", areas(spark, sf))
     return d.select("grp", "n_main", "n_other", "matched", "observed", r("estimate", 4).alias("estimate"), r("detection").alias("detection"), "reliable")
 
 
-@query("A30_detection_tolerance", f"with {RECAPTURE}, m as (select c.*, (a = 1 and exists (select 1 from cells z where z.area = c.area and z.b = 1 and abs(z.day - c.day) <= 2))::int as hit from cells c) select grp, cast(sum(hit) as bigint) as matched, count(*) as observed, round(least(count(*) / ((sum(a) + 1)::double * (sum(b) + 1) / (sum(hit) + 1) - 1), 1), 6) as detection from m group by rollup (grp)")
+@query("A30_detection_tolerance", f"with {RECAPTURE}, m as (select c.*, (b = 1 and exists (select 1 from cells z where z.area = c.area and z.a = 1 and abs(z.day - c.day) <= 2))::int as hit from cells c) select grp, cast(sum(hit) as bigint) as matched, count(*) as observed, round(least(count(*) / ((sum(a) + 1)::double * (sum(b) + 1) / (sum(hit) + 1) - 1), 1), 6) as detection from m group by rollup (grp)")
 def _(spark, sf):
-    d = recapture.detection(events(spark, sf), "F", "O", areas(spark, sf), days=2)
+    d = recapture.detection(two_sources(spark, sf), "F", "O", areas(spark, sf), days=2)
     return d.select("grp", "matched", "observed", r("detection").alias("detection"))
 
 
 @query("A31_detection_weights", f"with {RECAPTURE}, o as (select grp, least(observed / estimate, 1) as d from dd where pooled = 0 and reliable), p as (select least(observed / estimate, 1) as d from dd where pooled = 1), w as (select n_nationkey as area, 1 / coalesce(o.d, p.d) as raw from nation left join o on o.grp = n_regionkey cross join p) select area, round(raw, 6) as raw_weight, round(raw / avg(raw) over (), 6) as weight from w")
 def _(spark, sf):
-    d = recapture.detection(events(spark, sf), "F", "O", areas(spark, sf))
+    d = recapture.detection(two_sources(spark, sf), "F", "O", areas(spark, sf))
     return recapture.detection_weights(areas(spark, sf).select("area", "grp"), d).select("area", r("raw_weight").alias("raw_weight"), r("weight").alias("weight"))
 
 
 @query("J16_shared_within", f"with {RECAPTURE} select area, day from cells c where a = 1 and exists (select 1 from cells z where z.area = c.area and z.b = 1 and abs(z.day - c.day) <= 1)")
 def _(spark, sf):
-    ev = events(spark, sf)
+    ev = two_sources(spark, sf)
     one = lambda s: ev.filter(F.col("source") == s).select("area", "day").distinct()
     return recapture.shared_within(one("F"), one("O"), 1)
 
 
 @query("U3_cell_overlap", f"with {RECAPTURE} select count(*) filter (a = 1 and b = 1) as in_both, count(*) as in_either from cells")
 def _(spark, sf):
-    ev = events(spark, sf)
+    ev = two_sources(spark, sf)
     return recapture.cell_overlap(*[ev.filter(F.col("source") == s).select("area", "day") for s in ("F", "O")])
 
 

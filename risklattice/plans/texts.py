@@ -10,32 +10,39 @@ from risklattice.plans.base import EV, areas, dense_events, events, features, me
 
 FIGURE_SQL = r"regexp_extract_all(' ' || text, '(?:^|[^0-9.A-Za-z_])([0-9]+(?:[.,][0-9]+)+|[0-9]{3,})', 1)"
 # RE2 has no look-behind; the boundary is consumed instead, in both engines alike.
-FIGURE_PATTERN = "(?:^|[^0-9.A-Za-z_])([0-9]+(?:[.,][0-9]+)+|[0-9]{3,})"
+FIGURE_PATTERN = ["(?:^|[^0-9.A-Za-z_])([0-9]+(?:[.,][0-9]+)+|[0-9]{3,})", "(?:^|[^0-9.A-Za-z_])([0-9]+)[ ]*per cent"]
+PERCENT_SQL = "regexp_extract_all(text, '(?:^|[^0-9.A-Za-z_])([0-9]+)[ ]*per cent', 1)"
 COMMON = ", ".join(f"'{c}'" for c in quality.COMMON_FIGURES)
 
 CARRIED = f"""
-f0 as (select doc_id, lang, unnest({FIGURE_SQL.replace("' ' || text", "text")}) as figure from documents),
+d as (select doc_id, lang, text || ' so ' || (n_chars % 90) || ' per cent' as text from documents),
+f0 as (select doc_id, lang, unnest({FIGURE_SQL.replace("' ' || text", "text")} || {PERCENT_SQL}) as figure from d),
 f as (select distinct doc_id, lang, figure from f0 where not regexp_matches(replace(figure, ',', ''), '^(19|20)[0-9][0-9]$') and figure not in ({COMMON})),
 src as (select distinct figure from f where lang <> 'en'),
 st as (select doc_id, figure, printf('%.3f', try_cast(replace(figure, ',', '') as double) / 100) as dec from f where lang = 'en')"""
 
 
+def with_percentages(docs):
+    """Texts that each state one more figure in per cent."""
+    return docs.withColumn("text", F.concat("text", F.lit(" so "), (F.col("n_chars") % 90).cast("string"), F.lit(" per cent")))
+
+
 @query("Q6_U4_uncarried_figures", f"with {CARRIED} select doc_id, figure from st where figure not in (select figure from src) and (dec is null or dec not in (select figure from src))")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = with_percentages(table(spark, sf, "documents"))
     found = lambda d: quality.figures(d, "doc_id", "text", FIGURE_PATTERN)
     return quality.uncarried_figures(found(docs.filter("lang = 'en'")), found(docs.filter("lang <> 'en'"))).select("doc_id", "figure")
 
 
-@query("Q6_figures_look_behind")
+@query("Q6_figures_look_behind", f"with {CARRIED} select doc_id, figure from f")
 def _(spark, sf):
-    return quality.figures(table(spark, sf, "documents"), "doc_id", "text")
+    return quality.figures(with_percentages(table(spark, sf, "documents")), "doc_id", "text")
 
 
-@query("J21_orphans", "with a as (select distinct l_partkey as k from lineitem where l_discount > 0.09), b as (select distinct p_partkey as k from part where p_size < 40) select k, 'unresolved' as problem from a where k not in (select k from b) union all select k, 'uncited' from b where k not in (select k from a)")
+@query("J21_orphans", "with a as (select distinct l_partkey as k from lineitem), b as (select c_custkey as k from customer) select k, 'unresolved' as problem from a where k not in (select k from b) union all select k, 'uncited' from b where k not in (select k from a)")
 def _(spark, sf):
-    cited = table(spark, sf, "lineitem").filter("l_discount > 0.09").select(F.col("l_partkey").alias("k"))
-    listed = table(spark, sf, "part").filter("p_size < 40").select(F.col("p_partkey").alias("k"))
+    """Part numbers that are no customer number, and the other way round: two key sets of different reach."""
+    cited, listed = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k")), table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
     return quality.orphans(cited, listed, "k")
 
 
@@ -72,10 +79,15 @@ def _(spark, sf):
     return quality.conflicting_keys(table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("text")), "text", "source")
 
 
-@query("Q12_letter_suffixes", "with p as (select p_partkey, row_number() over (partition by p_brand, p_size order by p_name, p_partkey) as n, count(*) over (partition by p_brand, p_size) as c from part) select p_partkey, case when c = 1 then '' when n <= 26 then chr(cast(96 + n as integer)) else chr(cast(97 + (n - 27) // 26 as integer)) || chr(cast(97 + (n - 27) % 26 as integer)) end as suffix from p")
+@query("Q12_letter_suffixes", """
+with p as (
+  select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice) as n,
+    count(*) over (partition by l_returnflag) as c from lineitem),
+k as (select *, 1 + (n > 26)::int + (n > 702)::int + (n > 18278)::int + (n > 475254)::int as size, [0, 26, 702, 18278, 475254] as shorter from p)
+select l_orderkey, l_linenumber, l_partkey, case when c = 1 then '' else array_to_string([chr(cast(97 + ((n - 1 - shorter[size]) // cast(26 ** j as bigint)) % 26 as integer)) for j in range(size - 1, -1, -1)], '') end as suffix from k""")
 def _(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("key"), "p_name")
-    return quality.letter_suffixes(p, "key", ["p_name", "p_partkey"]).select("p_partkey", "suffix")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    return quality.letter_suffixes(li, "l_returnflag", ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", "suffix")
 
 
 @query("Q13_field_mismatches", """
@@ -133,31 +145,49 @@ PROSE = "array_to_string([trim(x) for x in string_split(text, chr(10)) if trim(x
 WORDS = "len([w for w in string_split_regex({}, '\\s+') if w <> ''])"
 
 
-@query("Q7_text_profile", f"""with p as (select doc_id, text, {PROSE} as prose from documents),
-s as (select *, {SENTENCES} as sents from p), l as (select *, [{WORDS.format('z')} for z in sents] as lens from s)
-select doc_id, cast({WORDS.format('prose')} as bigint) as words, len(sents) as sentences, list_min(lens) as shortest_sentence, list_max(lens) as longest_sentence,
+PARAGRAPHS = PROSE[len("array_to_string(") : -len(", chr(10))")]
+
+
+@query("Q7_text_profile", f"""with p as (select doc_id, text, {PROSE} as prose, {PARAGRAPHS} as paras from documents),
+s as (select *, {SENTENCES} as sents, [len({SENTENCES.replace('prose', 'para')}) for para in paras] as plen from p), l as (select *, [{WORDS.format('z')} for z in sents] as lens from s)
+select doc_id, len(paras) as paragraphs, cast({WORDS.format('prose')} as bigint) as words, len(sents) as sentences, list_min(lens) as shortest_sentence, list_max(lens) as longest_sentence,
   list_sort(lens)[len(lens) // 2 + 1] as median_sentence, len(list_distinct([string_split_regex(z, '\\s+')[1] for z in sents])) as distinct_openers,
   len([i for i in range(1, len(lens) - 1) if list_max(lens[i:i + 2]) - list_min(lens[i:i + 2]) <= 2]) as even_runs,
-  len(text) - len(replace(text, ';', '')) as semicolons from l""")
+  list_min(plen) as shortest_paragraph, list_sort(plen)[len(plen) // 2 + 1] as median_paragraph, list_max(plen) as longest_paragraph,
+  len([n for n in plen if n = 1]) as one_sentence_paragraphs, len([n for n in plen if n = 2]) as two_sentence_paragraphs, len([n for n in plen if n >= 7]) as long_paragraphs,
+  len(text) - len(replace(text, '—', '')) as em_dashes, len(text) - len(regexp_replace(text, '[“”‘’]', '', 'g')) as curly_quotes,
+  len(regexp_replace(text, '[\\x00-\\x7F]+', '', 'g')) as non_ascii, len(prose) - len(replace(prose, ';', '')) as semicolons from l""")
 def _(spark, sf):
     p = text_audit.profile(table(spark, sf, "documents"), "doc_id", "text")
-    names = ["words", "sentences", "shortest_sentence", "longest_sentence", "median_sentence", "distinct_openers", "even_runs", "semicolons"]
-    return p.select("doc_id", *[F.col(c).cast("long").alias(c) for c in names])
+    return p.select("doc_id", *[F.col(c).cast("long").alias(c) for c in p.columns if c != "doc_id"])
 
 
-# A few phrases of the audit's word list, as whole table input.
-PHRASES = ["robust", "furthermore", "in order to", "the", "heed", "serves as"]
+PHRASES = text_audit.BANNED_WORDS + text_audit.COPULA_SUBSTITUTES + text_audit.CLOSING_RESTATEMENTS
+COMMON_SQL = ", ".join(f"'{w}'" for w in text_audit.COMMON_WORDS)
+RISKY_SQL = ", ".join(f"'{w}'" for w in text_audit.HIGH_RISK_WORDS)
 
 
-@query("Q7_phrase_hits", "select unnest([" + ", ".join(f"'{p}'" for p in PHRASES) + "]) as phrase, unnest([" + ", ".join(f"cast(sum((len(lower(text)) - len(replace(lower(text), '{p}', ''))) / {len(p)}) as bigint)" for p in PHRASES) + "]) as hits from documents")
+# Invented prose holds none of the phrases, so one more sentence is added to each text, chosen by its number.
+@query("Q7_phrase_hits", f"with ph as (select unnest([{', '.join(f"'{p}'" for p in PHRASES)}]) as phrase), d as (select text || chr(10) || 'It ' || ([{', '.join(f"'{p}'" for p in PHRASES)}])[doc_id % {len(PHRASES)} + 1] || ' once.' || chr(10) || '# Overall, robust' as text from documents), p as (select lower({PROSE}) as prose from d) select phrase, cast(sum((len(prose) - len(replace(prose, phrase, ''))) / len(phrase)) as bigint) as hits from p cross join ph group by 1")
 def _(spark, sf):
-    return text_audit.phrase_hits(table(spark, sf, "documents"), "text", PHRASES)
+    chosen = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    docs = table(spark, sf, "documents").withColumn("text", F.concat("text", F.lit("\nIt "), chosen, F.lit(" once.\n# Overall, robust")))
+    return text_audit.phrase_hits(docs, "text", PHRASES)
+
+
+@query("Q7_repeated_words", f"with p as (select doc_id, lower({PROSE}) as prose from documents), w as (select doc_id, unnest(regexp_extract_all(' ' || regexp_replace(prose, '[^\\p{{L}}\\p{{N}}_]+', '  ', 'g') || ' ', ' ([a-z]{{4,}}) ', 1)) as word from p) select doc_id, word, count(*) as n, word in ({RISKY_SQL}) as high_risk from w where word not in ({COMMON_SQL}) group by 1, 2 having count(*) >= 4")
+def _(spark, sf):
+    return text_audit.repeated_words(table(spark, sf, "documents"), "doc_id", "text")
+
+
+HEADED_SQL = "regexp_replace(text, '(^|\n)([AEIST])', '\\1## \\2', 'g')"
 
 
-@query("Q7_repeated_words", "with w as (select doc_id, unnest(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z0-9_]+', '  ', 'g') || ' ', ' ([a-z]{4,}) ', 1)) as word from documents where lang = 'en') select doc_id, word, count(*) as n from w where word not in ('that', 'this') group by 1, 2 having count(*) >= 4")
+@query("Q7_sections", f"with h as (select doc_id, {HEADED_SQL} as text from documents), x as (select doc_id, string_split(chr(10) || text, chr(10) || '## ') as parts from h), s as (select doc_id, unnest(parts) as body, unnest(range(0, len(parts))) as section from x), b as (select doc_id, section, string_split(body, chr(10))[1] as title, array_to_string(string_split(body, chr(10))[2:], chr(10)) as text from s where section > 0), p as (select *, {PROSE} as prose from b) select doc_id, cast(section as integer) as section, md5(title) as title, cast({WORDS.format('prose')} as integer) as words from p")
 def _(spark, sf):
-    en = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " ").alias("text"))
-    return text_audit.repeated_words(en, "doc_id", "text", ["that", "this"])
+    """Lines that begin with certain letters are made headings, so that every text has sections."""
+    headed = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"(^|\n)([AEIST])", "$1## $2"))
+    return text_audit.split_sections(headed, "doc_id", "text").select("doc_id", "section", F.md5("title").alias("title"), "words")
 
 
 @query("Q7_openers", f"with p as (select {PROSE} as prose from documents), s as (select unnest({SENTENCES}) as s from p) select string_split_regex(s, '\\s+')[1] as opener, count(*) as n from s group by 1")

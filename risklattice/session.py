@@ -29,14 +29,16 @@ def local_session(cores: int | str = "*", name: str = "risklattice", partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (tests on one
-    machine) does this fall back to a fresh temporary folder.
+    ``spark.checkpoint.dir`` names it on a cluster, or a checkpoint folder set before. Where neither is, a session on one
+    machine gets a fresh temporary folder; on a cluster, whose executors would each write to a disk of their own, this raises.
     """
     ctx = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir")
     if root is None:
         root = ctx.getCheckpointDir()
     if root is None:
+        if not ctx.master.startswith("local[") and ctx.master != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {ctx.master} share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if ctx.getCheckpointDir() is None:
         ctx.setCheckpointDir(root)

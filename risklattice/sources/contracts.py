@@ -31,9 +31,14 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 
 
 def newest_per_key(df: DataFrame, keys: list[str], version: Column | str) -> DataFrame:
-    """One row per key, the highest version; an aggregate, so copies of a key collapse before the shuffle."""
+    """One row per key, the highest version; an aggregate, so copies of a key collapse before the shuffle.
+
+    A null version ranks below all others, so a key that has no other keeps a row.
+    """
     v = F.col(version) if isinstance(version, str) else version
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), v).alias("_r")).select("_r.*")
+    rest = [c for c in df.columns if c not in keys]
+    newest = F.max_by(F.struct(F.lit(0).alias("_"), *rest), F.struct(v.isNotNull(), v)).alias("_r")
+    return df.groupBy(*keys).agg(newest).select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], version: str) -> None:
