@@ -57,7 +57,7 @@ def repeated_keys(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc, row, keep: for documents that lose lines, word number -> its 64 keep bits; words that lose none are left out."""
     lines = cut_lineage(occurrences(docs, least_chars))
-    repeated = repeated_keys(lines, least_docs)
+    repeated = cut_lineage(repeated_keys(lines, least_docs))  # read anew, so that a hot key's side of the join can be split
     lost = lines.join(repeated, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     bit = F.expr(f"shiftleft(1L, pos % {BITS})")
     words = lost.groupBy("doc", "row", F.expr(f"pos div {BITS}").cast("int").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
