@@ -39,9 +39,14 @@ class Scaler:
 
     @classmethod
     def fit(cls, train: DataFrame, features: list[str]) -> "Scaler":
-        # One row of 2 x features numbers.
-        row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-        return cls(features, {c: float(row[f"m_{c}"] or 0) for c in features}, {c: float(row[f"s_{c}"] or 0) for c in features})
+        return cls.with_sums(train, features, {})[0]
+
+    @classmethod
+    def with_sums(cls, train: DataFrame, features: list[str], sums: dict[str, Column]) -> tuple["Scaler", dict[str, float]]:
+        """The scaler and further sums over the same rows, from one aggregate: one row of 2 x features numbers and a few more."""
+        row = train.agg(F.count(F.lit(1)), *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features], *[c.alias(n) for n, c in sums.items()]).first()
+        scaler = cls(features, {c: float(row[f"m_{c}"] or 0) for c in features}, {c: float(row[f"s_{c}"] or 0) for c in features})
+        return scaler, {n: float(row[n] or 0) for n in sums}
 
     def column(self, c: str) -> Column:
         if self.std[c] == 0:
@@ -76,32 +81,46 @@ def _probability(df: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class Learner:
-    """A Spark ML classifier on scaled or raw features."""
+    """A Spark ML classifier on scaled or raw features.
+
+    With ``balanced`` both classes weigh the same in each fit, counted on the very rows of that fit; row weights multiply.
+    """
 
     features: list[str]
     label: str = "y"
     kind: str = "logistic"
     weight: str | None = None
     params: dict = field(default_factory=dict)
+    balanced: bool = False
     scaler: Scaler | None = None
     model: PipelineModel | None = None
 
     def fit(self, train: DataFrame) -> "Learner":
         scaled = self.kind == "logistic"
-        fitted = Learner(self.features, self.label, self.kind, self.weight, self.params)
-        if scaled:
-            fitted.scaler = Scaler.fit(train, self.features)
-            train = fitted.scaler.apply(train)
+        fitted = Learner(self.features, self.label, self.kind, self.weight, self.params, self.balanced)
+        y, own = F.col(self.label).cast("double"), F.col(self.weight) if self.weight else F.lit(1.0)
+        sums = {"_share": F.avg(y), "_positive": F.sum(own * y), "_all": F.sum(own)}
+        # Means, deviations, class shares and weights come from one pass.
+        fitted.scaler, found = Scaler.with_sums(train, self.features if scaled else [], sums)
+        mass, weight = found["_all"], self.weight
+        if self.balanced:
+            share = found["_share"]
+            if not 0 < share < 1:
+                raise ValueError("both classes must be among the rows of a balanced fit")
+            mass = found["_positive"] * 0.5 / share + (found["_all"] - found["_positive"]) * 0.5 / (1 - share)
+            train, weight = train.withColumn("_mass", own * F.when(y > 0, 0.5 / share).otherwise(0.5 / (1 - share))), "_mass"
+        train = fitted.scaler.apply(train)
+        if not scaled:
+            fitted.scaler = None
         columns = [f"z_{c}" for c in self.features] if scaled else self.features
-        fitted.model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features"), self._stage(train)]).fit(train)
+        fitted.model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features"), self._stage(weight, mass)]).fit(train)
         return fitted
 
-    def _stage(self, train: DataFrame):
+    def _stage(self, weight: str | None, mass: float):
         common = {"featuresCol": "_features", "labelCol": self.label}
-        if self.weight:
-            common["weightCol"] = self.weight
+        if weight:
+            common["weightCol"] = weight
         if self.kind == "logistic":
-            mass = train.select(F.sum(self.weight) if self.weight else F.count(F.lit(1))).first()[0]
             c = self.params.get("C", 1.0)
             return LogisticRegression(maxIter=self.params.get("maxIter", 2000), regParam=1.0 / (c * float(mass)), standardization=False, tol=1e-8, **common)
         if self.kind == "forest":
@@ -131,32 +150,32 @@ class Learner:
 
 @dataclass
 class Calibrated:
-    """Average of isotonic-calibrated fits, each calibrated on a held-out group of areas."""
+    """Average of isotonic-calibrated fits, each calibrated on rows held out of it."""
 
     parts: list[tuple[Learner, object]]
-    fallback: Learner | None = None
 
     @classmethod
-    def fit(cls, learner: Learner, train: DataFrame, split: str = "split", splits: int = SPLITS, smallest: int = SMALLEST_SPLIT) -> "Calibrated":
-        """``split`` is an integer column; rows with value i are held out of the i-th fit."""
-        sizes = {r[0]: r[1] for r in train.groupBy(split).count().collect()}  # one row per split
-        total = sum(sizes.values())
-        if any(sizes.get(i, 0) < smallest or total - sizes.get(i, 0) < smallest for i in range(splits)):
-            return cls([], learner.fit(train))
+    def fit(cls, learner: Learner, train: DataFrame, split: str = "split", splits: int = SPLITS, smallest: int = SMALLEST_SPLIT, masks: list[tuple[Column, Column]] | None = None) -> "Calibrated":
+        """Rows with value i of the integer column ``split`` are held out of the i-th fit, or else ``masks`` give pairs (fitted, held out).
+
+        Fewer than ``smallest`` rows in a part are too few for an isotonic map: this raises, and the caller fits the plain learner instead.
+        """
+        masks = masks or [(F.col(split) != i, F.col(split) == i) for i in range(splits)]
+        sizes = train.agg(*[F.least(F.count_if(a), F.count_if(b)) for a, b in masks]).first()
+        if min(sizes) < smallest:
+            raise ValueError(f"a calibration part has {min(sizes)} rows, fewer than {smallest}; fit the learner without calibration")
 
         def one(i: int):
-            fitted = learner.fit(train.filter(F.col(split) != i))
-            held = fitted.score(train.filter(F.col(split) == i), "_raw")
+            fitted = learner.fit(train.filter(masks[i][0]))
+            held = fitted.score(train.filter(masks[i][1]), "_raw")
             iso = IsotonicRegression(featuresCol="_raw", labelCol=learner.label, predictionCol="_cal", **({"weightCol": learner.weight} if learner.weight else {}))
             return fitted, iso.fit(held)
 
         # Independent fits: submitted together, scheduled by Spark.
-        with ThreadPoolExecutor(splits) as pool:
-            return cls(list(pool.map(one, range(splits))))
+        with ThreadPoolExecutor(len(masks)) as pool:
+            return cls(list(pool.map(one, range(len(masks)))))
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        if self.fallback is not None:
-            return self.fallback.score(df, name)
         keep, cal = df.columns, []
         for i, (learner, iso) in enumerate(self.parts):
             df = iso.setPredictionCol(f"_c{i}").setFeaturesCol(f"_r{i}").transform(learner.score(df, f"_r{i}"))
@@ -165,12 +184,17 @@ class Calibrated:
         return df.select(*keep, mean.alias(name))
 
 
-def poisson_stage(train: DataFrame, features: list[str], count: str = "events", reg: float = 1e-4, smallest: int = SMALLEST_SPLIT):
-    """Second stage of the hurdle: Poisson on (count - 1) of the positive rows; None if there are too few."""
+def poisson_stage(train: DataFrame, features: list[str], count: str = "events", alpha: float = 1.0, smallest: int = SMALLEST_SPLIT):
+    """Second stage of the hurdle: Poisson on (count - 1) of the positive rows, with penalty alpha |w|^2 / 2 on the mean loss.
+
+    Raises where fewer than ``smallest`` rows are positive, or where none holds more than one event: there is then nothing to fit.
+    """
     positive = train.filter(F.col(count) > 0).withColumn("_extra", F.col(count) - 1)
-    if positive.limit(smallest).count() < smallest:
-        return None
-    scaler = Scaler.fit(positive, features)
+    scaler, found = Scaler.with_sums(positive, features, {"rows": F.count(F.lit(1)), "extra": F.sum("_extra")})
+    if found["rows"] < smallest or found["extra"] <= 0:
+        raise ValueError(f"{found['rows']:.0f} positive rows with {found['extra']:.0f} further events are too few for the second stage")
+    # Reweighted least squares divides by the sum of fitted means, which at the optimum is the sum of the labels.
+    reg = alpha * found["rows"] / found["extra"]
     used = [c for c in features if scaler.std[c] > 0]
     stages = [
         VectorAssembler(inputCols=[f"z_{c}" for c in used], outputCol="_features2"),
@@ -188,16 +212,20 @@ def severity(df: DataFrame, stage, probability: str = "score") -> DataFrame:
     return df.select(*df.columns, given.alias("severity"), (F.col(probability) * given).alias("expected"))
 
 
-def stack(train: DataFrame, apply_to: DataFrame, bases: dict, inner: Column, calibrate_split: str | None = None, label: str = "y", weighted: bool = False):
-    """Meta-model over the log-odds of base learners.
+META = {"ensemble": True, "ensemble_unweighted": False}  # the two meta-models: with and without balanced classes
 
-    Bases fit before the inner block, score it, the meta-model learns from those scores; then bases refit on all
-    training rows and the meta-model combines their scores on ``apply_to``. Returns (scored, weights).
+
+def stack(train: DataFrame, apply_to: DataFrame, bases: dict, inner: Column, calibrated: tuple[str, ...] = (), split: str = "split", label: str = "y"):
+    """Two meta-models over the log-odds of base learners, one balanced and one not.
+
+    Bases fit before the inner block, score it, the meta-models learn from those scores; then bases refit on all
+    training rows and the meta-models combine their scores on ``apply_to``. Bases named in ``calibrated`` are calibrated by
+    the column ``split``. Returns (scored, weights), weights a table (meta, base, weight, intercept).
     """
 
     def fit(name, rows):
         learner = bases[name]
-        return Calibrated.fit(learner, rows, calibrate_split) if calibrate_split else learner.fit(rows)
+        return Calibrated.fit(learner, rows, split) if name in calibrated else learner.fit(rows)
 
     def score_all(models, rows):
         for n, m in models.items():
@@ -206,13 +234,15 @@ def stack(train: DataFrame, apply_to: DataFrame, bases: dict, inner: Column, cal
 
     outer = train.filter(~inner)
     first = {n: fit(n, outer) for n in bases}
-    block = score_all(first, train.filter(inner))
-    if weighted:
-        block = balanced_weights(block, label, "_w")
-    meta = Learner([f"l_{n}" for n in bases], label, "logistic", "_w" if weighted else None).fit(block)
+    block = cut_lineage(score_all(first, train.filter(inner)))
+    metas = {name: Learner([f"l_{n}" for n in bases], label, balanced=balanced).fit(block) for name, balanced in META.items()}
     final = {n: fit(n, train) for n in bases}
-    scored = meta.score(score_all(final, apply_to), "ensemble").drop(*[f"l_{n}" for n in bases])
-    return scored, {n: w for n, w in zip(bases, meta.coefficients().values())}
+    scored = cut_lineage(score_all(final, apply_to))
+    for name, meta in metas.items():
+        scored = meta.score(scored, name)
+    rows = [(name, n, float(w), float(meta.intercept())) for name, meta in metas.items() for n, w in zip(bases, meta.coefficients().values())]
+    weights = train.sparkSession.createDataFrame(rows, "meta string, base string, weight double, intercept double")
+    return scored.drop(*[f"l_{n}" for n in bases]), weights
 
 
 def recalibrate(df: DataFrame, probability: str, targets: DataFrame, group: str, bracket: float = 12.0, passes: int = 6, grid: int = 32) -> DataFrame:
@@ -251,17 +281,17 @@ def contributions(df: DataFrame, keys: list[str], scaler: Scaler, weights: dict[
 
 
 def top_drivers(long: DataFrame, keys: list[str], top: int = 6) -> DataFrame:
-    """Largest absolute family contributions per entity; a value only where the family has one member."""
+    """Largest absolute family contributions per entity, equal ones (to 9 places) by name; a value only where the family has one member."""
     sums = long.groupBy(*keys, "family").agg(
         F.sum("contribution").alias("contribution"), F.count(F.lit(1)).alias("n_features"), F.first("value").alias("_v")
     ).withColumn("value", F.when(F.col("n_features") == 1, F.col("_v"))).drop("_v")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs("contribution").desc(), "family"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(F.abs("contribution"), 9).desc(), "family"))
     return sums.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def collinear_pair(long: DataFrame, keys: list[str], left: str, right: str, top: int = 6) -> DataFrame:
     """How often two features both rank in the top and oppose each other, with mean size and mean net."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.abs("contribution").desc(), "feature"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(F.abs("contribution"), 9).desc(), "feature"))
     ranked = long.withColumn("rank", rank).filter(F.col("feature").isin(left, right))
     side = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
     wide = ranked.groupBy(*keys).agg(side(left, "contribution").alias("a"), side(right, "contribution").alias("b"), F.max("rank").alias("worst"))
@@ -302,7 +332,7 @@ def rolling_origin(panel: DataFrame, learner: Learner, folds: int, test_weeks: i
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return cut_lineage(out)  # every metric reads the scores again
 
 
 def horizon_experiment(panel: DataFrame, horizons: list[int], learner: Learner, folds: int, test_weeks: int, last_step: int, k: int = 20, events: str = "events") -> DataFrame:
@@ -310,7 +340,7 @@ def horizon_experiment(panel: DataFrame, horizons: list[int], learner: Learner,
     parts = []
     for h in horizons:
         labelled = complete_horizon(panel.withColumn("y", forward_label(events, h)), h, F.lit(last_step))
-        scores = rolling_origin(labelled, learner, folds, test_weeks, last_step - (h - 1))
+        scores = rolling_origin(cut_lineage(labelled), learner, folds, test_weeks, last_step - (h - 1))
         parts.append(evaluate(scores, ["fold"], k).withColumn("horizon_days", F.lit(7 * h)))
     return _stacked(parts)
 
@@ -333,15 +363,34 @@ def under_reporting_experiment(panel: DataFrame, weights: DataFrame, learner: Le
     ])
 
 
-def calibration_schemes(train: DataFrame, test: DataFrame, learner: Learner, schemes: dict[str, Column | None], k: int = 20) -> DataFrame:
-    """Compare ways to hold out calibration rows; None fits without calibration."""
+def row_order_splits(train: DataFrame, order: list[str], label: str = "y", splits: int = SPLITS, name: str = "split") -> DataFrame:
+    """Contiguous parts of each class in the given row order, as an unshuffled stratified split deals them."""
+    placed = ordered_numbers(train, [label], order, "_place")
+    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
+    return placed.join(sizes, label).withColumn(name, F.floor((F.col("_place") - 1) * splits / F.col("_rows")).cast("int")).drop("_place", "_rows")
+
+
+def expanding_masks(last: int, first: int, splits: int = SPLITS, step: str = "t") -> list[tuple[Column, Column]]:
+    """Time splits on whole weeks: the i-th part is fitted on all weeks before a block and calibrated on the block."""
+    size = (last + 1 - first) // (splits + 1)
+    starts = [last + 1 - (splits - i) * size for i in range(splits)]
+    return [(F.col(step) < s, (F.col(step) >= s) & (F.col(step) < s + size)) for s in starts]
+
+
+def calibration_schemes(train: DataFrame, test: DataFrame, learner: Learner, k: int = 20, area: str = "area", step: str = "t") -> DataFrame:
+    """The same learner without calibration and with four ways to hold out calibration rows, compared on one test block."""
+    low, high = train.agg(F.min(step), F.max(step)).first()
+    schemes = {
+        "none": lambda: learner.fit(train),
+        "rows by area": lambda: Calibrated.fit(learner, cut_lineage(row_order_splits(train, [area, step], learner.label))),
+        "rows by week": lambda: Calibrated.fit(learner, cut_lineage(row_order_splits(train, [step, area], learner.label))),
+        "expanding time": lambda: Calibrated.fit(learner, train, masks=expanding_masks(high, low, step=step)),
+        "explicit by area": lambda: Calibrated.fit(learner, cut_lineage(area_split(train, area))),
+    }
     parts = []
-    for name, split in schemes.items():
-        if split is None:
-            model = learner.fit(train)
-        else:
-            model = Calibrated.fit(learner, train.withColumn("split", split))
-        parts.append(evaluate(model.score(test).withColumn("scheme", F.lit(name)), ["scheme"], k))
+    for name, fit in schemes.items():
+        model = fit()
+        parts.append(evaluate(cut_lineage(model.score(test).withColumn("scheme", F.lit(name))), ["scheme"], k))
     return _stacked(parts)
 
 

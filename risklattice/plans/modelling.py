@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from risklattice.functions.scalar import clip
 from risklattice.operators import bands, models, recapture
 from risklattice.operators import panel as P
-from risklattice.plans.base import MODEL_START, SCORES, areas, events, features, query, r, scores, table
+from risklattice.plans.base import QUERIES, SCORES, areas, events, features, query, r, scores, table
+from risklattice.plans.panels import FEATURE_SQL
 from risklattice.session import cut_lineage
 
-SHORT = ["own_events_4w", "own_events_52w", "nb_events_4w", "own_rate_longrun", "own_weeks_since", "cal_sin", "cal_cos"]
-K = 5
+NAMES = P.feature_names()
+K, FOLDS, TEST_WEEKS, BURN_IN = 5, 5, 52, 52
+HORIZONS, DELAYS = [1, 2, 4], [0, 1, 2]
+LOGISTIC = models.Learner(NAMES, balanced=True)
+FOREST = models.Learner(NAMES, kind="forest", balanced=True)
+BOOSTING = models.Learner(NAMES, kind="boosting")
 
 
-def labelled(spark, sf, delay: int = 0, names: list[str] = SHORT):
-    """Modelled weeks with features and label, written once because every fit reads them again."""
-    f = features(spark, sf, delay).filter(F.col("week") >= F.lit(MODEL_START).cast("date"))
-    out = f.select("area", "grp", "week", "t", "events", (F.col("events") > 0).cast("int").alias("y"), *names)
+def labelled(spark, sf, delay: int = 0):
+    """Weeks after the burn-in with all features and the label, written once because every fit reads them again."""
+    f = features(spark, sf, delay).filter(F.col("t") >= BURN_IN)
+    out = f.select("area", "grp", "week", "t", "events", (F.col("events") > 0).cast("int").alias("y"), *NAMES)
     return cut_lineage(out)
 
 
@@ -57,42 +63,45 @@ def _(spark, sf):
 
 @query("M3_logistic")
 def _(spark, sf):
-    train, test = split(labelled(spark, sf, names=P.feature_names()))
-    return shown(models.Learner(P.feature_names()).fit(train).score(test))
+    train, test = split(labelled(spark, sf))
+    return shown(LOGISTIC.fit(train).score(test))
 
 
 @query("M5_calibrated_logistic")
 def _(spark, sf):
     train, test = split(models.area_split(labelled(spark, sf)))
-    return shown(models.Calibrated.fit(models.Learner(SHORT), train).score(test))
+    return shown(models.Calibrated.fit(LOGISTIC, train).score(test))
 
 
 @query("M6_forest")
 def _(spark, sf):
-    train, test = split(models.balanced_weights(labelled(spark, sf), "y"))
-    return shown(models.Learner(SHORT, kind="forest", weight="weight", params={"numTrees": 30, "maxDepth": 8}).fit(train).score(test))
+    train, test = split(labelled(spark, sf))
+    return shown(FOREST.fit(train).score(test))
 
 
 @query("M7_boosting")
 def _(spark, sf):
     train, test = split(labelled(spark, sf))
-    return shown(models.Learner(SHORT, kind="boosting", params={"maxIter": 10}).fit(train).score(test))
+    return shown(BOOSTING.fit(train).score(test))
 
 
 @query("M8_hurdle")
 def _(spark, sf):
-    train, test = split(labelled(spark, sf))
-    first = models.Learner(SHORT).fit(train).score(test)
-    return models.severity(first, models.poisson_stage(train, SHORT)).select("area", "week", "events", r("severity").alias("severity"), r("expected").alias("expected"))
+    train, test = split(models.area_split(labelled(spark, sf)))
+    first = models.Calibrated.fit(LOGISTIC, train).score(test)
+    return models.severity(first, models.poisson_stage(train, NAMES)).select("area", "week", "events", r("severity").alias("severity"), r("expected").alias("expected"))
+
+
+def stacked(spark, sf):
+    train, test = split(models.area_split(labelled(spark, sf)))
+    bases = {"logistic": LOGISTIC, "forest": FOREST, "boosting": BOOSTING}
+    return models.stack(train, test, bases, F.col("t") > last_week(train) - TEST_WEEKS, calibrated=("logistic",))
 
 
 @query("M9_stack")
 def _(spark, sf):
-    train, test = split(labelled(spark, sf))
-    start = last_week(train) + 1 - 52
-    bases = {"logistic": models.Learner(SHORT), "forest": models.Learner(SHORT, kind="forest", params={"numTrees": 20, "maxDepth": 6})}
-    scored, _weights = models.stack(train, test, bases, F.col("t") >= start)
-    return scored.select("area", "week", "y", r("p_logistic").alias("logistic"), r("p_forest").alias("forest"), r("ensemble").alias("ensemble"))
+    scored, _weights = stacked(spark, sf)
+    return scored.select("area", "week", "y", *[r(f"p_{n}").alias(n) for n in ("logistic", "forest", "boosting")], *[r(m).alias(m) for m in models.META])
 
 
 RECAL = SCORES + ", fd as (select *, cast(5 - floor(((select max(t) from scores) - t) / 52) as integer) as fold from scores where (select max(t) from scores) - t < 260)"
@@ -104,34 +113,51 @@ def recalibrated(spark, sf):
     return models.recalibrate(folded, "p", folded.groupBy("fold").agg(F.avg("y").alias("target")), "fold")
 
 
-@query("M11_recalibrated_level", f"with {RECAL} select fold, count(*) as rows, round(avg(y), 6) as mean_after, true as order_kept from fd group by fold")
+@query("M11_recalibrated_level", f"with {RECAL} select fold, count(*) as rows, round(avg(y), 6) as mean_after, 0::bigint as turned from fd group by fold")
 def _(spark, sf):
-    """Mean after the shift equals each fold's observed rate; the order of equal-shift rows never turns."""
+    """Mean after the shift equals each fold's observed rate; no two distinct probabilities change their order or meet."""
     out = recalibrated(spark, sf)
-    kept = F.corr("p", "recalibrated") > 0
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("recalibrated")).alias("mean_after"), kept.alias("order_kept"))
+    cells = out.groupBy("fold", "p").agg(F.min("recalibrated").alias("low"), F.max("recalibrated").alias("high"))
+    before = F.lag("high").over(Window.partitionBy("fold").orderBy("p"))
+    turned = cells.withColumn("_turn", (F.col("low") <= before) | (F.col("low") != F.col("high"))).groupBy("fold").agg(F.count_if("_turn").alias("turned"))
+    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("recalibrated")).alias("mean_after")).join(turned, "fold")
+
 
+BISECT = RECAL + """,
+lo as (select *, ln(pp / (1 - pp)) as odds from (select *, greatest(1e-6::double, least(1 - 1e-6::double, long_run)) as pp from fd)),
+tg as (select fold, avg(y) as target from lo group by fold),
+steps as (
+  select 0 as i, fold, target, -12.0::double as low, 12.0::double as high from tg
+  union all
+  select s.i + 1, s.fold, s.target, case when m.mean <= s.target then (s.low + s.high) / 2 else s.low end, case when m.mean <= s.target then s.high else (s.low + s.high) / 2 end
+  from steps s join (
+    select z.fold, avg(1 / (1 + exp(-(lo.odds + (z.low + z.high) / 2)))) as mean from steps z join lo on lo.fold = z.fold group by z.fold) m on m.fold = s.fold
+  where s.i < 40)"""
 
-@query("M11_recalibrated_scores")
+
+@query("M11_recalibrated_scores", f"with recursive {BISECT}, sh as (select fold, (low + high) / 2 as shift from steps where i = 40) select area, week, lo.fold, round(pp, 6) as p, round(1 / (1 + exp(-(odds + shift))), 4) as recalibrated, round(shift, 4) as shift from lo join sh on sh.fold = lo.fold")
 def _(spark, sf):
-    return recalibrated(spark, sf).select("area", "week", "fold", r("p").alias("p"), r("recalibrated").alias("recalibrated"), r("shift").alias("shift"))
+    return recalibrated(spark, sf).select("area", "week", "fold", r("p").alias("p"), r("recalibrated", 4).alias("recalibrated"), r("shift", 4).alias("shift"))
 
 
-# Contributions with given weights, so that SQL can follow. "recent" and "long_run" form one family.
-WEIGHTS = {"recency": -0.8, "long_run": 1.1, "events": 0.3}
-FAMILIES = {"recency": "history", "long_run": "history"}
-CONTRIB = SCORES + """,
-k as (select avg(recency) as m1, stddev_pop(recency) as s1, avg(long_run) as m2, stddev_pop(long_run) as s2, avg(events) as m3, stddev_pop(events) as s3 from scores),
-ct as (
-  select area, week, 'history' as family, 'recency' as feature, recency as value, (recency - m1) / s1 * -0.8 as contribution from scores cross join k
-  union all select area, week, 'history', 'long_run', long_run, (long_run - m2) / s2 * 1.1 from scores cross join k
-  union all select area, week, 'events', 'events', events, (events - m3) / s3 * 0.3 from scores cross join k)"""
+# Contributions of all features with weights given by a rule, so that SQL can follow.
+GIVEN = {c: (-1) ** i * (1 + i % 5) / 10 for i, c in enumerate(NAMES)}
+TOP = 6
+CONTRIB = f"""
+fx as ({FEATURE_SQL}),
+k as (select {", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in NAMES)} from fx),
+cl as (
+  select area, week, unnest([{", ".join(f"{{'family': '{models.DRIVER_FAMILY.get(c, c)}', 'feature': '{c}', 'value': cast({c} as double), 'contribution': case when s_{c} = 0 then 0.0::double else (cast({c} as double) - m_{c}) / s_{c} * {w}::double end}}" for c, w in GIVEN.items())}]) as d
+  from fx cross join k),
+ct as (select area, week, d.family as family, d.feature as feature, d.value as value, d.contribution as contribution from cl)"""
+RANKED_FAMILIES = CONTRIB + """,
+f as (select area, week, family, sum(contribution) as c, count(*) as n_features, any_value(value) as v from ct group by 1, 2, 3),
+q as (select *, row_number() over (partition by area, week order by round(abs(c), 9) desc, family) as rank from f)"""
 
 
 def contributed(spark, sf):
-    s = scores(spark, sf)
-    scaler = models.Scaler.fit(s, list(WEIGHTS))
-    return models.contributions(s, ["area", "week"], scaler, WEIGHTS, FAMILIES)
+    f = cut_lineage(QUERIES["F_all_42_features"](spark, sf))
+    return models.contributions(f, ["area", "week"], models.Scaler.fit(f, NAMES), GIVEN)
 
 
 @query("M15_contributions", f"with {CONTRIB} select area, week, family, feature, round(contribution, 6) as contribution from ct")
@@ -139,22 +165,32 @@ def _(spark, sf):
     return contributed(spark, sf).select("area", "week", "family", "feature", r("contribution").alias("contribution"))
 
 
-@query("W16_top_drivers", f"with {CONTRIB}, f as (select area, week, family, sum(contribution) as c, count(*) as n_features, any_value(value) as v from ct group by 1, 2, 3), q as (select *, row_number() over (partition by area, week order by abs(c) desc, family) as rank from f) select area, week, family, n_features, round(c, 5) as contribution, case when n_features = 1 then v end as value from q where rank <= 1")
+@query("W16_top_drivers", f"with {RANKED_FAMILIES} select area, week, family, n_features, round(c, 5) as contribution, case when n_features = 1 then v end as value from q where rank <= {TOP}")
 def _(spark, sf):
-    return models.top_drivers(contributed(spark, sf), ["area", "week"], 1).select("area", "week", "family", "n_features", r("contribution", 5).alias("contribution"), "value")
+    return models.top_drivers(contributed(spark, sf), ["area", "week"], TOP).select("area", "week", "family", "n_features", r("contribution", 5).alias("contribution"), "value")
 
 
-@query("A35_driver_frequency", f"with {CONTRIB}, f as (select area, week, family, sum(contribution) as c from ct group by 1, 2, 3), q as (select *, row_number() over (partition by area, week order by abs(c) desc, family) as rank from f) select family, count(*) as n from q where rank <= 1 group by 1")
+@query("A35_driver_frequency", f"with {RANKED_FAMILIES} select family, count(*) as n from q where rank <= {TOP} group by 1")
 def _(spark, sf):
-    return models.top_drivers(contributed(spark, sf), ["area", "week"], 1).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return models.top_drivers(contributed(spark, sf), ["area", "week"], TOP).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M16_collinear_pair", f"with {CONTRIB}, q as (select *, row_number() over (partition by area, week order by abs(contribution) desc, feature) as rk from ct), w as (select area, week, max(contribution) filter (feature = 'recency') as a, max(contribution) filter (feature = 'long_run') as b, max(rk) filter (feature <> 'events') as worst from q group by 1, 2) select count(*) as entities, count(*) filter (worst <= 2 and sign(a) * sign(b) < 0) as opposed, round(avg((abs(a) + abs(b)) / 2) filter (worst <= 2 and sign(a) * sign(b) < 0), 6) as mean_size, round(avg(a + b) filter (worst <= 2 and sign(a) * sign(b) < 0), 6) as mean_net from w")
+@query("M16_collinear_pair", f"with {CONTRIB}, q as (select *, row_number() over (partition by area, week order by round(abs(contribution), 9) desc, feature) as rk from ct), w as (select area, week, max(contribution) filter (feature = 'own_events_cum') as a, max(contribution) filter (feature = 'own_rate_longrun') as b, max(rk) filter (feature in ('own_events_cum', 'own_rate_longrun')) as worst from q group by 1, 2) select count(*) as entities, count(*) filter (worst <= {TOP} and sign(a) * sign(b) < 0) as opposed, round(avg((abs(a) + abs(b)) / 2) filter (worst <= {TOP} and sign(a) * sign(b) < 0), 6) as mean_size, round(avg(a + b) filter (worst <= {TOP} and sign(a) * sign(b) < 0), 6) as mean_net from w")
 def _(spark, sf):
-    out = models.collinear_pair(contributed(spark, sf), ["area", "week"], "recency", "long_run", 2)
+    out = models.collinear_pair(contributed(spark, sf), ["area", "week"], "own_events_cum", "own_rate_longrun", TOP)
     return out.withColumns({"mean_size": r("mean_size"), "mean_net": r("mean_net")})
 
 
+@query("M15_fitted_drivers")
+def _(spark, sf):
+    """Top driver families of the last week, from the balanced logistic fitted on all weeks before."""
+    panel = labelled(spark, sf)
+    newest = F.lit(last_week(panel))
+    fitted = LOGISTIC.fit(panel.filter(F.col("t") < newest))
+    long = models.contributions(panel.filter(F.col("t") == newest), ["area", "week"], fitted.scaler, fitted.coefficients())
+    return models.top_drivers(long, ["area", "week"], TOP).select("area", "week", "family", "n_features", r("contribution", 4).alias("contribution"), "rank")
+
+
 def rounded(metrics):
     return metrics.select(*[r(c, 4).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes])
 
@@ -162,26 +198,26 @@ def rounded(metrics):
 @query("M17_horizon_experiment")
 def _(spark, sf):
     panel = labelled(spark, sf)
-    return rounded(models.horizon_experiment(panel.drop("y"), [1, 2], models.Learner(SHORT), 2, 52, last_week(panel), K))
+    return rounded(models.horizon_experiment(panel.drop("y"), HORIZONS, LOGISTIC, FOLDS, TEST_WEEKS, last_week(panel), K))
 
 
 @query("M18_delay_experiment")
 def _(spark, sf):
-    panels = {d: labelled(spark, sf, d) for d in (0, 1)}
-    return rounded(models.delay_experiment(panels.get, [0, 1], models.Learner(SHORT), 1, 52, last_week(panels[0]), K))
+    panels = {d: labelled(spark, sf, d) for d in DELAYS}
+    return rounded(models.delay_experiment(panels.get, DELAYS, LOGISTIC, FOLDS, TEST_WEEKS, last_week(panels[0]), K))
 
 
 @query("M19_under_reporting_experiment")
 def _(spark, sf):
+    from risklattice.plans.measures import two_sources
+
     panel = labelled(spark, sf)
-    detected = recapture.detection(events(spark, sf), "F", "O", areas(spark, sf))
+    detected = recapture.detection(two_sources(spark, sf), "F", "O", areas(spark, sf))
     weights = recapture.detection_weights(areas(spark, sf).select("area", "grp"), detected)
-    return rounded(models.under_reporting_experiment(panel, weights, models.Learner(SHORT), 1, 52, last_week(panel), K))
+    return rounded(models.under_reporting_experiment(panel, weights, LOGISTIC, FOLDS, TEST_WEEKS, last_week(panel), K))
 
 
 @query("M20_calibration_schemes")
 def _(spark, sf):
-    train, test = split(models.area_split(labelled(spark, sf)))
-    start = last_week(train) + 1
-    schemes = {"none": None, "by area": F.col("split"), "by time": F.floor(F.col("t") * 3 / start).cast("int")}
-    return rounded(models.calibration_schemes(train, test, models.Learner(SHORT), schemes, K))
+    train, test = split(labelled(spark, sf))
+    return rounded(models.calibration_schemes(train, test, LOGISTIC, K))

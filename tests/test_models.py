@@ -49,21 +49,24 @@ def test_calibration_splits_by_area_and_averages(panel):
     out = cal.score(split)
     gap = out.agg(F.abs(F.avg("score") - F.avg("y"))).first()[0]
     assert gap < 0.05
-    small = models.Calibrated.fit(models.Learner(["x"]), split.filter("t < 5"))
-    assert small.fallback is not None
+    with pytest.raises(ValueError, match="fewer than 50"):
+        models.Calibrated.fit(models.Learner(["x"]), split.filter("t < 5"))
 
 
 def test_hurdle_stage(panel):
     stage = models.poisson_stage(panel, ["x", "z", "flat"])
     out = models.severity(models.Learner(["x", "z"]).fit(panel).score(panel), stage)
     assert out.filter("severity < 1").count() == 0
-    assert models.poisson_stage(panel.filter("t < 3"), ["x"]) is None
+    with pytest.raises(ValueError, match="too few"):
+        models.poisson_stage(panel.filter("t < 3"), ["x"])
 
 
 def test_stack_orders_bases(panel):
     bases = {"good": models.Learner(["x", "z"]), "poor": models.Learner(["flat", "z"])}
     scored, weights = models.stack(panel.filter("t < 50"), panel.filter("t >= 50"), bases, F.col("t") >= 35)
-    assert weights["good"] > weights["poor"] and scored.filter("ensemble is null").count() == 0
+    table = {(w.meta, w.base): w.weight for w in weights.collect()}
+    assert all(table[m, "good"] > table[m, "poor"] for m in models.META)
+    assert scored.filter("ensemble is null or ensemble_unweighted is null").count() == 0
 
 
 def test_recalibration_hits_target_keeps_order_or_leaves_alone(spark):
@@ -99,5 +102,39 @@ def test_experiments_run(panel):
     learner = models.Learner(["x", "z"])
     h = models.horizon_experiment(panel.drop("y"), [1, 2], learner, 1, 10, 59, 3)
     assert sorted(r.horizon_days for r in h.collect()) == [7, 14]
-    schemes = models.calibration_schemes(models.area_split(panel.filter("t < 50")), models.area_split(panel.filter("t >= 50")), learner, {"none": None, "by area": F.col("split")}, 3)
-    assert {r.scheme for r in schemes.collect()} == {"none", "by area"}
+    schemes = models.calibration_schemes(panel.filter("t < 50"), panel.filter("t >= 50"), learner, 3)
+    assert {r.scheme for r in schemes.collect()} == {"none", "rows by area", "rows by week", "expanding time", "explicit by area"}
+
+
+def test_balanced_fit_weighs_its_own_rows(panel):
+    """Balancing inside the fit equals explicit weights from the same rows."""
+    explicit = models.Learner(["x", "z"], weight="w").fit(models.balanced_weights(panel, "y", "w")).coefficients()
+    inside = models.Learner(["x", "z"], balanced=True).fit(panel).coefficients()
+    assert np.allclose(list(explicit.values()), list(inside.values()), atol=1e-6)
+
+
+def test_poisson_stage_matches_newton(panel):
+    """Penalised mean Poisson loss, alpha = 1, intercept free."""
+    rows = np.array([tuple(map(float, r)) for r in panel.filter("events > 0").select("x", "z", "events").collect()])
+    x, y = rows[:, :2], rows[:, 2] - 1
+    x = np.c_[(x - x.mean(0)) / x.std(0), np.ones(len(x))]
+    w, reg = np.zeros(3), np.diag([1.0, 1.0, 0.0]) * len(x)
+    for _ in range(60):
+        mu = np.exp(x @ w)
+        w -= np.linalg.solve((x * mu[:, None]).T @ x + reg, x.T @ (mu - y) + reg @ w)
+    scaler, used, model = models.poisson_stage(panel, ["x", "z"])
+    fitted = model.stages[-1]
+    assert np.allclose([*fitted.coefficients, fitted.intercept], w, atol=1e-3)
+
+
+def test_row_order_splits_are_contiguous_in_each_class(panel):
+    rows = models.row_order_splits(panel, ["t", "area"]).select("t", "area", "y", "split").collect()
+    for y in (0, 1):
+        own = [r.split for r in sorted((r for r in rows if r.y == y), key=lambda r: (r.t, r.area))]
+        assert own == sorted(own) and max(own.count(i) for i in range(3)) - min(own.count(i) for i in range(3)) <= 1
+
+
+def test_expanding_masks_fit_before_they_calibrate(panel):
+    for before, block in models.expanding_masks(59, 0):
+        low, high = panel.filter(block).agg(F.min("t"), F.max("t")).first()
+        assert panel.filter(before).agg(F.max("t")).first()[0] == low - 1 and high - low == 14
