@@ -122,7 +122,7 @@ class Learner:
             common["weightCol"] = weight
         if self.kind == "logistic":
             c = self.params.get("C", 1.0)
-            return LogisticRegression(maxIter=self.params.get("maxIter", 2000), regParam=1.0 / (c * float(mass)), standardization=False, tol=1e-8, **common)
+            return LogisticRegression(maxIter=self.params.get("maxIter", 2000), regParam=1.0 / (c * float(mass)), standardization=False, tol=1e-6, **common)
         if self.kind == "forest":
             given = {"numTrees": 300, "maxDepth": 14, "minInstancesPerNode": 20, "seed": 7} | self.params
             return RandomForestClassifier(**given, **common)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from risklattice.plans.base import query, r, table
 from risklattice.session import scratch_path
-from risklattice.sources.contracts import read_current
+from risklattice.sources.contracts import FEATURES_WEEKLY, KEYS, conform, read_current
 from risklattice.streaming import weekly
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,10 +29,10 @@ def drain_append(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-def drain_upsert(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+def drain_upsert(df: DataFrame, keys: list[str], label: str, partition: str | None = None) -> DataFrame:
     spark = df.sparkSession
     out = scratch_path(spark, label)
-    weekly.start_upsert(df, f"{out}/rows", f"{out}/progress", keys).awaitTermination()
+    weekly.start_upsert(df, f"{out}/rows", f"{out}/progress", keys, partition=partition).awaitTermination()
     return read_current(spark, f"{out}/rows")
 
 
@@ -43,17 +43,26 @@ def _(spark, sf):
     return drain_append(weekly.unique_events(parsed, "event_id", "ts").select("event_id", "user_id", "event_type", "value"), "unique")
 
 
-@query("D2_stream_weekly_features", "select cast(date_trunc('week', ts) as date) as week, event_type, count(*) as n, round(sum(value), 2) as value from events group by 1, 2")
+@query("D2_stream_weekly_features", """
+select cast(user_id % 25 as varchar) as lga_id, cast(date_trunc('week', ts) as date) as week_start, cast(count(*) as integer) as incident_count_7d,
+  bool_or(event_type = 'click') as military_ops_flag, round(avg(value), 4) as sentiment_score, cast(count(*) filter (value > 50) as integer) as entity_mentions
+from events group by 1, 2""")
 def _(spark, sf):
-    events = stream(spark, sf).withWatermark("ts", weekly.LATENESS)
-    counts = weekly.weekly_counts(events, "ts", ["event_type"], {"n": F.count(F.lit(1)), "value": F.sum("value")})
-    return drain_upsert(counts, ["week", "event_type"], "weekly").select("week", "event_type", "n", r("value", 2).alias("value"))
+    """Users stand for areas. Rows follow the declared contract of the weekly feature table; columns that no stream fills are null."""
+    events = stream(spark, sf).withWatermark("ts", weekly.LATENESS).withColumn("lga_id", (F.col("user_id") % 25).cast("string"))
+    measures = {
+        "incident_count_7d": F.count(F.lit(1)), "military_ops_flag": F.max(F.col("event_type") == "click"),
+        "sentiment_score": F.avg("value"), "entity_mentions": F.count_if(F.col("value") > 50),
+    }
+    counts = conform(weekly.weekly_counts(events, "ts", ["lga_id"], measures).withColumnRenamed("week", "week_start"), FEATURES_WEEKLY)
+    out = drain_upsert(counts, KEYS["features_weekly"], "weekly", "week_start")
+    return out.select("lga_id", "week_start", "incident_count_7d", "military_ops_flag", r("sentiment_score", 4).alias("sentiment_score"), "entity_mentions")
 
 
 @query("D3_stream_sliding_counts", "with e as (select cast(ts as date) as d, event_type from events), o as (select unnest(generate_series(0, 6)) as k) select cast(d + cast(k as integer) as date) as day, event_type, count(*) as n from e cross join o group by 1, 2")
 def _(spark, sf):
     events = stream(spark, sf).withWatermark("ts", weekly.LATENESS)
-    return drain_upsert(weekly.sliding_counts(events, "ts", ["event_type"], 7), ["day", "event_type"], "sliding").select("day", "event_type", "n")
+    return drain_upsert(weekly.sliding_counts(events, "ts", ["event_type"], 7), ["day", "event_type"], "sliding", "day").select("day", "event_type", "n")
 
 
 @query("D4_stream_time_since_last", "select cast(user_id as varchar) as area, ts, round((epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts))) / 1e6 / 604800, 6) as weeks_since from events")

@@ -119,7 +119,10 @@ def _(spark, sf):
     return quality.non_finite(events(spark, sf), ["severity"])
 
 
-@query("Q1_leakage_probe")
+FIXED = ("own_ever", "nb_degree", "cal_sin", "cal_cos", "time_index")
+
+
+@query("Q1_leakage_probe", f"select feature, 0::bigint as leaked_rows, feature not in ({', '.join(repr(c) for c in FIXED)}) as moved from (select unnest([{', '.join(repr(c) for c in P.feature_names())}]) as feature)")
 def _(spark, sf):
     """Add ten events to every area of one week and rebuild all 42 features; nothing at or before it may change."""
     from risklattice.operators.graph import symmetric
@@ -137,7 +140,8 @@ def _(spark, sf):
         grid = P.spine(areas(spark, sf).select("area"), *P.week_span(totals))
         return P.panel_features(P.densify(grid, totals, ["events", "ops", "deaths", "taken"]), neighbours, P.record_volume(e))
 
-    return quality.leakage_probe(build, ev, ev.unionByName(extra), week, P.feature_names())
+    probed = quality.leakage_probe(build, ev, ev.unionByName(extra), week, P.feature_names())
+    return probed.select("feature", "leaked_rows", (F.col("later_rows") > 0).alias("moved"))
 
 
 SENTENCES = "[trim(s) for s in string_split_regex(regexp_replace(prose, '([.!?])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) if trim(s) <> '']"

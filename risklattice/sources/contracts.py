@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from risklattice.session import cut_lineage
+
 # Declared columns and keys of the landing tables. Points are lon/lat, shapes are rings.
 LGA = "lga_id string, lga_name string, state_name string, rings array<array<array<double>>>"
 INCIDENTS = (
@@ -41,31 +43,29 @@ def newest_per_key(df: DataFrame, keys: list[str], version: Column | str) -> Dat
     return df.groupBy(*keys).agg(newest).select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], version: str) -> None:
-    """Merge rows into a versioned Parquet table: old rows whose key changes are replaced.
+def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], version: str, partition: str | None = None) -> None:
+    """Merge rows into a Parquet table: of each key the row of the highest version stays.
 
-    Each call writes a new snapshot folder and only then moves the pointer, so a failed or repeated
-    write leaves readers with a whole table.
+    With ``partition``, a key column, only the partitions that changes touch are read and overwritten. The merged rows are written to the
+    shared folder before they replace what they were merged from, so a repeated call merges the same rows again.
     """
-    current = read_current(spark, path)
-    latest = newest_per_key(changes, keys, version)
+    latest, current = newest_per_key(changes, keys, version), read_current(spark, path)
     if current is not None:
-        both = current.unionByName(latest, allowMissingColumns=True)
-        latest = newest_per_key(both, keys, version)
-    number = (_current_number(spark, path) or 0) + 1
-    latest.write.mode("overwrite").parquet(f"{path}/v{number}")
-    spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").json(f"{path}/_pointer")
-
-
-def _current_number(spark: SparkSession, path: str) -> int | None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer")
-    if not pointer.getFileSystem(conf).exists(pointer):
-        return None
-    return spark.read.schema("number long").json(f"{path}/_pointer").agg(F.max("number")).first()[0]
+        if partition:
+            current = current.join(latest.select(partition).distinct(), partition, "left_semi")
+        latest = newest_per_key(current.unionByName(latest, allowMissingColumns=True), keys, version)
+    latest = cut_lineage(latest)
+    if partition:
+        dealt = latest.hint("rebalance", F.col(partition))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    else:
+        latest.write.mode("overwrite").parquet(path)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest snapshot, or None before the first write."""
-    number = _current_number(spark, path)
-    return None if number is None else spark.read.parquet(f"{path}/v{number}")
+    """The table, or None before the first write."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    written = files.exists(root) and any(not f.getPath().getName().startswith((".", "_")) for f in files.listStatus(root))
+    return spark.read.parquet(path) if written else None

@@ -53,11 +53,11 @@ def late_rows(events: DataFrame, ts: str, arrived: str, days: int = 14) -> DataF
     return events.groupBy(F.col(arrived).alias("arrived")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(delay > days).alias("late"))
 
 
-def start_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], output: str = "update"):
-    """Write a keyed aggregate stream to a table; the batch number settles which row of a key is newest."""
+def start_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], output: str = "update", partition: str | None = None):
+    """Write a keyed aggregate stream to a table; the batch number settles which row of a key is newest. A batch rewrites only the partitions it touches."""
 
     def write(batch: DataFrame, number: int) -> None:
-        upsert(batch.sparkSession, path, batch.withColumn("batch", F.lit(number)), keys, "batch")
+        upsert(batch.sparkSession, path, batch.withColumn("batch", F.lit(number)), keys, "batch", partition)
 
     return stream.writeStream.outputMode(output).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 

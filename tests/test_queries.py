@@ -6,7 +6,7 @@ from oracle import compare
 from risklattice.plans import ORACLES, QUERIES
 
 # Model fits take long; their properties are tested in test_models.py.
-SLOW = ("M17", "M18", "M19", "M20", "Q1_")
+SLOW = ("M7", "M9", "M17", "M18", "M19", "M20")
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
@@ -18,11 +18,3 @@ def test_matches_sql(spark, sf, duck, key):
 def test_runs(spark, sf, key):
     df = QUERIES[key](spark, sf)
     assert df.columns and df.count() >= 0
-
-
-def test_leakage_probe_finds_nothing(spark, sf):
-    rows = QUERIES["Q1_leakage_probe"](spark, sf).collect()
-    assert len(rows) == 42
-    assert [r.feature for r in rows if r.leaked_rows] == []
-    fixed = {"nb_degree", "cal_sin", "cal_cos", "time_index"}
-    assert all(r.later_rows > 0 for r in rows if r.feature not in fixed | {"own_ever"})
