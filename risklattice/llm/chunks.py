@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from risklattice.session import cut_lineage
 
 LEAST, MEAN = 12, 16  # least bytes of a chunk; mean bytes from there to the next boundary
-PASSAGE = 80  # bytes of consecutive repeated chunks that make a passage; 50 words have about 300
+PASSAGE = 120  # bytes of consecutive repeated chunks that make a passage; 50 words have about 300, of which some 40 at each end are lost
 GEAR = np.random.RandomState(7).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 PIECE = 1 << 22  # bytes hashed at a time
 

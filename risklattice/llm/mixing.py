@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)  # by place of the source, repeating
 SHARE = 1.5  # of all words
 MOST_COPIES = 2.0
+SENT_SOURCES = 20_000  # at most so many rows, one a source, are sent to all tasks; beyond that the documents are joined by source
 DIGITS, LEVELS = 3, 4  # hex digits of the hash that each histogram resolves; 4,096 buckets a source
 
 
@@ -92,7 +93,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     added = ["size", "source_size", "target", "taken"]
     base = docs.drop(*added)
     sizes = cut_lineage(base.select("source", n_words("text").alias("size"), place_hash("doc_id").alias("hash")))
-    cuts = thresholds(sizes, source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_s")
+    cuts = cut_lineage(thresholds(sizes, source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_s"))
+    if cuts.count() <= SENT_SOURCES:
+        cuts = F.broadcast(cuts)  # texts then stay where they are
     joined = base.withColumns({"size": n_words("text"), "_hash": place_hash("doc_id")}).join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left")
     more = (F.col("_hash") < F.col("_edge")) | (F.col("_with") & (F.col("_hash") == F.col("_edge")))
     taken = F.col("size") * (F.col("whole") + F.when(more, 1).otherwise(0))
