@@ -70,7 +70,7 @@ def crosswalk(labels: DataFrame, reference: DataFrame, overrides: DataFrame, thr
 
     return joined.select(
         *labels.columns, pick("code").alias("code"), pick("official_name").alias("official_name"), kind.alias("match_type"),
-        F.when(kind.isin("manual", "exact"), F.lit(1.0)).otherwise(F.round(F.coalesce(F.col("_fuzzy.score"), F.lit(0.0)), 3)).alias("score"),
+        F.when(kind.isin("manual", "exact"), F.lit(1.0)).otherwise(F.round(F.coalesce(F.col("_fuzzy.score"), F.lit(0.0)), 4)).alias("score"),
     )
 
 

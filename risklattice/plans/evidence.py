@@ -152,7 +152,7 @@ bst as (select group_key, name_key, arg_min(code, (-score, code)) as code, max(s
 xw as (
   select b.group_key, b.name_key, b.records, coalesce(mc, ec, case when s.score >= 0.88 then s.code end) as code,
     case when mc is not null then 'manual' when ec is not null then 'exact' when s.score >= 0.88 then 'fuzzy' else 'unmatched' end as match_type,
-    case when mc is not null or ec is not null then 1.0::double else round(coalesce(s.score, 0), 3) end as score
+    case when mc is not null or ec is not null then 1.0::double else round(coalesce(s.score, 0), 4) end as score
   from base b left join bst s using (group_key, name_key))"""
 
 
