@@ -52,7 +52,7 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bo
     for k, v in attrs:
         if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "role" and v in ROLES):
             return True
-        if k in ("class", "id") and v and not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", v.lower())):
+        if k in ("class", "id") and v and NOISE.intersection(re.split(r"[^a-z0-9]+", v.lower())) - ({"header"} if inside else set()):
             return True
         if k == "style" and v and re.search(r"display\s*:\s*none", v, re.I):
             return True
