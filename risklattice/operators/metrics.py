@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risklattice.functions.scalar import clip, ratio
-from risklattice.operators.ranking import cell_quantiles, ordered_numbers, ranked_within, running_totals, score_cells, top_k
+from risklattice.operators.ranking import cell_quantiles, ordered_numbers, running_totals, score_cells, top_k
 
 
 def _confusion_cells(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

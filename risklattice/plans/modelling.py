@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from risklattice.functions.scalar import clip
 from risklattice.operators import bands, models, recapture
 from risklattice.operators import panel as P
-from risklattice.plans.base import QUERIES, SCORES, areas, events, features, query, r, scores, table
+from risklattice.plans.base import QUERIES, SCORES, areas, events, features, query, r, scores
 from risklattice.plans.panels import FEATURE_SQL
 from risklattice.session import cut_lineage
 
