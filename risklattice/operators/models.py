@@ -148,6 +148,21 @@ class Learner:
         return float(self.model.stages[-1].intercept)
 
 
+@dataclass
+class Ranker:
+    """A column taken as the score: a baseline that goes through the same protocols as a fitted learner."""
+
+    column: str
+    label: str = "y"
+    weight: str | None = None
+
+    def fit(self, train: DataFrame) -> "Ranker":
+        return self
+
+    def score(self, df: DataFrame, name: str = "score") -> DataFrame:
+        return df.withColumn(name, F.col(self.column).cast("double"))
+
+
 @dataclass
 class Calibrated:
     """Average of isotonic-calibrated fits, each calibrated on rows held out of it."""
@@ -335,20 +350,20 @@ def rolling_origin(panel: DataFrame, learner: Learner, folds: int, test_weeks: i
     return cut_lineage(out)  # every metric reads the scores again
 
 
-def horizon_experiment(panel: DataFrame, horizons: list[int], learner: Learner, folds: int, test_weeks: int, last_step: int, k: int = 20, events: str = "events") -> DataFrame:
+def horizon_experiment(panel: DataFrame, horizons: list[int], learner: Learner | Ranker, folds: int, test_weeks: int, last_step: int, k: int = 20, events: str = "events", calibrate: bool = True) -> DataFrame:
     """Same model and protocol for several forecast horizons (in weeks)."""
     parts = []
     for h in horizons:
         labelled = complete_horizon(panel.withColumn("y", forward_label(events, h)), h, F.lit(last_step))
-        scores = rolling_origin(cut_lineage(labelled), learner, folds, test_weeks, last_step - (h - 1))
+        scores = rolling_origin(cut_lineage(labelled), learner, folds, test_weeks, last_step - (h - 1), calibrate)
         parts.append(evaluate(scores, ["fold"], k).withColumn("horizon_days", F.lit(7 * h)))
     return _stacked(parts)
 
 
-def delay_experiment(build, delays: list[int], learner: Learner, folds: int, test_weeks: int, last_step: int, k: int = 20) -> DataFrame:
+def delay_experiment(build, delays: list[int], learner: Learner | Ranker, folds: int, test_weeks: int, last_step: int, k: int = 20, calibrate: bool = True) -> DataFrame:
     """Same model on features rebuilt with further weeks withheld; ``build(delay)`` returns a labelled panel."""
     return _stacked([
-        evaluate(rolling_origin(build(d), learner, folds, test_weeks, last_step), ["fold"], k).withColumn("delay_weeks", F.lit(d)) for d in delays
+        evaluate(rolling_origin(build(d), learner, folds, test_weeks, last_step, calibrate), ["fold"], k).withColumn("delay_weeks", F.lit(d)) for d in delays
     ])
 
 

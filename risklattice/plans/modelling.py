@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from risklattice.functions.scalar import clip
 from risklattice.operators import bands, models, recapture
 from risklattice.operators import panel as P
-from risklattice.plans.base import QUERIES, SCORES, areas, events, features, query, r, scores
+from risklattice.plans.base import DENSE, QUERIES, SCORES, areas, dense_events, features, query, r, scores
+from risklattice.plans.measures import HORIZONS, two_sources
 from risklattice.plans.panels import FEATURE_SQL
 from risklattice.session import cut_lineage
 
 NAMES = P.feature_names()
 K, FOLDS, TEST_WEEKS, BURN_IN = 5, 5, 52, 52
-HORIZONS, DELAYS = [1, 2, 4], [0, 1, 2]
+HORIZONS_WEEKS, DELAYS = [1, 2, 4], [0, 1, 2]
 LOGISTIC = models.Learner(NAMES, balanced=True)
 FOREST = models.Learner(NAMES, kind="forest", balanced=True)
 BOOSTING = models.Learner(NAMES, kind="boosting")
@@ -198,7 +199,7 @@ def rounded(metrics):
 @query("M17_horizon_experiment")
 def _(spark, sf):
     panel = labelled(spark, sf)
-    return rounded(models.horizon_experiment(panel.drop("y"), HORIZONS, LOGISTIC, FOLDS, TEST_WEEKS, last_week(panel), K))
+    return rounded(models.horizon_experiment(panel.drop("y"), HORIZONS_WEEKS, LOGISTIC, FOLDS, TEST_WEEKS, last_week(panel), K))
 
 
 @query("M18_delay_experiment")
@@ -209,8 +210,6 @@ def _(spark, sf):
 
 @query("M19_under_reporting_experiment")
 def _(spark, sf):
-    from risklattice.plans.measures import two_sources
-
     panel = labelled(spark, sf)
     detected = recapture.detection(two_sources(spark, sf), "F", "O", areas(spark, sf))
     weights = recapture.detection_weights(areas(spark, sf).select("area", "grp"), detected)
@@ -221,3 +220,44 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = split(labelled(spark, sf))
     return rounded(models.calibration_schemes(train, test, LOGISTIC, K))
+
+
+# ---- the same protocols with a ranker in the learner's place, so that SQL gives folds, labels, delays and metrics exactly
+
+def metrics_sql(source: str, key: str) -> str:
+    """SQL of models.evaluate over rows (key, fold, area, week, y, score)."""
+    g = f"{key}, fold"
+    return f"""
+c0 as (select {g}, score, sum(y) as tp, count(*) as n from {source} group by all),
+c1 as (select *, sum(tp) over (partition by {g} order by score desc) as cum_tp, sum(n) over (partition by {g} order by score desc) as cum_n from c0),
+q as (
+  select {g}, cast(sum(n) as bigint) as rows, cast(sum(tp) as bigint) as positives, sum(tp)::double / sum(n) as base_rate, sum(tp * cum_tp::double / cum_n) / nullif(sum(tp), 0) as average_precision,
+    (sum(tp * ((n - tp) / 2.0::double - (cum_n - cum_tp))) + sum(tp)::double * sum(n - tp)) / nullif(sum(tp)::double * sum(n - tp), 0) as roc_auc
+  from c1 group by all),
+rk as (select *, row_number() over (partition by {g}, week order by score desc, area) as place from {source}),
+k as (
+  select {g}, sum(y) filter (place <= {K})::double / nullif(sum(y), 0) as recall, count(distinct area) as areas,
+    avg(power(y - greatest(0.0::double, least(1.0::double, score)), 2)) as brier
+  from rk group by all)
+select {g}, rows, positives, round(base_rate, 4) as base_rate, round(average_precision, 4) as average_precision, round(roc_auc, 4) as roc_auc,
+  round(recall, 4) as recall_at_k, round(recall / ({K}::double / areas), 4) as lift_at_k, round(brier, 4) as brier
+from q join k using ({g})"""
+
+
+@query("M17_horizon_ranker", f"with {HORIZONS}, x as (select horizon_days, fold, area, week, y, score::double as score from hf), {metrics_sql('x', 'horizon_days')}")
+def _(spark, sf):
+    panel = cut_lineage(dense_events(spark, sf).withColumn("recent", P.rolling_sum("events", 4)))
+    return rounded(models.horizon_experiment(panel, HORIZONS_WEEKS, models.Ranker("recent"), FOLDS, TEST_WEEKS, last_week(panel), K, calibrate=False))
+
+
+DELAYED = DENSE + ",".join([""] + [f"""
+d{d} as (select {d} as delay_weeks, area, week, t, case when events > 0 then 1 else 0 end as y, coalesce(sum(events) over (partition by area order by t rows between {4 + d} preceding and {1 + d} preceding), 0)::double as score from dense)""" for d in DELAYS]) + """,
+dd as (select * from d0 union all select * from d1 union all select * from d2),
+dx as (select *, cast(5 - floor(((select max(t) from dense) - t) / 52) as integer) as fold from dd where (select max(t) from dense) - t < 260)"""
+
+
+@query("M18_delay_ranker", f"with {DELAYED}, {metrics_sql('dx', 'delay_weeks')}")
+def _(spark, sf):
+    dense = cut_lineage(dense_events(spark, sf).withColumn("y", (F.col("events") > 0).cast("int")))
+    build = lambda d: dense.withColumn("recent", P.rolling_sum("events", 4, d))
+    return rounded(models.delay_experiment(build, DELAYS, models.Ranker("recent"), FOLDS, TEST_WEEKS, last_week(dense), K, calibrate=False))
