@@ -123,22 +123,26 @@ def weighted_degree(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
-def page_rank(links: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def page_rank(links: DataFrame, tolerance: float = 1e-8, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """Weighted PageRank over directed (src, dst, weight) rows, normalised to sum one.
 
-    Each round is one join and one partial sum. Mass lost at nodes without links is not handed back round by
-    round; scaling the result at the end has the same fixed point. Lineage is cut through the shared
-    folder now and then.
+    Runs until no node's rank, one on average, moves by ``tolerance`` in a round; damping below one makes that certain. Each round is one
+    join and one partial sum. Mass lost at nodes without links is not handed back round by round; scaling the result at the end has the same
+    fixed point. Every few rounds are written to the shared folder, where convergence is tested.
     """
     links = links.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
     out_weight = links.groupBy("src").agg(F.sum("weight").alias("total"))
     step = cut_lineage(links.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    nodes = cut_lineage(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct())
-    rank = nodes.withColumn("rank", F.lit(1.0))
-    for i in range(1, rounds + 1):
-        got = step.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        rank = nodes.join(got, "node", "left").select("node", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if i % cut_every == 0 or i == rounds:
-            rank = cut_lineage(rank)
+    nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
+    rank = cut_lineage(nodes.withColumn("rank", F.lit(1.0)))
+    while True:
+        for _ in range(cut_every):
+            got = step.join(rank.select("node", "rank"), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+            moved = F.lit(1 - damping) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
+            rank = rank.select("node", F.col("rank").alias("before")).join(got, "node", "left").select("node", moved.alias("rank"), "before")
+        rank = cut_lineage(rank)
+        gap = rank.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        if gap is None or gap < tolerance:
+            break
     whole = rank.select(F.sum("rank")).scalar()
-    return rank.withColumn("rank", F.col("rank") / whole)
+    return rank.select("node", (F.col("rank") / whole).alias("rank"))

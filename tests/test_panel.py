@@ -96,5 +96,5 @@ def test_delay_shifts_features(spark):
 
 def test_page_rank_sums_to_one_and_prefers_the_hub(spark):
     links = spark.createDataFrame([("a", "h", 1), ("b", "h", 1), ("c", "h", 1), ("h", "a", 1)], "src string, dst string, weight int")
-    rank = dict(map(tuple, graph.page_rank(links, rounds=20).collect()))
+    rank = dict(map(tuple, graph.page_rank(links, tolerance=1e-6).collect()))
     assert abs(sum(rank.values()) - 1) < 1e-9 and max(rank, key=rank.get) == "h"
