@@ -14,9 +14,12 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 MESSAGE = "event_id long, user_id long, event_type string, value double, ts timestamp"
 
 
+FILES_A_BATCH = 8  # intake limit: bounds what one key can bring in one micro-batch
+
+
 def stream(spark, sf) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", FILES_A_BATCH).parquet(sf)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -7,11 +7,9 @@ import json
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from risklattice.session import cut_lineage
-
 
 def read_csv(spark: SparkSession, path: str, schema: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """CSV with a declared schema; no inference pass."""
@@ -108,11 +106,11 @@ def as_messages(df: DataFrame, key: str | None = None) -> DataFrame:
 def publish(df: DataFrame, sink: str, options: dict[str, str], key: str | None = None) -> int:
     """Write one message per row to any sink (``kafka`` where its package is present); returns the number written.
 
-    Messages are fixed in the shared folder first, so the number returned is of the very rows sent.
+    The number is observed while the rows are written, so they are computed once.
     """
-    messages = cut_lineage(as_messages(df, key))
-    messages.write.format(sink).options(**options).mode("append").save()
-    return messages.count()
+    sent = Observation("sent")
+    as_messages(df, key).observe(sent, F.count(F.lit(1)).alias("n")).write.format(sink).options(**options).mode("append").save()
+    return int(sent.get["n"])
 
 
 SERVING_TABLES = ("forecast", "drivers", "band_stats", "recent", "metadata")
