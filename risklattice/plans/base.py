@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from risklattice.functions.scalar import week_start
 from risklattice.operators import panel as P
 from risklattice.operators.graph import symmetric
+from risklattice.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,16 +83,18 @@ def measures() -> dict[str, Column]:
 
 
 def dense(spark, sf) -> DataFrame:
-    """area, grp, week, t, events, ops, deaths, taken: every nation and week from the first event to the last."""
-    ev = events(spark, sf)
-    totals = P.weekly_totals(ev, measures())
+    """area, grp, week, t, events, ops, deaths, taken: every nation and week from the first event to the last.
+
+    The weekly totals are written once; span, grid, neighbours and windows all start from them.
+    """
+    totals = cut_lineage(P.weekly_totals(events(spark, sf), measures()))
     grid = P.spine(areas(spark, sf).select("area", "grp"), *P.week_span(totals))
     return P.densify(grid, totals, ["events", "ops", "deaths", "taken"])
 
 
 def dense_events(spark, sf) -> DataFrame:
     """The same grid with target counts only."""
-    totals = P.weekly_totals(events(spark, sf), {"events": F.count_if(F.col("is_target"))})
+    totals = cut_lineage(P.weekly_totals(events(spark, sf), {"events": F.count_if(F.col("is_target"))}))
     grid = P.spine(areas(spark, sf).select("area", "grp"), *P.week_span(totals))
     return P.densify(grid, totals, ["events"])
 
