@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from risklattice.functions import text as T
 from risklattice.functions.scalar import week_start
-from risklattice.operators import conform, ranking, resolve
+from risklattice.operators import bands, conform, ranking, resolve, serve
 from risklattice.operators import panel as P
-from risklattice.plans.base import areas, query, table
+from risklattice.plans.base import areas, events, query, r, table
 from risklattice.plans.evidence import FOLD_SQL, GENERAL_SQL, general_log, specialist
+from risklattice.plans.measures import FORECAST, forecast, horizon_bands, horizon_labels
 
 START = "1993-01-01"
 KEY_SQL = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
@@ -28,8 +29,8 @@ def _(spark, sf):
     merged = conform.period_flags(conform.merge_sources(general_log(spark, sf), specialist(spark, sf)), START)
     labels = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("state_raw"), T.ascii_key("c_name").alias("key"), F.col("c_nationkey").alias("area"))
     matched = labels.groupBy("state_raw", "key").agg(F.min("area").alias("area"))
-    events = merged.filter("is_target and in_model_period").withColumn("key", T.ascii_key("lga_raw")).join(matched, ["state_raw", "key"]).withColumn("week", week_start("date"))
-    totals = P.weekly_totals(events, {"events": F.count(F.lit(1)), "taken": F.coalesce(F.sum("kidnapped"), F.lit(0.0))})
+    placed = merged.filter("is_target and in_model_period").withColumn("key", T.ascii_key("lga_raw")).join(matched, ["state_raw", "key"]).withColumn("week", week_start("date"))
+    totals = P.weekly_totals(placed, {"events": F.count(F.lit(1)), "taken": F.coalesce(F.sum("kidnapped"), F.lit(0.0))})
     dense = P.densify(P.spine(areas(spark, sf).select("area"), *P.week_span(totals)), totals, ["events", "taken"])
     return dense.select("area", "week", F.col("events").cast("double").alias("events"), F.round("taken", 2).alias("taken"), P.rolling_sum("events", 4).cast("double").alias("own_events_4w"))
 
@@ -63,3 +64,35 @@ def _(spark, sf):
     unplaced = docs.join(resolved.filter("code is null").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", T.normalise_key("text", "ascii").alias("blob"))
     hits = resolve.gazetteer_match(unplaced, gaz, "doc_id", "lang", ["blob"])
     return resolve.with_gazetteer(resolved, hits, "doc_id").select("doc_id", "basis", "code", "resolved")
+
+
+@query("E3_forecast_to_views", f"""with {FORECAST},
+st as (select horizon_days, band, avg(y) as realised_rate from hb group by 1, 2)
+select area, n_name as name, r_name as region, horizon_days, round(probability, 6) as probability, fc.band, rank, round(realised_rate, 6) as realised_rate
+from fc left join st using (horizon_days, band) join nation on n_nationkey = area join region on n_regionkey = r_regionkey""")
+def _(spark, sf):
+    """Scores to bands and ranks per horizon, each row with its tier's measured rate and its names: the table that a viewer reads."""
+    profile = bands.band_profile(horizon_bands(spark, sf), ["horizon_days"])
+    served = serve.with_tier_rate(forecast(spark, sf), profile)
+    regions = table(spark, sf, "region").select(F.col("r_regionkey").alias("grp"), F.col("r_name").alias("region"))
+    named = serve.decorate(served, areas(spark, sf).join(regions, "grp"), "area", ["name", "region"])
+    return named.select("area", "name", "region", "horizon_days", r("probability").alias("probability"), "band", F.col("rank").cast("long").alias("rank"), r("realised_rate").alias("realised_rate"))
+
+
+@query("A36_run_metadata", f"""with {FORECAST},
+mx as (select max(week) as newest from dense)
+select horizon_days, count(distinct week) filter (t > m - 52) as anchor_weeks, min(week) filter (t > m - 52) as anchor_from, max(week) as newest_labelled, cast(max(week) + horizon_days as date) as window_end,
+  count(distinct week) as training_weeks, round(avg(y) filter (t > m - 52), 6) as anchor_rate, (select count(*) from ev where week > (select newest from mx) - 91) as volume_13w
+from hs group by horizon_days""")
+def _(spark, sf):
+    """One row per horizon: the weeks behind its anchor, the weeks with a whole label, the end of the forecast window, the recent record volume."""
+    h = horizon_labels(spark, sf)
+    anchor = F.col("t") > F.col("last_t") - bands.ANCHOR_WEEKS
+    ev = events(spark, sf)
+    newest = ev.select(F.max("week")).scalar()
+    volume = ev.filter(F.col("week") > F.date_sub(newest, 91)).select(F.count(F.lit(1))).scalar()
+    found = h.groupBy("horizon_days").agg(
+        F.countDistinct(F.when(anchor, F.col("week"))).alias("anchor_weeks"), F.min(F.when(anchor, F.col("week"))).alias("anchor_from"), F.max("week").alias("newest_labelled"),
+        F.countDistinct("week").alias("training_weeks"), F.avg(F.when(anchor, F.col("y"))).alias("anchor_rate"),
+    )
+    return found.select("horizon_days", "anchor_weeks", "anchor_from", "newest_labelled", F.date_add("newest_labelled", F.col("horizon_days")).alias("window_end"), "training_weeks", r("anchor_rate").alias("anchor_rate"), volume.alias("volume_13w"))
