@@ -22,10 +22,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# A word, a sign, a token.
-CONTEXT = r"(?<![\p{L}_])[\p{L}_]{2,24}\x20?[=:]\x20?[\"'(<\[]?[^\x20\x09-\x0D\"'()<>\[\]]{1,64}+"
+# A word, a sign, a token, each taken whole; possessive repeats bound the work.
+CONTEXT = r"(?<![\p{L}_])[\p{L}_]{2,}+\x20?[=:]\x20?[\"'(<\[]?[^\x20\x09-\x0D\"'()<>\[\]]++"
 TOKEN = r"[^\x20\x09-\x0D\"'()<>\[\]]+$"
-LOOKS_LIKE_ID = r"^(?=.*[0-9].*[0-9])[A-Za-z0-9_@.+-]{6,64}$"
+LOOKS_LIKE_ID = r"^(?=.*[0-9].*[0-9])[A-Za-z0-9_@.+-]{6,}+$"
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3  # scoring rounds; least confidence and least seeds of a trusted pattern
 PRIOR = 1.0  # instances against a pattern before any is seen
 

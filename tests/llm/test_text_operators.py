@@ -101,6 +101,13 @@ def test_trusted_context_finds_unseen_ids(spark):
     assert all(not found[i] for i in range(len(texts)) if i != 8)
 
 
+def test_long_tokens_and_names_are_taken_whole(spark):
+    name, token = "a_name_of_more_than_twenty_four_letters", "eyJ0eXAi1." * 30 + "end"
+    texts = [f"{key}: user{i}@mail.org thanks" for i in range(8) for key in ("contact", name)] + [f"see contact: {token} now", f"see {name}: {token} now"]
+    found = {r.doc_id: r.id for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
+    assert [[texts[i][s.start : s.end] for s in found[i]] for i in (16, 17)] == [[token], [token]]
+
+
 def test_personal_data_of_odd_rows(spark):
     assert pii.find_personal_data(odd(spark).withColumn("email", F.lit("clash"))).count() == 5
     assert pii.find_personal_data(empty(spark)).count() == 0
