@@ -36,7 +36,7 @@ def occurrences(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
     def hashed(line: Column, pos: Column) -> Column:
         key = line_key(line)
-        return F.when(F.char_length(key) >= least_chars, F.struct(pos.alias("pos"), F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")))
+        return F.when(F.char_length(key) >= least_chars, F.struct(pos.alias("pos"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
 
     keys = F.explode(F.array_compact(F.transform(split_lines(F.col("text")), hashed)))
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), keys.alias("_k")).select("doc", "row", "_k.*")

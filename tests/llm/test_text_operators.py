@@ -108,6 +108,11 @@ def test_long_tokens_and_names_are_taken_whole(spark):
     assert [[texts[i][s.start : s.end] for s in found[i]] for i in (16, 17)] == [[token], [token]]
 
 
+def test_second_line_hash_reads_the_line(spark):
+    row = lines.occurrences(docs_of(spark, ["a line of more than twenty signs"])).withColumn("seeded", F.expr("xxhash64('a line of more than twenty signs', 1)")).first()
+    assert row.h2 != row.seeded  # which is a function of h1
+
+
 def test_personal_data_of_odd_rows(spark):
     assert pii.find_personal_data(odd(spark).withColumn("email", F.lit("clash"))).count() == 5
     assert pii.find_personal_data(empty(spark)).count() == 0
