@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklattice.llm import chunks, decontaminate, html, lines, mixing, neighbours, pii, simhash, tokens, toxicity
+from risklattice.llm import align, chunks, decontaminate, html, lines, mixing, neighbours, pieces, pii, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,27 @@ def op10(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op11_piece_encoding")
+def op11(spark, sf):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.encode(table(spark, sf, "documents"), path)
+    text = pieces.decoded("packed", path, spark)
+    spans = F.sha2(F.concat_ws("|", F.array_join("starts", ","), F.array_join("ends", ",")).cast("binary"), 256)
+    return found.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"), spans.alias("spans_sha256"))
+
+
+@query("op13_alignment")
+def op13(spark, sf):
+    import public_tokenizers
+
+    found = align.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    counted = align.with_counts(found.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
