@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklattice.llm import align, chunks, decontaminate, html, lines, mixing, neighbours, pieces, pii, simhash, tokens, toxicity
+from risklattice.llm import align, chunks, decontaminate, html, lines, mixing, neighbours, pieces, pii, ranked, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +98,11 @@ def op11(spark, sf):
     return found.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"), spans.alias("spans_sha256"))
 
 
+@query("op12_ranked_search", ranked.SQL)
+def op12(spark, sf):
+    return ranked.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op13_alignment")
 def op13(spark, sf):
     import public_tokenizers

@@ -13,7 +13,7 @@ def test_matches_sql(spark, sf, duck, key):
 
 
 def test_every_operator_has_a_query():
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_each_stage_takes_effect(spark, sf):

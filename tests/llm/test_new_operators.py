@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from risklattice.llm import align, pieces
+from risklattice.llm import align, pieces, ranked
 from risklattice.llm.queries import QUERIES
 from test_text_operators import DOC, docs_of, empty, odd
 
@@ -183,3 +183,66 @@ def test_new_text_operators_of_odd_rows(spark, byte_path, piece_path):
     assert sorted((r.doc_id is None, r.n_tokens) for r in rows)[:2] == [(False, 2), (False, 2)] and len(rows) == 5
     assert len(aligned(clashing, byte_path, piece_path)) == 5
     assert pieces.encode(empty(spark), piece_path).count() == 0 and aligned(empty(spark), byte_path, piece_path) == []
+
+
+def plain_terms(text):
+    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", folded)
+
+
+def plain_scores(docs, query):
+    """(score, id) of every document with a score above zero, best first."""
+    own = [(i, Counter(plain_terms(t))) for i, t in docs]
+    n_docs, n_terms = sum(1 for _, c in own if c), sum(sum(c.values()) for _, c in own)
+    out = []
+    for i, c in own:
+        score, size = 0, sum(c.values())
+        for t in set(plain_terms(query)) & set(c):
+            weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * sum(t in d for _, d in own) + 1)))
+            score += weight * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * (10 + 90 * size * n_docs // n_terms)))
+        if score > 0:
+            out.append((score, i))
+    return sorted(out, key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+
+
+def test_ranked_search_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeéß漢1") for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    texts = [" ".join(rng.choice(words[: rng.choice([5, 40, 150])]) for _ in range(rng.choice([1, 8, 40, 300]))) for _ in range(300)]
+    texts += [texts[0]] * 12 + [None, "", "-- !!", texts[1].upper(), " ".join(words) * 30, "x" * 50_000]
+    rows = [(None if i == 5 else 7 if i in (6, 8) else i, t) for i, t in enumerate(texts)]
+    queries = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(40)] + [(40, texts[0]), (41, None), (42, ""), (43, "unseen words only"), (44, "x" * 50_000)]
+    monkeypatch.setattr(ranked, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(ranked, "ITEM_BYTES", 1500)  # several blocks of documents and of items
+    monkeypatch.setattr(ranked, "ITEMS_AT_ONCE", 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("items", F.lit("clash")).withColumn("score", F.lit("clash")).repartition(3)
+    items = spark.createDataFrame([*queries, queries[0]], "item_id long, text string")
+    got = defaultdict(list)
+    for r in ranked.search(docs, items).orderBy("item_id", "rank").collect():
+        got[r.item_id].append((r.rank, r.score, r.doc_id))
+    want = {i: [(n, s, d) for n, (s, d) in enumerate(plain_scores(rows, q)[:10], 1)] for i, q in queries}
+    assert got == {i: w for i, w in want.items() if w}
+
+
+def test_bounds_hold_and_exclude(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    index, texts = ranked.build_index(docs).persist(), dict(texts_of(spark, sf))
+    block = next(ranked.item_blocks(items, "item_id", "text"))
+    found = ranked.prepared(index, block)
+    every, reach, total = list(range(len(block))), 0, 0
+    for row in index.filter("bits > 0").collect():
+        exact = [dict(found.score(texts[d], every)) for d in row.ids]
+        for begin, bounds in found.bounds(row.bits, np.array(row.sizes), row.slices):
+            real = np.array([[e.get(begin + i, 0) for e in exact] for i in range(len(bounds))])
+            assert (bounds >= real).all()
+            total += bounds.size
+            reach += int((bounds > 1.25 * real + 1_000_000).sum())
+    assert reach < 0.5 * total  # bounds are near the scores
+
+
+def test_ranked_search_of_odd_rows(spark):
+    items = spark.createDataFrame([(1, "same text twice"), (None, "no id"), (2, None)], "item_id long, text string")
+    rows = ranked.search(odd(spark), items).collect()
+    assert sorted((r.item_id is None, r.rank, r.doc_id) for r in rows if r.doc_id is not None) == [(False, 1, 3), (False, 2, 3)]
+    assert [(r.rank, r.doc_id) for r in rows if r.item_id is None] == [(1, None)]
+    assert ranked.search(empty(spark), items).count() == 0 and ranked.search(odd(spark), items.filter("false")).count() == 0
