@@ -1,8 +1,8 @@
 """Point, polygon and distance joins on a grid of cells.
 
 Polygons are (code, rings) with rings as array of rings of [x, y] points; a hole is one more ring.
-Every join is an equi-join on a grid cell. Points are made distinct first, so a place named by a third
-of all events is looked up once. Polygons and cells come from the closed area dimension.
+Every join is an equi-join on a grid cell. Polygons are turned once into a table of the cells they cover, and points and
+neighbours look cells up. Polygons and cells come from the closed area dimension.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from risklattice.session import cut_lineage
+from risklattice.session import cut_lineage, scratch_path
 
 SNAP_TOLERANCE = 0.025
 ADJACENCY_TOLERANCE = 0.002
@@ -28,8 +28,80 @@ def segments(polygons: DataFrame, code: str = "code", rings: str = "rings") -> D
     return out.filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+def crossed_cells(segs: DataFrame, cell: float, halo: float) -> DataFrame:
+    """One row per segment and grid cell (cx, cy) that lies at most ``halo`` from it.
+
+    The segment is traced column by column: a column takes only the rows that the piece of the segment inside it reaches, so a
+    long slanted segment is filed along its line and not over its whole box.
+    """
+    size, reach = F.lit(float(cell)), F.lit(halo + 1e-9 * cell)  # the last part covers rounding of the traced ends
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    column = segs.select("*", F.explode(F.sequence(F.floor((left - reach) / size), F.floor((right + reach) / size))).alias("cx"))
+
+    def height(x: Column) -> Column:
+        at = F.col("y1") + (x - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+        return F.greatest(low, F.least(high, at))
+
+    begin = height(F.greatest(left, F.least(right, F.col("cx") * size - reach)))
+    end = height(F.greatest(left, F.least(right, (F.col("cx") + 1) * size + reach)))
+    flat = F.col("x1") == F.col("x2")
+    lowest = F.when(flat, low).otherwise(F.least(begin, end)) - reach
+    highest = F.when(flat, high).otherwise(F.greatest(begin, end)) + reach
+    return column.select("*", F.explode(F.sequence(F.floor(lowest / size), F.floor(highest / size))).alias("cy"))
+
+
+def _side(x: Column, y: Column, s: Column | None = None) -> Column:
+    """Positive where (x, y) lies left of an upward segment. One expression decides all crossings at a point, so they agree."""
+    x1, y1, x2, y2 = [F.col(c) if s is None else s[c] for c in ("x1", "y1", "x2", "y2")]
+    return (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+
+
+def cell_cover(polygons: DataFrame, cell: float, halo: float, code: str = "code") -> DataFrame:
+    """The cells of each polygon: (cx, cy, code, odd, segs), written once to the shared folder.
+
+    ``segs`` are the boundary segments at most ``halo`` from the cell, null where there are none; ``odd`` tells whether the cell's
+    lower left corner is inside, by the parity of crossings of a ray to the right, which for a cell without segments holds for
+    the whole cell. Cells outside a polygon and off its boundary have no row. A corner counts as lying a hair right of and above
+    itself, so corners on vertices and edges need no special case. The work follows outlines and covered cells, whatever the number of points.
+    """
+    segs, size = segments(polygons, code), F.lit(float(cell))
+    # Columns up to which a segment's crossing with the line under a row lies right of the corners.
+    lined = segs.filter("y1 <> y2").select("*", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.ceil(F.greatest("y1", "y2") / size))).alias("cy"))
+    lined = lined.withColumn("_y", F.col("cy") * size).filter((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y")))
+    guess = F.floor((F.col("x1") + (F.col("_y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))) / size)
+
+    def right_of(k: Column) -> Column:
+        return _side(k * size, F.col("_y")) * F.signum(F.col("y2") - F.col("y1")) > 0
+
+    lined = lined.withColumn("_k", guess)
+    last = F.when(right_of(F.col("_k") + 1), F.col("_k") + 1).when(right_of(F.col("_k")), F.col("_k")).otherwise(F.col("_k") - 1)
+    rows = lined.select(code, "cy", last.alias("_k")).groupBy(code, "cy").agg(F.sort_array(F.collect_list("_k")).alias("_ks"))
+    spans = rows.select(code, "cy", F.explode(F.transform(F.sequence(F.lit(0), F.size("_ks") - 2, F.lit(2)), lambda i: F.struct((F.get("_ks", i) + 1).alias("a"), F.get("_ks", i + 1).alias("b")))).alias("_s"))
+    inner = spans.filter("_s.a <= _s.b").select("cy", code, F.explode(F.sequence("_s.a", "_s.b")).alias("cx"), F.lit(True).alias("odd"))
+    edge = crossed_cells(segs, cell, halo).select("cx", "cy", code, F.struct("x1", "y1", "x2", "y2").alias("seg"))
+    both = inner.withColumn("seg", F.lit(None).cast(edge.schema["seg"].dataType)).unionByName(edge.withColumn("odd", F.lit(False)))
+    cover = both.groupBy("cx", "cy", code).agg(F.max("odd").alias("odd"), F.collect_list("seg").alias("segs"))
+    path = scratch_path(polygons.sparkSession, "cover")
+    cover.withColumn("segs", F.when(F.size("segs") > 0, F.col("segs"))).write.parquet(path)
+    return polygons.sparkSession.read.parquet(path)
+
+
+def _inside(px: Column, py: Column, x0: Column, y0: Column, odd: Column, segs: Column) -> Column:
+    """Parity at a point of a cell: that of the corner, changed by segments on the way up the cell's left edge and then right to the point."""
+
+    def changes(s: Column) -> Column:
+        rises, run = F.signum(s["y2"] - s["y1"]), F.signum(s["x2"] - s["x1"])
+        at_corner, at_bend = _side(x0, y0, s), _side(x0, py, s)
+        # Above a place on the left edge: higher there, or through it and rising to the right.
+        above_corner = (-at_corner * run > 0) | ((at_corner == 0) & (rises * run > 0))
+        above_bend = (-at_bend * run > 0) | ((at_bend == 0) & (rises * run > 0))
+        up = ((s["x1"] > x0) != (s["x2"] > x0)) & above_corner & ~above_bend
+        across = ((s["y1"] > py) != (s["y2"] > py)) & (at_bend * rises > 0) & ~(_side(px, py, s) * rises > 0)
+        return up.cast("int") + across.cast("int")
+
+    crossings = F.aggregate(segs, F.lit(0), lambda n, s: n + changes(s))
+    return F.coalesce((crossings % 2 == 1) != odd, odd)
 
 
 def point_segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -48,42 +120,29 @@ def locate(points: DataFrame, polygons: DataFrame, cell: float, tolerance: float
     """Add ``code`` and ``how`` (inside, snapped, outside) to points.
 
     Inside is strict, so a boundary point is not inside; it then snaps at distance 0. A point that is in
-    no polygon takes the nearest boundary within the tolerance, ties to the smaller code.
+    no polygon takes the nearest boundary within the tolerance, ties to the smaller code. Points without a finite place are outside.
 
-    Each segment is filed under the grid rows (for the crossing count) and grid cells (for the
-    distance) it touches. A point crosses only segments of its own row, whose parity is summed per
-    polygon, so cost follows the segments nearby rather than a polygon's whole outline.
+    A point looks up its cell of the cover, in one join that keeps the points where they are if the cover is small (Spark checks
+    the written table's size) and splits hot cells otherwise. Cells inside a polygon answer at once; only boundary cells carry
+    segments, their own.
     """
-    where = points.select(F.col(x).alias("px"), F.col(y).alias("py")).dropna().distinct()
-    segs = segments(polygons, code)
-    # Crossing parity of a ray to the right, half-open in y so that shared vertices count once.
-    by_row = segs.filter("y1 <> y2").select("*", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell).alias("row"))
-    crossing = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
-    at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    inside = (
-        where.withColumn("row", F.floor(F.col("py") / cell)).join(by_row, "row")
-        .filter(crossing & (F.col("px") < at))
-        .groupBy("px", "py", code).agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1")
-    )
-    halo = F.lit(float(tolerance))
-    near_cells = segs.select(
-        "*", _cells(F.least("x1", "x2") - halo, F.greatest("x1", "x2") + halo, cell).alias("cx"),
-    ).select("*", _cells(F.least("y1", "y2") - halo, F.greatest("y1", "y2") + halo, cell).alias("cy"))
-    gap = point_segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
-    near = (
-        where.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
-        .join(near_cells, ["cx", "cy"]).withColumn("gap", gap).filter(F.col("gap") <= halo)
-        .groupBy("px", "py", code).agg(F.min("gap").alias("gap"))
-    )
-    both = inside.select("px", "py", code, F.lit(True).alias("in_ring")).join(near, ["px", "py", code], "full_outer")
-    contained = F.coalesce(F.col("in_ring"), F.lit(False)) & (F.coalesce(F.col("gap"), F.lit(1.0)) > 0)
-    ranked = both.withColumn("_order", F.struct(
-        F.when(contained, 0).otherwise(1).alias("tier"), F.when(contained, F.lit(0.0)).otherwise(F.col("gap")).alias("gap"), F.col(code)
-    ))
-    best = ranked.groupBy("px", "py").agg(F.min("_order").alias("_o"))
-    found = best.select("px", "py", F.col(f"_o.{code}").alias(code), F.when(F.col("_o.tier") == 0, "inside").otherwise("snapped").alias("how"))
-    joined = points.join(found, (F.col(x) == F.col("px")) & (F.col(y) == F.col("py")), "left").drop("px", "py")
-    return joined.withColumn("how", F.coalesce("how", F.lit("outside")))
+    size = F.lit(float(cell))
+    cells = cell_cover(polygons, cell, tolerance, code).groupBy(F.col("cx").alias("_cx"), F.col("cy").alias("_cy")).agg(F.collect_list(F.struct(code, "odd", "segs")).alias("_near"))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    finite = F.coalesce((F.abs(px) < float("inf")) & (F.abs(py) < float("inf")), F.lit(False))  # not a number is above infinity here
+    placed = points.withColumns({"_cx": F.when(finite, F.floor(px / size)), "_cy": F.when(finite, F.floor(py / size))})
+
+    def option(e: Column) -> Column:
+        inside = _inside(px, py, F.col("_cx") * size, F.col("_cy") * size, e["odd"], e["segs"])
+        gap = F.array_min(F.transform(e["segs"], lambda s: point_segment_distance(px, py, s["x1"], s["y1"], s["x2"], s["y2"])))
+        contained = F.when(e["segs"].isNull(), e["odd"]).otherwise(inside & (gap > 0))
+        near = F.struct(F.lit(1).alias("tier"), gap.alias("gap"), e[code].alias("code"))
+        return F.when(contained, F.struct(F.lit(0).alias("tier"), F.lit(0.0).alias("gap"), e[code].alias("code"))).when(gap <= float(tolerance), near)
+
+    best = F.array_min(F.array_compact(F.transform("_near", option)))
+    found = placed.join(cells, ["_cx", "_cy"], "left").withColumn("_best", best)
+    how = F.when(F.col("_best.tier") == 0, "inside").when(F.col("_best.tier") == 1, "snapped").otherwise("outside")
+    return found.select(*points.columns, F.col("_best.code").alias(code), how.alias("how"))
 
 
 def _segments_cross(a: list[Column], b: list[Column]) -> Column:
@@ -99,38 +158,34 @@ def _segments_cross(a: list[Column], b: list[Column]) -> Column:
 def adjacency(polygons: DataFrame, cell: float, tolerance: float = ADJACENCY_TOLERANCE, code: str = "code") -> DataFrame:
     """Pairs (a < b) of polygons at most ``tolerance`` apart.
 
-    Boundary segments meet only inside a shared cell; identical segments of one polygon are filed once. A polygon of which a
-    part lies within another is found by locating one vertex of each of its rings.
+    Polygons meet only inside a shared cell of their cover, where the box of each one's segments is compared first; segments
+    are spread out only for pairs whose boxes are in reach. A polygon of which a part lies within another is found by looking up
+    one vertex of each of its rings in the cover.
     """
-    halo = F.lit(tolerance / 2)
-    segs = segments(polygons, code).select(
-        "*", _cells(F.least("x1", "x2") - halo, F.greatest("x1", "x2") + halo, cell).alias("cx"),
-    ).select("*", _cells(F.least("y1", "y2") - halo, F.greatest("y1", "y2") + halo, cell).alias("cy")).distinct()
-    left = segs.select("cx", "cy", F.col(code).alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
-    right = segs.select("cx", "cy", F.col(code).alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    a = [F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]
-    b = [F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")]
+    size, reach = F.lit(float(cell)), F.lit(float(tolerance))
+    cover = cell_cover(polygons, cell, tolerance / 2, code)
+    edges = cover.filter("segs is not null")
+    box = {
+        "w": F.array_min(F.transform("segs", lambda s: F.least(s["x1"], s["x2"]))), "e": F.array_max(F.transform("segs", lambda s: F.greatest(s["x1"], s["x2"]))),
+        "s": F.array_min(F.transform("segs", lambda s: F.least(s["y1"], s["y2"]))), "n": F.array_max(F.transform("segs", lambda s: F.greatest(s["y1"], s["y2"]))),
+    }
+    left, right = [edges.select("cx", "cy", F.col(code).alias(p), F.col("segs").alias(f"{p}_segs"), *[v.alias(f"{p}_{k}") for k, v in box.items()]) for p in "ab"]
+    in_reach = (F.col("a_w") - reach <= F.col("b_e")) & (F.col("b_w") - reach <= F.col("a_e")) & (F.col("a_s") - reach <= F.col("b_n")) & (F.col("b_s") - reach <= F.col("a_n"))
+    pairs = left.join(right, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & in_reach)
+    pairs = pairs.select("a", "b", F.explode("a_segs").alias("s"), "b_segs").select("a", "b", "s", F.explode("b_segs").alias("t"))
+    s, t = [[F.col(f"{v}.{c}") for c in ("x1", "y1", "x2", "y2")] for v in "st"]
     apart = F.least(
-        point_segment_distance(a[0], a[1], *b), point_segment_distance(a[2], a[3], *b),
-        point_segment_distance(b[0], b[1], *a), point_segment_distance(b[2], b[3], *a),
-    )
-    close = F.when(_segments_cross(a, b), F.lit(0.0)).otherwise(apart) <= tolerance
-    # Boxes of the two segments first: cheap, and rules out nearly all pairs of a cell.
-    in_reach = (F.least(a[0], a[2]) - tolerance <= F.greatest(b[0], b[2])) & (F.least(b[0], b[2]) - tolerance <= F.greatest(a[0], a[2]))
-    in_reach = in_reach & (F.least(a[1], a[3]) - tolerance <= F.greatest(b[1], b[3])) & (F.least(b[1], b[3]) - tolerance <= F.greatest(a[1], a[3]))
-    candidates = left.join(right, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & in_reach)
-    touching = candidates.drop("cx", "cy").distinct().filter(close).select("a", "b").distinct()
-    rings = polygons.select(F.col(code).alias("owner"), F.posexplode("rings").alias("ring", "_r")).filter(F.size("_r") > 0)
-    vertex = rings.select("owner", "ring", F.get(F.get("_r", F.lit(0)), F.lit(0)).alias("px"), F.get(F.get("_r", F.lit(0)), F.lit(1)).alias("py"))
-    by_row = segments(polygons, code).filter("y1 <> y2").select("*", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell).alias("row"))
-    crossing = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
-    at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    within = (
-        vertex.withColumn("row", F.floor(F.col("py") / cell)).join(by_row, "row").filter((F.col("owner") != F.col(code)) & crossing & (F.col("px") < at))
-        .groupBy("owner", "ring", code).agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1")
-        .select(F.least("owner", code).alias("a"), F.greatest("owner", code).alias("b"))
+        point_segment_distance(s[0], s[1], *t), point_segment_distance(s[2], s[3], *t),
+        point_segment_distance(t[0], t[1], *s), point_segment_distance(t[2], t[3], *s),
     )
-    return touching.union(within).distinct()
+    boxes = [F.least(s[i], s[i + 2]) - reach <= F.greatest(t[i], t[i + 2]) for i in (0, 1)] + [F.least(t[i], t[i + 2]) - reach <= F.greatest(s[i], s[i + 2]) for i in (0, 1)]
+    touching = pairs.filter(boxes[0] & boxes[1] & boxes[2] & boxes[3]).filter((apart <= reach) | _segments_cross(s, t)).select("a", "b").distinct()
+    ring = polygons.select(F.col(code).alias("owner"), F.explode("rings").alias("_r")).filter(F.size("_r") > 0)
+    vertex = ring.select("owner", F.get(F.get("_r", F.lit(0)), F.lit(0)).alias("px"), F.get(F.get("_r", F.lit(0)), F.lit(1)).alias("py"))
+    vertex = vertex.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
+    inside = _inside(F.col("px"), F.col("py"), F.col("cx") * size, F.col("cy") * size, F.col("odd"), F.col("segs"))
+    within = vertex.join(cover, ["cx", "cy"]).filter((F.col("owner") != F.col(code)) & inside)
+    return touching.union(within.select(F.least("owner", code), F.greatest("owner", code))).distinct()
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -369,7 +369,7 @@ def _(spark, sf):
     n = table(spark, sf, "nation")
     polygons = n.select(F.col("n_nationkey").alias("code"), square((F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double"), F.lit(1.0)).alias("rings"))
     points = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_orderkey") % 1300) / 250.0 - 0.1).alias("x"), ((F.col("o_custkey") * 7 % 1300) / 250.0 - 0.1).alias("y"))
-    return spatial.locate(points, polygons, 0.5).select("o_orderkey", "code", "how")
+    return spatial.locate(points, polygons, 0.125).select("o_orderkey", "code", "how")
 
 
 @query("J10_adjacency", """
