@@ -79,7 +79,11 @@ def cell_cover(polygons: DataFrame, cell: float, halo: float, code: str = "code"
     rows = lined.select(code, "cy", last.alias("_k")).groupBy(code, "cy").agg(F.sort_array(F.collect_list("_k")).alias("_ks"))
     spans = rows.select(code, "cy", F.explode(F.transform(F.sequence(F.lit(0), F.size("_ks") - 2, F.lit(2)), lambda i: F.struct((F.get("_ks", i) + 1).alias("a"), F.get("_ks", i + 1).alias("b")))).alias("_s"))
     inner = spans.filter("_s.a <= _s.b").select("cy", code, F.explode(F.sequence("_s.a", "_s.b")).alias("cx"), F.lit(True).alias("odd"))
-    edge = crossed_cells(segs, cell, halo).select("cx", "cy", code, F.struct("x1", "y1", "x2", "y2").alias("seg"))
+    # ``left``: the segment meets the cell's left edge above the corner; higher there, or through the corner and rising to the right.
+    x0, y0 = F.col("cx") * size, F.col("cy") * size
+    rise, run = F.signum(F.col("y2") - F.col("y1")), F.signum(F.col("x2") - F.col("x1"))
+    left = ((F.col("x1") > x0) != (F.col("x2") > x0)) & ((-_side(x0, y0) * run > 0) | ((_side(x0, y0) == 0) & (rise * run > 0)))
+    edge = crossed_cells(segs, cell, halo).select("cx", "cy", code, F.struct("x1", "y1", "x2", "y2", rise.alias("rise"), run.alias("run"), left.alias("left")).alias("seg"))
     both = inner.withColumn("seg", F.lit(None).cast(edge.schema["seg"].dataType)).unionByName(edge.withColumn("odd", F.lit(False)))
     cover = both.groupBy("cx", "cy", code).agg(F.max("odd").alias("odd"), F.collect_list("seg").alias("segs"))
     path = scratch_path(polygons.sparkSession, "cover")
@@ -87,18 +91,14 @@ def cell_cover(polygons: DataFrame, cell: float, halo: float, code: str = "code"
     return polygons.sparkSession.read.parquet(path)
 
 
-def _inside(px: Column, py: Column, x0: Column, y0: Column, odd: Column, segs: Column) -> Column:
+def _inside(px: Column, py: Column, x0: Column, odd: Column, segs: Column) -> Column:
     """Parity at a point of a cell: that of the corner, changed by segments on the way up the cell's left edge and then right to the point."""
 
     def changes(s: Column) -> Column:
-        rises, run = F.signum(s["y2"] - s["y1"]), F.signum(s["x2"] - s["x1"])
-        at_corner, at_bend = _side(x0, y0, s), _side(x0, py, s)
-        # Above a place on the left edge: higher there, or through it and rising to the right.
-        above_corner = (-at_corner * run > 0) | ((at_corner == 0) & (rises * run > 0))
-        above_bend = (-at_bend * run > 0) | ((at_bend == 0) & (rises * run > 0))
-        up = ((s["x1"] > x0) != (s["x2"] > x0)) & above_corner & ~above_bend
-        across = ((s["y1"] > py) != (s["y2"] > py)) & (at_bend * rises > 0) & ~(_side(px, py, s) * rises > 0)
-        return up.cast("int") + across.cast("int")
+        at_bend = _side(x0, py, s)
+        above_bend = (-at_bend * s["run"] > 0) | ((at_bend == 0) & (s["rise"] * s["run"] > 0))
+        across = ((s["y1"] > py) != (s["y2"] > py)) & (at_bend * s["rise"] > 0) & ~(_side(px, py, s) * s["rise"] > 0)
+        return F.when(s["left"] & ~above_bend, 1).otherwise(0) + across.cast("int")
 
     crossings = F.aggregate(segs, F.lit(0), lambda n, s: n + changes(s))
     return F.coalesce((crossings % 2 == 1) != odd, odd)
@@ -133,18 +133,30 @@ def locate(points: DataFrame, polygons: DataFrame, cell: float, tolerance: float
     placed = points.withColumns({"_cx": F.when(finite, F.floor(px / size)), "_cy": F.when(finite, F.floor(py / size))})
 
     def option(e: Column) -> Column:
-        inside = _inside(px, py, F.col("_cx") * size, F.col("_cy") * size, e["odd"], e["segs"])
         gap = F.array_min(F.transform(e["segs"], lambda s: point_segment_distance(px, py, s["x1"], s["y1"], s["x2"], s["y2"])))
-        contained = F.when(e["segs"].isNull(), e["odd"]).otherwise(inside & (gap > 0))
-        near = F.struct(F.lit(1).alias("tier"), gap.alias("gap"), e[code].alias("code"))
-        return F.when(contained, F.struct(F.lit(0).alias("tier"), F.lit(0.0).alias("gap"), e[code].alias("code"))).when(gap <= float(tolerance), near)
+        return F.struct(_inside(px, py, F.col("_cx") * size, e["odd"], e["segs"]).alias("inside"), gap.alias("gap"), e[code].alias("code"))
 
-    best = F.array_min(F.array_compact(F.transform("_near", option)))
+    def rank(o: Column) -> Column:
+        near = F.struct(F.lit(1).alias("tier"), o["gap"].alias("gap"), o["code"].alias("code"))
+        contained = o["inside"] & F.coalesce(o["gap"] > 0, F.lit(True))
+        return F.when(contained, F.struct(F.lit(0).alias("tier"), F.lit(0.0).alias("gap"), o["code"].alias("code"))).when(o["gap"] <= float(tolerance), near)
+
+    best = F.array_min(F.array_compact(F.transform(F.transform("_near", option), rank)))
     found = placed.join(cells, ["_cx", "_cy"], "left").withColumn("_best", best)
     how = F.when(F.col("_best.tier") == 0, "inside").when(F.col("_best.tier") == 1, "snapped").otherwise("outside")
     return found.select(*points.columns, F.col("_best.code").alias(code), how.alias("how"))
 
 
+def _within_reach(px: Column, py: Column, s: list[Column], reach: float) -> Column:
+    """Whether a point is at most ``reach`` from a segment of some length; a point on it is, whatever the rounding."""
+    x1, y1, x2, y2 = s
+    dx, dy = x2 - x1, y2 - y1
+    along = F.greatest(F.least(((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy), F.lit(1.0)), F.lit(0.0))
+    ex, ey = px - (x1 + along * dx), py - (y1 + along * dy)
+    on_it = ((px - x1) * dy == (py - y1) * dx) & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
+    return (ex * ex + ey * ey <= reach * reach) | on_it
+
+
 def _segments_cross(a: list[Column], b: list[Column]) -> Column:
     ax, ay, bx, by = a
     cx, cy, dx, dy = b
@@ -174,16 +186,14 @@ def adjacency(polygons: DataFrame, cell: float, tolerance: float = ADJACENCY_TOL
     pairs = left.join(right, ["cx", "cy"]).filter((F.col("a") < F.col("b")) & in_reach)
     pairs = pairs.select("a", "b", F.explode("a_segs").alias("s"), "b_segs").select("a", "b", "s", F.explode("b_segs").alias("t"))
     s, t = [[F.col(f"{v}.{c}") for c in ("x1", "y1", "x2", "y2")] for v in "st"]
-    apart = F.least(
-        point_segment_distance(s[0], s[1], *t), point_segment_distance(s[2], s[3], *t),
-        point_segment_distance(t[0], t[1], *s), point_segment_distance(t[2], t[3], *s),
-    )
     boxes = [F.least(s[i], s[i + 2]) - reach <= F.greatest(t[i], t[i + 2]) for i in (0, 1)] + [F.least(t[i], t[i + 2]) - reach <= F.greatest(s[i], s[i + 2]) for i in (0, 1)]
-    touching = pairs.filter(boxes[0] & boxes[1] & boxes[2] & boxes[3]).filter((apart <= reach) | _segments_cross(s, t)).select("a", "b").distinct()
+    close = _within_reach(s[0], s[1], t, tolerance) | _within_reach(s[2], s[3], t, tolerance) | _within_reach(t[0], t[1], s, tolerance) | _within_reach(t[2], t[3], s, tolerance) | _segments_cross(s, t)
+    # An aggregate works out parts that the tests share once; as a filter each test would work out its own.
+    touching = pairs.filter(boxes[0] & boxes[1] & boxes[2] & boxes[3]).groupBy("a", "b").agg(F.bool_or(close).alias("close")).filter("close").select("a", "b")
     ring = polygons.select(F.col(code).alias("owner"), F.explode("rings").alias("_r")).filter(F.size("_r") > 0)
     vertex = ring.select("owner", F.get(F.get("_r", F.lit(0)), F.lit(0)).alias("px"), F.get(F.get("_r", F.lit(0)), F.lit(1)).alias("py"))
     vertex = vertex.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
-    inside = _inside(F.col("px"), F.col("py"), F.col("cx") * size, F.col("cy") * size, F.col("odd"), F.col("segs"))
+    inside = _inside(F.col("px"), F.col("py"), F.col("cx") * size, F.col("odd"), F.col("segs"))
     within = vertex.join(cover, ["cx", "cy"]).filter((F.col("owner") != F.col(code)) & inside)
     return touching.union(within.select(F.least("owner", code), F.greatest("owner", code))).distinct()
 
