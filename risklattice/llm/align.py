@@ -58,7 +58,7 @@ class ByteTokens:
             memo.clear()
         words = [self.cut.findall(t) for t in texts]
         new = list(set().union(*words).difference(memo))
-        for word, found in zip(new, self.tok.encode_batch(new, add_special_tokens=False) if new else []):
+        for word, found in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False) if new else []):
             memo[word] = array("I", found.ids).tobytes()
         out = [np.frombuffer(b"".join(map(memo.__getitem__, some)), "<u4") for some in words]
         for word in new:
@@ -139,24 +139,29 @@ class Aligner:
         ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
         last_a, last_b = shared_cuts(ends_a, ends_b, first_a, first_b)
 
-        # The stretch between two ends of either side belongs to one token of each: that is a link.
-        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
-        ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
-        at_a, width = np.searchsorted(ends_a, ends), len(self.sizes[1])
-        text = np.searchsorted(first_a[1:], at_a, "right")
+        # The stretch between two ends of either side belongs to one token of each: that is a link. An end's tokens are
+        # those after all ends of their side before it.
+        both = np.sort(np.concatenate([2 * ends_a, 2 * ends_b + 1]))
+        of_b = both & 1
+        new = np.concatenate([[True], both[1:] >> 1 != both[:-1] >> 1])[: len(both)]
+        at_b = (np.cumsum(of_b) - of_b)[new]
+        at_a = np.flatnonzero(new) - at_b
+        text, width = np.repeat(np.arange(len(texts)), n_a)[at_a], len(self.sizes[1])
         n_links = np.bincount(text, minlength=len(texts))
-        key = np.sort((text * len(self.sizes[0]) + ids_a[at_a]) * width + ids_b[np.searchsorted(ends_b, ends)])
+        key = np.sort((text * len(self.sizes[0]) + ids_a[at_a]) * width + ids_b[at_b])
         begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.concatenate([begins, [len(key)]])).astype(np.int32)
         text, b_of = np.divmod(key[begins], width)
         text, a_of = np.divmod(text, len(self.sizes[0]))
 
-        # Groups as text: by group, then side, then token.
+        # Groups as text: a token comes after all earlier ones of its side and those of the other side in groups before, its own too for the second side.
         closes_a, closes_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-        closes_a[last_a], closes_b[last_b] = len(self.sizes[0]), len(self.sizes[1])
-        words = np.concatenate([self.written[0][ids_a + closes_a], self.written[1][ids_b + closes_b]])
-        group_a, group_b = np.searchsorted(last_a, np.arange(len(ids_a))), np.searchsorted(last_b, np.arange(len(ids_b)))
-        words = words[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        closes_a[last_a], closes_b[last_b] = 1, 1
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        words = np.empty(len(ids_a) + len(ids_b), object)
+        words[np.arange(len(ids_a)) + np.concatenate([[0], last_b + 1])[group_a]] = self.written[0][ids_a + closes_a * len(self.sizes[0])]
+        words[np.arange(len(ids_b)) + (last_a + 1)[group_b]] = self.written[1][ids_b + closes_b * width]
+        words = words.tolist()
         n_groups = np.diff(np.searchsorted(last_a, first_a))
         joint = first_a + first_b
         groups = ["".join(words[i:j])[:-1] for i, j in zip(joint.tolist(), joint[1:].tolist())]

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MEMO_ENTRIES, MEMO_CHARS = 1 << 18, 64  # merged words a worker remembers; only speed depends on them
-TEXT_BYTES = 1 << 22  # bytes of text whose pieces are held at a time; a longer text is held alone
+MEMO_ENTRIES, MEMO_CHARS = 1 << 17, 64  # merged words a worker remembers; only speed depends on them
+TEXT_BYTES = 1 << 21  # bytes of text whose pieces are held at a time; a longer text is held alone
 
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -242,36 +242,37 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def encode(docs: DataFrame, path: str, begin: bool = True, end: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, packed, starts, ends for every row.
+def encode(docs: DataFrame, path: str, begin: bool = True, end: bool = True, decode: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, packed, starts, ends for every row, and decoded, the text of the ids, if ``decode`` is set.
 
-    ``packed`` holds the ids as little-endian unsigned 32-bit integers, ``starts`` and ``ends`` the bytes of the original UTF-8
-    text that each id stands for; begin and end ids stand for nothing at the text's ends, and so does all but the last id of a
-    character that is written in bytes. Null and empty texts have only the begin and end ids. Null ids and repeated rows are
-    kept, a row each. Other columns are not read. No shuffle: one pass in place.
+    ``packed`` holds the ids as little-endian unsigned 32-bit integers, ``starts`` and ``ends``, packed alike, the bytes of the
+    original UTF-8 text that each id stands for; begin and end ids stand for nothing at the text's ends, and so does all but the
+    last id of a character that is written in bytes. Null and empty texts have only the begin and end ids. Null ids and repeated
+    rows are kept, a row each. Other columns are not read. No shuffle: one pass in place.
     """
     sent = docs.sparkSession.sparkContext.broadcast(load(path))  # at most the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        encoder = Encoder(model)
-        head, foot = np.array([model.begin] * begin, "<u4"), np.array([model.end] * end, "<u4")
+        encoder, decoder = Encoder(model), Decoder(model) if decode else None
+        head, foot = [model.begin] * begin, [model.end] * end
         for batch in batches:
             for rows in some_texts(batch, "text"):
-                packed, sizes, starts, ends = [], [], [], []
-                texts = rows.column("text").to_pylist()
+                texts, packed, starts, ends, back = rows.column("text").to_pylist(), [], [], [], []
                 for text, (ids, a, b) in zip(texts, encoder.encode(texts)):
-                    last = len((text or "").encode("utf-8"))
-                    packed.append(b"".join((head.tobytes(), ids.tobytes(), foot.tobytes())))
-                    sizes.append(len(packed[-1]) // 4)
-                    starts.append(np.concatenate([[0] * begin, a, [last] * end]).astype(np.int32))
-                    ends.append(np.concatenate([[0] * begin, b, [last] * end]).astype(np.int32))
-                columns = [rows.column("id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), lists(starts, pa.int32()), lists(ends, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "packed", "starts", "ends"])
-
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = some.mapInArrow(run, "id long, n_tokens long, packed binary, starts array<int>, ends array<int>")
-    return out.withColumnRenamed("id", id_col)
+                    last = [len((text or "").encode("utf-8"))] * end
+                    ids = np.concatenate([head, ids, foot]).astype("<u4")
+                    packed.append(ids.tobytes())
+                    starts.append(np.concatenate([[0] * begin, a, last]).astype("<u4").tobytes())
+                    ends.append(np.concatenate([[0] * begin, b, last]).astype("<u4").tobytes())
+                    if decode:
+                        back.append(decoder.decode(ids))
+                columns = [rows.column("id"), pa.array([len(p) // 4 for p in packed], pa.int64()), *(pa.array(x, pa.binary()) for x in (packed, starts, ends))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(back, pa.string())] * decode, names)
+
+    schema = "id long, n_tokens long, packed binary, starts binary, ends binary" + ", decoded string" * decode
+    names = [part.split()[0] for part in schema.split(", ")]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decoded(packed: Column | str, path: str, spark) -> Column:

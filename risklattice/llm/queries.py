@@ -91,11 +91,9 @@ def op10(spark, sf):
 def op11(spark, sf):
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    found = pieces.encode(table(spark, sf, "documents"), path)
-    text = pieces.decoded("packed", path, spark)
-    spans = F.sha2(F.concat_ws("|", F.array_join("starts", ","), F.array_join("ends", ",")).cast("binary"), 256)
-    return found.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"), spans.alias("spans_sha256"))
+    found = pieces.encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    digests = {"ids_sha256": "packed", "decoded_sha256": F.col("decoded").cast("binary"), "spans_sha256": F.concat("starts", "ends")}
+    return found.select("doc_id", "n_tokens", *(F.sha2(column, 256).alias(name) for name, column in digests.items()))
 
 
 @query("op12_ranked_search", ranked.SQL)
