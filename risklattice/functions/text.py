@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 import unicodedata
 
 import pandas as pd
@@ -25,13 +24,21 @@ FOLDED_LETTERS = {
 }
 
 
+_FOLDED = str.maketrans(FOLDED_LETTERS)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_OTHER = {mode: bytes(b for b in range(128) if not (chr(b).isalnum() or (mode == "words" and b == 32))) for mode in ("alnum", "ascii", "words")}
+
+
 def _key(text: str, mode: str) -> str:
-    text = unicodedata.normalize("NFKD", text.translate(str.maketrans(FOLDED_LETTERS))).lower()
-    if mode == "ascii":
-        return re.sub("[^a-z0-9]", "", text)
-    if mode == "words":
-        return re.sub("[^a-z0-9 ]", "", text).strip()
-    return "".join(filter(str.isalnum, text))
+    letters = set(text)
+    if not letters.isdisjoint(FOLDED_LETTERS):
+        text = text.translate(_FOLDED)
+    text = unicodedata.normalize("NFKD", text)
+    if mode == "alnum" and any(c > "\x7f" and c.isalnum() for c in set(text)):
+        return "".join(filter(str.isalnum, text.lower()))
+    # What is left beyond ASCII has no place in the key, and bytes are folded and cut at once.
+    plain = text.encode("ascii", "ignore").translate(_LOWER, _OTHER[mode]).decode("ascii")
+    return plain.strip() if mode == "words" else plain
 
 
 def normalise_key(value: Column | str, mode: str = "alnum") -> Column:

@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklattice.functions.text import containment, content_words
-from risklattice.session import cut_lineage
+from risklattice.functions.text import content_words
+from risklattice.operators.ranking import ordered_numbers
+from risklattice.session import cut_lineage, scratch_path
 
 LINK_THRESHOLD = 0.60
+HOT_ROWS = 4096  # rows of one side of a (block, word) that meet in one task
+
+
+def word_numbers(sets: DataFrame, words: str) -> DataFrame:
+    """(word, no): the words of all sets, the rarest first. One order for the whole corpus, whatever the block."""
+    counted = sets.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
+    return ordered_numbers(counted, [], ["_df", "word"], "no").select("word", F.col("no").cast("int").alias("no"))
+
+
+def numbered_sets(sets: DataFrame, keys: list[str], words: str, numbers: DataFrame) -> DataFrame:
+    """keys, ``size`` (all words of the set) and ``nos``, its words of the order, rarest first."""
+    each = sets.select(*keys, F.size(words).alias("size"), F.explode(words).alias("word")).join(numbers, "word")
+    return each.groupBy(*keys, "size").agg(F.sort_array(F.collect_list("no")).alias("nos"))
+
+
+def salted(probes: DataFrame, postings: DataFrame, on: list[str], probe_id: str, posting_id: str, rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_a`` and ``_b`` beside ``on``, so that no task meets more than about ``rows`` rows of one side of a hot key.
+
+    A key's postings are dealt to as many parts as they hold ``rows``, and so are its probes; each part of one side meets each of
+    the other. Keys with fewer rows stay as they are.
+    """
+    spark = probes.sparkSession
+    sizes = [df.groupBy(*on).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > rows) for df, n in ((probes, "_probes"), (postings, "_postings"))]
+    parts = {f"_{side}": F.ceil(F.coalesce(f"_{name}", F.lit(0)) / F.lit(float(rows))) for side, name in (("sb", "probes"), ("sa", "postings"))}
+    path = scratch_path(spark, "hot")
+    sizes[0].join(sizes[1], on, "full_outer").select(*on, *[F.greatest(v, F.lit(1)).cast("int").alias(k) for k, v in parts.items()]).write.parquet(path)
+    hot = spark.read.parquet(path)  # at most a row for each ``rows`` rows; Spark sees its size
+
+    def dealt(df: DataFrame, own: str, other: str, own_parts: str, other_parts: str, key: str) -> DataFrame:
+        joined = df.join(hot, on, "left")
+        part = F.pmod(F.xxhash64(key), F.coalesce(own_parts, F.lit(1))).cast("int")
+        return joined.select(*df.columns, part.alias(own), F.explode(F.sequence(F.lit(0), F.coalesce(other_parts, F.lit(1)) - 1)).alias(other))
+
+    return dealt(probes, "_b", "_a", "_sb", "_sa", probe_id), dealt(postings, "_a", "_b", "_sa", "_sb", posting_id)
 
 
 def find_duplicates(additional: DataFrame, main: DataFrame, block: list[str], title: str, narrative: str, threshold: float = LINK_THRESHOLD, add_id: str = "add_id", main_id: str = "main_id") -> DataFrame:
     """Best main record for each additional record that repeats it: (add_id, main_id, score).
 
     Score is the share of title words the narrative holds, inside equal non-null block keys; ties go to
-    the lowest main id. Three steps keep a hot block cheap and the result whole:
-
-    * equal word sets inside a block collapse to one row, keeping the lowest main id, so masses of copies
-      cost one comparison;
-    * a title of n words that reaches the threshold shares at least ceil(threshold * n) of them, hence at
-      least one of its n - ceil(threshold * n) + 1 rarest; only those look for partners, by an equi-join on
-      (block, word);
-    * the surviving pairs are checked on the full word sets.
+    the lowest main id. Four steps keep a hot block cheap and the result whole:
+
+    * equal word sets inside a block collapse to one row, keeping the lowest main id, so masses of copies cost one comparison;
+    * words become numbers, the rarest of the whole corpus first. A title of n words that reaches the threshold shares at least
+      ceil(threshold * n) of them, hence at least one of its n - ceil(threshold * n) + 1 first; only those look for partners,
+      by an equi-join on (block, word) whose hot keys are dealt to many tasks from both sides;
+    * the first shared word stands in the narrative where at least as many words are left as must be shared, which is settled
+      by its position, before word sets are read;
+    * the surviving pairs are checked on the full sets of numbers.
     """
     titles = additional.dropna(subset=block).select(*block, add_id, F.array_sort(content_words(title)).alias("_t"))
     # Word sets are written once: cutting text into words costs more than reading them back three times.
@@ -30,28 +66,26 @@ def find_duplicates(additional: DataFrame, main: DataFrame, block: list[str], ti
     titles = cut_lineage(titles.withColumn("_th", F.sha2(F.concat_ws(" ", "_t"), 256))).filter(F.size("_t") > 0)
     stories = main.dropna(subset=block).select(*block, main_id, F.array_sort(content_words(narrative)).alias("_n"))
     stories = stories.withColumn("_nh", F.sha2(F.concat_ws(" ", "_n"), 256))
-    title_sets = titles.groupBy(*block, "_th").agg(F.first("_t").alias("_t"))
+    title_sets = titles.groupBy(*block, "_th").agg(F.first("_t").alias("_t"), F.min(add_id).alias("_tid"))
     story_sets = cut_lineage(stories.groupBy(*block, "_nh").agg(F.first("_n").alias("_n"), F.min(main_id).alias(main_id))).filter(F.size("_n") > 0)
 
-    in_block = story_sets.select(*block, F.explode("_n").alias("_w")).groupBy(*block, "_w").agg(F.count(F.lit(1)).alias("_df"))
-    words = title_sets.select(*block, "_th", F.explode("_t").alias("_w"), F.size("_t").alias("_size"))
-    # A word no narrative of the block holds is as rare as can be, but cannot lead to a partner.
-    ranked = words.join(in_block, block + ["_w"], "left").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*block, "_th").orderBy(F.coalesce("_df", F.lit(0)), "_w"))
-    )
-    need = F.ceil(F.col("_size") * F.lit(float(threshold)) - F.lit(1e-9))
-    probes = ranked.filter((F.col("_rank") <= F.col("_size") - need + 1) & F.col("_df").isNotNull()).select(*block, "_w", "_th", need.alias("_need"))
-    postings = story_sets.select(*block, "_nh", F.size("_n").alias("_have"), F.explode("_n").alias("_w"))
-    # A narrative with fewer words than must be shared cannot match.
-    pairs = probes.join(postings, block + ["_w"]).filter("_have >= _need").select(*block, "_th", "_nh").distinct()
+    numbers = word_numbers(story_sets, "_n")
+    wanted = cut_lineage(numbered_sets(title_sets, [*block, "_tid"], "_t", numbers).withColumn("_need", F.ceil(F.col("size") * F.lit(float(threshold)) - F.lit(1e-9)).cast("int")))
+    stored = cut_lineage(numbered_sets(story_sets, [*block, main_id], "_n", numbers))
+    # Words that no narrative holds come first in the order; they count, but cannot lead to a partner.
+    first = F.col("size") - F.col("_need") + 1 - (F.col("size") - F.size("nos"))
+    probes = wanted.filter(first > 0).select(*block, "_tid", "_need", F.explode(F.slice("nos", F.lit(1), first)).alias("no"))
+    postings = stored.select(*block, main_id, F.size("nos").alias("_have"), F.posexplode("nos").alias("_at", "no")).withColumn("_left", F.col("_have") - F.col("_at")).drop("_have", "_at")
+    probes, postings = salted(probes, postings, [*block, "no"], "_tid", main_id)
+    pairs = probes.join(postings, [*block, "no", "_a", "_b"]).filter("_left >= _need").select(*block, "_tid", main_id).distinct()
+    shared = F.size(F.array_intersect("nos", "_nos"))
     scored = (
-        pairs.join(title_sets, block + ["_th"]).join(story_sets, block + ["_nh"])
-        .withColumn("score", containment(F.col("_t"), F.col("_n"))).filter(F.col("score") >= threshold)
-    )
-    best = scored.groupBy(*block, "_th").agg(
-        F.min_by(F.struct(F.col(main_id), F.col("score")), F.struct(-F.col("score"), F.col(main_id))).alias("_b")
+        pairs.join(wanted, [*block, "_tid"]).join(stored.select(*block, main_id, F.col("nos").alias("_nos")), [*block, main_id])
+        .withColumn("score", shared.cast("double") / F.col("size")).filter(F.col("score") >= threshold)
     )
-    return titles.select(*block, add_id, "_th").join(best, block + ["_th"]).select(add_id, f"_b.{main_id}", "_b.score")
+    best = scored.groupBy(*block, "_tid").agg(F.min_by(F.struct(F.col(main_id), F.col("score")), F.struct(-F.col("score"), F.col(main_id))).alias("_b"))
+    hashes = title_sets.select(*block, "_tid", "_th").join(best, [*block, "_tid"]).select(*block, "_th", "_b")
+    return titles.select(*block, add_id, "_th").join(hashes, block + ["_th"]).select(add_id, f"_b.{main_id}", "_b.score")
 
 
 def drop_linked(additional: DataFrame, links: DataFrame, add_id: str = "add_id") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklattice.operators.ranking import first_value
+from risklattice.operators.ranking import ordered_numbers
+from risklattice.session import cut_lineage, scratch_path
 
 SHORTEST_PLACE_NAME = 5
 
@@ -36,22 +37,38 @@ def gazetteer_match(texts: DataFrame, gazetteer: DataFrame, row_id: str, group:
     """Longest place name of the declared group contained in a text field, fields in the given order.
 
     ``texts`` holds normalised fields; ``gazetteer`` has (name_key, group_key, code, place), each name already
-    resolved to one area. Containment becomes an equi-join: at every position a text offers the letters that
-    start there, as many as the longest name has; the first ``shortest`` of them are the join key and the
-    rest settles the match. Texts are read whole, and they never travel: only short windows meet the
-    gazetteer. Ties of equal length go to the earlier gazetteer place.
+    resolved to one area. Ties of equal length go to the earlier gazetteer place. Texts are read whole and never travel:
+
+    * a name is covered by grams of ``shortest`` letters, side by side and one at its end; of the text only places that hold
+      such a gram of their group go on, as row, place and gram, after a join that Spark keeps local where the grams are few;
+    * of a name's grams the one that the texts hold least often proposes where the name begins;
+    * a proposal stands if the name's other grams are at their places too, so a name of any length is checked letter by letter.
     """
-    n = shortest
-    names = gazetteer.filter(F.length("name_key") >= n).withColumn("_gram", F.substring("name_key", 1, n))
-    # One number from the place dimension.
-    longest = names.agg(F.max(F.length("name_key"))).first()[0] or n
+    spark, n = texts.sparkSession, shortest
+    order = [(-F.length("name_key")).alias("_shorter"), F.col("place"), F.col("name_key")]
+    names = ordered_numbers(gazetteer.filter(F.length("name_key") >= n).dropDuplicates(["group_key", "name_key"]), [], order, "name_no")
+    last = F.length("name_key") - n
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(n)), F.array(last)))
+    covers = names.select("group_key", "name_key", "name_no", F.size(starts).alias("need"), F.explode(starts).alias("offset"))
+    path = scratch_path(spark, "covers")
+    covers.select("group_key", "name_no", "need", "offset", F.substring("name_key", F.col("offset") + 1, F.lit(n)).alias("gram")).write.parquet(path)
+    covers = spark.read.parquet(path)
+
     tall = F.explode(F.array(*[F.struct(F.lit(i).alias("field_no"), F.col(f).alias("blob")) for i, f in enumerate(fields)]))
     blobs = texts.filter(F.col(group).isNotNull()).select(row_id, F.col(group).alias("group_key"), tall.alias("b")).select(row_id, "group_key", "b.field_no", "b.blob")
-    windows = F.regexp_extract_all("blob", F.lit(f"(?=(.{{{n},{longest}}}))"), F.lit(1))
-    starts = blobs.select(row_id, "group_key", "field_no", F.explode(windows).alias("_w")).withColumn("_gram", F.substring("_w", 1, n))
-    hits = starts.join(names, ["group_key", "_gram"]).filter(F.startswith("_w", "name_key"))
-    order = F.struct("field_no", (-F.length("name_key")).alias("len"), "place", "name_key")
-    return first_value(hits.select(row_id, "field_no", "name_key", "place", "code"), [row_id], order, ["code", "name_key", "field_no"])
+    grams = blobs.select(row_id, "group_key", "field_no", F.posexplode(F.regexp_extract_all("blob", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).alias("at", "gram"))
+    found = cut_lineage(grams.join(covers.select("group_key", "gram").distinct(), ["group_key", "gram"], "left_semi"))
+
+    seen = found.groupBy("group_key", "gram").agg(F.count(F.lit(1)).alias("_seen"))
+    rarest = covers.join(seen, ["group_key", "gram"]).groupBy("group_key", "name_no", "need").agg(F.count(F.lit(1)).alias("_held"), F.min_by(F.struct("gram", "offset"), F.struct("_seen", "offset")).alias("_key"))
+    keys = rarest.filter("_held = need").select("group_key", "name_no", "need", "_key.gram", "_key.offset")
+    proposed = found.join(keys, ["group_key", "gram"]).select(row_id, "group_key", "field_no", (F.col("at") - F.col("offset")).alias("begin"), "name_no", "need", F.col("offset").alias("_first")).filter("begin >= 0")
+    others = covers.select("group_key", "name_no", "gram", "offset")
+    asked = proposed.filter("need > 1").join(others, ["group_key", "name_no"]).filter("offset <> _first").withColumn("at", F.col("begin") + F.col("offset"))
+    checked = asked.join(found, [row_id, "group_key", "field_no", "at", "gram"]).groupBy(row_id, "field_no", "begin", "name_no", "need").agg(F.count(F.lit(1)).alias("_there")).filter("_there = need - 1")
+    hits = proposed.filter("need = 1").select(row_id, "field_no", "name_no").unionByName(checked.select(row_id, "field_no", "name_no"))
+    best = hits.groupBy(row_id).agg(F.min(F.struct("field_no", "name_no")).alias("_b")).select(row_id, "_b.field_no", "_b.name_no")
+    return best.join(names.select("name_no", "code", "name_key"), "name_no").select(row_id, "code", "name_key", "field_no")
 
 
 def with_gazetteer(resolved: DataFrame, hits: DataFrame, row_id: str) -> DataFrame:

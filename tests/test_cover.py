@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from risklattice.operators import spatial
+from risklattice.operators import link, resolve, spatial
 
 POLY = "code string, rings array<array<array<double>>>"
 
@@ -92,3 +92,38 @@ def test_adjacency_equals_brute_force(spark, step):
 
     want = {(a, b) for a, r in polygons for b, q in polygons if a < b and near(r, q)}
     assert set(map(tuple, spatial.adjacency(spark.createDataFrame(polygons, POLY), 0.5, 0.05).collect())) == want
+
+
+def test_gazetteer_equals_brute_force(spark):
+    rng = random.Random(8)
+    names = {(g, "".join(rng.choice("ab") for _ in range(rng.randint(3, 17)))) for g in "xy" for _ in range(60)}
+    gaz = [(n, g, f"c{i}", i % 40) for i, (g, n) in enumerate(sorted(names))]
+    texts = [(i, rng.choice(["x", "y", "z", None]), *("".join(rng.choice("ab") for _ in range(rng.choice([0, 4, 30, 400]))) for _ in range(2))) for i in range(120)]
+    want = {}
+    for i, g, *fields in texts:
+        hits = [(f, -len(n), p, n, c) for f, t in enumerate(fields) for n, group, c, p in gaz if group == g and len(n) >= 5 and n in t]
+        if hits:
+            want[i] = (min(hits)[4], min(hits)[3], min(hits)[0])
+    out = resolve.gazetteer_match(spark.createDataFrame(texts, "id int, g string, a string, b string"), spark.createDataFrame(gaz, "name_key string, group_key string, code string, place int"), "id", "g", ["a", "b"])
+    assert {r.id: (r.code, r.name_key, r.field_no) for r in out.collect()} == want
+
+
+def test_hot_words_are_dealt_out(spark, monkeypatch):
+    """One block of texts built from the same few words: every pair is found, and no (word, part) holds more than a few times the bound."""
+    rng = random.Random(9)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(4) for j in range(5)]
+    rows = [(i, "b" if i % 7 else "c", " ".join(rng.sample(words, rng.randint(3, 12)))) for i in range(400)]
+    monkeypatch.setattr(link.salted, "__defaults__", (20,))
+    add, main = (spark.createDataFrame([(i, b, t) for i, b, t in rows if i % 2 == k], f"{n} long, block string, t string") for k, n in enumerate(("add_id", "main_id")))
+    got = {r.add_id: (r.main_id, round(r.score, 9)) for r in link.find_duplicates(add, main, ["block"], "t", "t").collect()}
+    want = {}
+    for i, b, t in rows[::2]:
+        own = set(t.split())
+        score, j = min((-len(own & set(u.split())) / len(own), j) for j, c, u in rows[1::2] if c == b)
+        if -score >= 0.6:
+            want[i] = (j, round(-score, 9))
+    assert got == want
+    keys = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, 5)], "no int, id long")
+    a, b = link.salted(keys, keys.withColumnRenamed("id", "other"), ["no"], "id", "other", 20)
+    sizes = [r["count"] for df in (a, b) for r in df.groupBy("no", "_a", "_b").count().collect()]
+    assert max(sizes) <= 60 and a.join(b, ["no", "_a", "_b"]).count() == 1000 * 1000 + 1
