@@ -7,10 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from risklattice.functions.text import matching_blocks_ratio
-from risklattice.operators.ranking import first_value
+from risklattice.functions.text import edit_ratio, matching_blocks_ratio
+from risklattice.operators.ranking import first_value, top_k
+from risklattice.session import cut_lineage
 
 FUZZY_THRESHOLD = 0.88
+SEED_GRAMS = 3
 
 
 def spellings(reference: DataFrame, group: Column, key, name_pattern: str, code: str) -> DataFrame:
@@ -46,6 +48,83 @@ def fuzzy_best(labels: DataFrame, reference: DataFrame, score=matching_blocks_ra
     return first_value(scored, ["group_key", "name_key"], order, ["code", "official_name", "score"])
 
 
+def letter_bits(name: Column) -> tuple[Column, Column]:
+    """Letters of a name as bits, two for each of a-z and twelve for all else, a bit an occurrence, and how many occurrences have no bit.
+
+    The ones two names have in common, with the smaller rest, are never fewer than the letters they share.
+    """
+    counts = [F.length(name) - F.length(F.replace(name, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz"]
+    counts.append(F.length(name) - sum(counts[1:], counts[0]))
+    room = [2] * 26 + [12]
+    unary = [F.shiftleft(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(r)).cast("int")) - 1, sum(room[:i])) for i, (n, r) in enumerate(zip(counts, room))]
+    rest = [F.greatest(n - r, F.lit(0)) for n, r in zip(counts, room)]
+    bits = unary[0]
+    for u in unary[1:]:
+        bits = bits.bitwiseOR(u)
+    return bits, sum(rest[1:], rest[0])
+
+
+def pairs_in_reach(labels: DataFrame, names: DataFrame, best: DataFrame) -> DataFrame:
+    """(group_key, name_key, ref): the pairs whose edit ratio can reach the best one known of the label, by bounds that no such pair escapes.
+
+    ``labels`` and ``names`` come from :func:`_gram_rows`, ``best`` adds ``best`` to the labels. An edit changes at most two grams
+    of a label, so a label that may change fewer grams than it has must share one of its rarest ones with the name. Labels that
+    may change all of them look through the names length by length. Either way the lengths and the letters in common must allow the ratio.
+    """
+    keys = ["group_key", "name_key"]
+    open_labels = labels.join(best, keys)
+    longer = F.greatest("_len", "ref_len")
+    common = F.bit_count(F.col("_bits").bitwiseAND(F.col("ref_bits"))) + F.least("_rest", "ref_rest")
+    allowed = F.least(common, F.least("_len", "ref_len")) >= F.col("best") * longer - 1e-9
+    changed = F.floor(2 * (1 - F.col("best")) * F.col("_len") + 1e-9)
+    open_labels = open_labels.withColumn("_probes", changed + 1)
+    probing = open_labels.filter(F.col("_probes") <= F.size("_grams"))
+    probes = probing.select(*keys, "_len", "_bits", "_rest", "best", F.explode(F.slice("_grams", F.lit(1), F.col("_probes").cast("int"))).alias("_gram"))
+    postings = names.select("group_key", "ref", "ref_len", "ref_bits", "ref_rest", F.explode("_grams").alias("_gram"))
+    near = probes.join(postings, ["group_key", "_gram"]).filter(allowed).select(*keys, "ref")
+    lengths = names.select("group_key", "ref_len").distinct()
+    rest = open_labels.filter(F.col("_probes") > F.size("_grams")).select(*keys, "_len", "_bits", "_rest", "best")
+    of_length = rest.join(lengths, "group_key").filter(F.least("_len", "ref_len") >= F.col("best") * longer - 1e-9)
+    far = of_length.join(names.drop("_grams"), ["group_key", "ref_len"]).filter(allowed).select(*keys, "ref")
+    return near.unionByName(far).distinct()
+
+
+def _gram_rows(rows: DataFrame, name: str, order: DataFrame | None, prefix: str = "_") -> DataFrame:
+    """``rows`` with the length, letters and two-letter grams of a name; the grams rarest first where ``order`` gives their counts."""
+    bits, rest = letter_bits(F.col(name))
+    out = rows.withColumns({f"{prefix}len": F.length(name), f"{prefix}bits": bits, f"{prefix}rest": rest})
+    grams = F.array_distinct(F.regexp_extract_all(name, F.lit("(?s)(?=(..))"), F.lit(1)))
+    if order is None:
+        return out.withColumn("_grams", grams)
+    keys = rows.columns
+    each = rows.select(*keys, F.explode(grams).alias("_gram")).join(order, ["group_key", "_gram"], "left")
+    sorted_grams = each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), "_gram"))), lambda g: g["_gram"]).alias("_grams"))
+    return out.join(sorted_grams, keys, "left").withColumn("_grams", F.coalesce("_grams", F.array().cast("array<string>")))
+
+
+def nearest_names(labels: DataFrame, reference: DataFrame) -> DataFrame:
+    """The same as :func:`fuzzy_best` by edit ratio, without letting a label meet all names of its group.
+
+    Names that hold one of the label's three rarest grams set a first best; then only names that can reach it are compared, so the
+    best stays exact however low it is.
+    """
+    keys = ["group_key", "name_key"]
+    names = cut_lineage(_gram_rows(reference.select("group_key", F.col("name_key").alias("ref")).distinct(), "ref", None, "ref_"))
+    held = names.select("group_key", F.explode("_grams").alias("_gram")).groupBy("group_key", "_gram").agg(F.count(F.lit(1)).alias("_names"))
+    own = cut_lineage(_gram_rows(labels.select(*keys).distinct(), "name_key", held).join(names.select("group_key").distinct(), "group_key", "left_semi"))
+    ratio = edit_ratio(F.col("name_key"), F.col("ref"))
+    rarest = own.select(*keys, F.explode("_grams").alias("_gram")).join(held, ["group_key", "_gram"])
+    rarest = top_k(rarest, keys, [F.col("_names"), F.col("_gram")], SEED_GRAMS)
+    seeds = rarest.select(*keys, "_gram").join(names.select("group_key", "ref", F.explode("_grams").alias("_gram")), ["group_key", "_gram"])
+    first = seeds.groupBy(*keys).agg(F.max(ratio).alias("best"))
+    best = own.select(*keys).join(first, keys, "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    scored = pairs_in_reach(own, names, best).withColumn("score", ratio)
+    places = reference.select("group_key", F.col("name_key").alias("ref"), "code", "official_name", "place")
+    order = F.struct((-F.col("score")).alias("s"), F.col("code"), F.col("place"))
+    top = scored.groupBy(*keys).agg(F.max("score").alias("score"))
+    return first_value(scored.join(top, [*keys, "score"]).join(places, ["group_key", "ref"]), keys, order, ["code", "official_name", "score"])
+
+
 def crosswalk(labels: DataFrame, reference: DataFrame, overrides: DataFrame, threshold: float = FUZZY_THRESHOLD, score=matching_blocks_ratio) -> DataFrame:
     """Manual, then exact, then fuzzy match of (group_key, name_key); unmatched keeps its best score.
 
@@ -57,7 +136,8 @@ def crosswalk(labels: DataFrame, reference: DataFrame, overrides: DataFrame, thr
     exact = reference.select(*keys, F.struct("code", "official_name").alias("_exact"))
     looked = labels.join(manual, keys, "left").join(exact, keys, "left")
     open_labels = looked.filter(F.col("_manual").isNull() & F.col("_exact").isNull())
-    fuzzy = fuzzy_best(open_labels, reference, score).select(*keys, F.struct("code", "official_name", "score").alias("_fuzzy"))
+    found = nearest_names(open_labels, reference) if score is edit_ratio else fuzzy_best(open_labels, reference, score)
+    fuzzy = found.select(*keys, F.struct("code", "official_name", "score").alias("_fuzzy"))
     joined = looked.join(fuzzy, keys, "left")
     accepted = F.col("_fuzzy.score") >= threshold
     kind = (

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from risklattice.operators import link, resolve, spatial
+from risklattice.functions.text import edit_ratio
+from risklattice.operators import link, reconcile, resolve, spatial
 
 POLY = "code string, rings array<array<array<double>>>"
 
@@ -127,3 +128,25 @@ def test_hot_words_are_dealt_out(spark, monkeypatch):
     a, b = link.salted(keys, keys.withColumnRenamed("id", "other"), ["no"], "id", "other", 20)
     sizes = [r["count"] for df in (a, b) for r in df.groupBy("no", "_a", "_b").count().collect()]
     assert max(sizes) <= 60 and a.join(b, ["no", "_a", "_b"]).count() == 1000 * 1000 + 1
+
+
+def test_nearest_names_equal_all_pairs_with_few_pairs(spark):
+    """A full group of names: the same rows as all pairs, ties and unmatched labels included, from at most a tenth of the pairs."""
+    rng = random.Random(10)
+
+    def word(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123") for _ in range(n))
+
+    names = sorted({word(rng.randint(4, 14)) for _ in range(1200)})
+    labels = ["", "zz", names[0], "q" * 40]
+    for n in rng.sample(names, 150):
+        k = rng.randrange(len(n))
+        labels += [n[:k] + n[k + 1 :], n[:k] + rng.choice("aeiou") + n[k:], n[::-1]] if rng.random() < 0.5 else [n + "s", word(len(n))]
+    ref = spark.createDataFrame([("g", n, f"c{(7 * i) % 1000:04}", n.upper(), 0) for i, n in enumerate(names)] + [("h", "abc", "c1", "ABC", 0)], "group_key string, name_key string, code string, official_name string, place int")
+    open_labels = spark.createDataFrame([("g", n) for n in labels] + [("h", "abd"), ("nowhere", "abd")], "group_key string, name_key string")
+    got = {tuple(r) for r in reconcile.nearest_names(open_labels, ref).collect()}
+    assert got == {tuple(r) for r in reconcile.fuzzy_best(open_labels, ref, edit_ratio).collect()}
+    names_rows = reconcile._gram_rows(ref.select("group_key", F.col("name_key").alias("ref")), "ref", None, "ref_")
+    own = reconcile._gram_rows(open_labels.filter("group_key = 'g'").distinct(), "name_key", names_rows.select("group_key", F.explode("_grams").alias("_gram")).groupBy("group_key", "_gram").agg(F.count("*").alias("_names")))
+    best = spark.createDataFrame([(r[0], r[1], r[4]) for r in got if r[0] == "g"], "group_key string, name_key string, best double")
+    assert reconcile.pairs_in_reach(own, names_rows, best).count() <= len(set(labels)) * len(names) / 10
