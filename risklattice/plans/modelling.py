@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from risklattice.functions.scalar import clip
-from risklattice.operators import bands, models, recapture
+from risklattice.operators import bands, glm, models, recapture
 from risklattice.operators import panel as P
 from risklattice.plans.base import DENSE, QUERIES, SCORES, areas, dense_events, features, query, r, scores
 from risklattice.plans.measures import HORIZONS, two_sources
@@ -93,6 +93,91 @@ def _(spark, sf):
     return models.severity(first, models.poisson_stage(train, NAMES)).select("area", "week", "events", r("severity").alias("severity"), r("expected").alias("expected"))
 
 
+# ---- fits whose every step is a sum, next to the same steps in SQL: two standardised features, trained on the first 200 weeks
+
+SUMS = SCORES + """,
+tr as (select avg(recency) as m1, stddev_pop(recency) as s1, avg(long_run) as m2, stddev_pop(long_run) as s2 from scores where t < 200),
+x as (
+  select area, week, t, y, events - 1 as extra, (recency - m1) / s1 as a, (long_run - m2) / s2 as b,
+    (dense_rank() over (order by area) - 1) % 3 as split
+  from scores cross join tr)"""
+
+
+def newton_sql(name: str, source: str, y: str = "y", family: str = "logistic", ridge: float = 0.0) -> str:
+    mean, variance = ("1 / (1 + exp(-(b0 + b1 * a + b2 * b)))", "p * (1 - p)") if family == "logistic" else ("exp(b0 + b1 * a + b2 * b)", "p")
+    pull = f"count(*) * {ridge}::double"
+    return f"""{name} as (
+  select 0 as step, 0::double as b0, 0::double as b1, 0::double as b2
+  union all
+  select step + 1,
+    b0 + (s0 * (g11 * g22 - g12 * g12) - g01 * (s1 * g22 - g12 * s2) + g02 * (s1 * g12 - g11 * s2)) / det,
+    b1 + (g00 * (s1 * g22 - g12 * s2) - s0 * (g01 * g22 - g12 * g02) + g02 * (g01 * s2 - s1 * g02)) / det,
+    b2 + (g00 * (g11 * s2 - s1 * g12) - g01 * (g01 * s2 - s1 * g02) + s0 * (g01 * g12 - g11 * g02)) / det
+  from (
+    select *, g00 * (g11 * g22 - g12 * g12) - g01 * (g01 * g22 - g12 * g02) + g02 * (g01 * g12 - g11 * g02) as det
+    from (
+      select step, b0, b1, b2, sum(v) as g00, sum(v * a) as g01, sum(v * b) as g02, sum(v * a * a) + {pull} as g11, sum(v * a * b) as g12, sum(v * b * b) + {pull} as g22,
+        sum(e) as s0, sum(e * a) - {pull} * b1 as s1, sum(e * b) - {pull} * b2 as s2
+      from (select *, {y} - p as e, {variance} as v from (select *, {mean} as p from {name}, (select * from x where {source}) where step < {glm.STEPS}))
+      group by step, b0, b1, b2)))"""
+
+
+def standardised(spark, sf):
+    s = models.area_split(scores(spark, sf).select("area", "week", "t", "y", "events", "recency", "long_run"))
+    return cut_lineage(models.Scaler.fit(s.filter("t < 200"), ["recency", "long_run"]).apply(s))
+
+
+Z = ["z_recency", "z_long_run"]
+LAST = f"step = {glm.STEPS}"
+
+
+@query("M3_logistic_sums", f"with recursive {SUMS}, {newton_sql('f', 't < 200')} select area, week, round(1 / (1 + exp(-(b0 + b1 * a + b2 * b))), 6) as score from x, f where t >= 200 and {LAST}")
+def _(spark, sf):
+    s = standardised(spark, sf)
+    fit = glm.reweighted_fit(s.filter("t < 200"), Z, "y")
+    return s.filter("t >= 200").select("area", "week", r(fit.mean()).alias("score"))
+
+
+CALIBRATED_SUMS = ", ".join(f"""{newton_sql(f"f{i}", f"t < 200 and split <> {i}")},
+p{i} as (select x.*, cast(floor(100 / (1 + exp(-(b0 + b1 * a + b2 * b)))) as bigint) as cell from x, f{i} where {LAST}),
+c{i} as (select cell, sum(count(*)) over (order by cell) as n, sum(sum(y)) over (order by cell) as s, count(*) as own_n, sum(y) as own_s from p{i} where t < 200 and split = {i} group by cell),
+l{i} as (
+  select cell, max(least) as level
+  from (select j.cell as f, k.cell, min((k.s - j.s + j.own_s) / (k.n - j.n + j.own_n)::double) over (partition by j.cell order by k.cell desc) as least from c{i} j join c{i} k on j.cell <= k.cell)
+  group by cell),
+o{i} as (select area, week, coalesce((select arg_max(level, cell) from l{i} where l{i}.cell <= p{i}.cell), (select arg_min(level, cell) from l{i})) as level from p{i} where t >= 200)""" for i in range(3))
+
+
+@query("M5_calibrated_sums", f"with recursive {SUMS}, {CALIBRATED_SUMS} select area, week, round((o0.level + o1.level + o2.level) / 3, 6) as score from o0 join o1 using (area, week) join o2 using (area, week)")
+def _(spark, sf):
+    """Three fits, each calibrated on the areas it has not seen; the score is the mean of the three."""
+    s = standardised(spark, sf)
+    train, out = s.filter("t < 200"), s.filter("t >= 200").select("area", "week", *Z)
+    for i in range(3):
+        fit = glm.reweighted_fit(train.filter(F.col("split") != i), Z, "y")
+        cells = glm.isotonic_cells(train.filter(F.col("split") == i).withColumn("_p", fit.mean()), "_p", "y")
+        out = glm.calibrated_by(out.withColumn("_p", fit.mean()), "_p", cells, f"_c{i}").drop("_p")
+    return out.select("area", "week", r((F.col("_c0") + F.col("_c1") + F.col("_c2")) / 3).alias("score"))
+
+
+@query("M8_poisson_sums", f"with recursive {SUMS}, {newton_sql('f', 't < 200 and y = 1', 'extra', 'poisson', 1.0)} select area, week, round(1 + exp(b0 + b1 * a + b2 * b), 6) as severity from x, f where t >= 200 and {LAST}")
+def _(spark, sf):
+    """The hurdle's second stage: events beyond the first, on rows that have one."""
+    s = standardised(spark, sf)
+    fit = glm.reweighted_fit(s.filter("t < 200 and y = 1").withColumn("extra", F.col("events") - 1), Z, "extra", "poisson", ridge=1.0)
+    return s.filter("t >= 200").select("area", "week", r(F.lit(1.0) + fit.mean()).alias("severity"))
+
+
+@query("M15_drivers_sums", f"with recursive {SUMS}, {newton_sql('f', 't < 200')} select area, week, feature, round(c, 6) as contribution from (select area, week, unnest([{{'feature': 'recency', 'c': b1 * a}}, {{'feature': 'long_run', 'c': b2 * b}}], recursive := true) from x, f where t >= 200 and {LAST})")
+def _(spark, sf):
+    s = scores(spark, sf)
+    scaler = models.Scaler.fit(s.filter("t < 200"), ["recency", "long_run"])
+    fit = glm.reweighted_fit(scaler.apply(s.filter("t < 200")), Z, "y")
+    weights = {c: fit.weights[f"z_{c}"] for c in scaler.features}
+    out = models.contributions(s.filter("t >= 200"), ["area", "week"], scaler, weights)
+    return out.select("area", "week", "feature", r("contribution").alias("contribution"))
+
+
 def stacked(spark, sf):
     train, test = split(models.area_split(labelled(spark, sf)))
     bases = {"logistic": LOGISTIC, "forest": FOREST, "boosting": BOOSTING}
