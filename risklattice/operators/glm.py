@@ -62,6 +62,24 @@ def reweighted_fit(train: DataFrame, features: list[str], label: str, family: st
     return Fit(float(beta[0]), dict(zip(features, map(float, beta[1:]))), family)
 
 
+def stack_by_sums(train: DataFrame, apply_to: DataFrame, bases: dict[str, list[str]], inner: Column, label: str = "y", ridge: float = 1e-3, steps: int = STEPS) -> tuple[DataFrame, dict[str, float]]:
+    """A meta-model over the linear parts (log-odds) of base fits on different features: (``apply_to`` with p_<base> and ensemble, weights).
+
+    Bases fit on the rows before the inner block and score it; the meta-model learns from those scores; then bases refit on all
+    training rows and the meta-model combines their scores on ``apply_to``.
+    """
+
+    def scored(rows: DataFrame, fits: dict[str, Fit]) -> DataFrame:
+        return rows.withColumns({f"l_{n}": f.linear() for n, f in fits.items()})
+
+    def fitted(rows: DataFrame) -> dict[str, Fit]:
+        return {n: reweighted_fit(rows, own, label, ridge=ridge, steps=steps) for n, own in bases.items()}
+
+    meta = reweighted_fit(scored(train.filter(inner), fitted(train.filter(~inner))), [f"l_{n}" for n in bases], label, ridge=ridge, steps=steps)
+    out = scored(apply_to, fitted(train)).withColumn("ensemble", meta.mean()).withColumns({f"p_{n}": sigmoid(F.col(f"l_{n}")) for n in bases})
+    return out.drop(*[f"l_{n}" for n in bases]), {n: meta.weights[f"l_{n}"] for n in bases}
+
+
 def score_cell(score: Column | str, digits: int) -> Column:
     return F.floor((F.col(score) if isinstance(score, str) else score) * 10**digits).cast("long")
 

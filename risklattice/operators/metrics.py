@@ -157,6 +157,12 @@ def head_to_head(fold_metrics: DataFrame, metric: str, challenger: str, holder:
     )
 
 
+def range_within(fold_metrics: DataFrame, fold: str, metric: str, model: str = "model") -> DataFrame:
+    """Spread of the models inside each fold, and the best of them; equal ones by name."""
+    best = F.max_by(model, F.struct(F.col(metric), F.col(model))).alias("best")
+    return fold_metrics.groupBy(fold).agg((F.max(metric) - F.min(metric)).alias("range_in_fold"), best)
+
+
 def metric_ranges(fold_metrics: DataFrame, metric: str, fold: str = "fold", model: str = "model") -> DataFrame:
     """Spread of each model over folds, and the model that is best most often."""
     best = fold_metrics.groupBy(fold).agg(F.max_by(model, F.struct(F.col(metric), F.col(model))).alias("best"))

@@ -233,7 +233,7 @@ META = {"ensemble": True, "ensemble_unweighted": False}  # the two meta-models:
 def stack(train: DataFrame, apply_to: DataFrame, bases: dict, inner: Column, calibrated: tuple[str, ...] = (), split: str = "split", label: str = "y"):
     """Two meta-models over the log-odds of base learners, one balanced and one not.
 
-    Bases fit before the inner block, score it, the meta-models learn from those scores; then bases refit on all
+    Bases fit before the inner block score it, and the meta-models learn from those scores; bases fit on all
     training rows and the meta-models combine their scores on ``apply_to``. Bases named in ``calibrated`` are calibrated by
     the column ``split``. Returns (scored, weights), weights a table (meta, base, weight, intercept).
     """
@@ -247,11 +247,14 @@ def stack(train: DataFrame, apply_to: DataFrame, bases: dict, inner: Column, cal
             rows = m.score(rows, f"p_{n}")
         return rows.withColumns({f"l_{n}": log_odds(f"p_{n}") for n in models})
 
-    outer = train.filter(~inner)
-    first = {n: fit(n, outer) for n in bases}
+    # Both fits of every base need nothing of each other: all are submitted together, the longest first, and share the written rows.
+    jobs = [(n, rows) for n in sorted(bases, key=lambda n: bases[n].kind != "boosting") for rows in (train, train.filter(~inner))]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        fitted = list(pool.map(lambda job: fit(*job), jobs))
+    final, first = ({n: m for (n, _), m in list(zip(jobs, fitted))[k::2]} for k in (0, 1))
+    final, first = {n: final[n] for n in bases}, {n: first[n] for n in bases}
     block = cut_lineage(score_all(first, train.filter(inner)))
     metas = {name: Learner([f"l_{n}" for n in bases], label, balanced=balanced).fit(block) for name, balanced in META.items()}
-    final = {n: fit(n, train) for n in bases}
     scored = cut_lineage(score_all(final, apply_to))
     for name, meta in metas.items():
         scored = meta.score(scored, name)

@@ -104,6 +104,21 @@ def complete_horizon(df: DataFrame, horizon: int, last_step: Column | None = Non
     return df.filter(F.col(STEP) <= last - (horizon - 1))
 
 
+def dropped_rows(df: DataFrame, horizon: int, area: str = "area") -> DataFrame:
+    """horizon, dropped, expected: rows that :func:`complete_horizon` takes off a dense panel, and areas times the weeks it cuts."""
+    kept = complete_horizon(df, horizon).groupBy(area).agg(F.count(F.lit(1)).alias("_kept"))
+    sizes = df.groupBy(area).agg(F.count(F.lit(1)).alias("_all")).join(kept, area, "left")
+    dropped = F.sum(F.col("_all") - F.coalesce("_kept", F.lit(0)))
+    return sizes.agg(F.lit(horizon).alias("horizon"), F.coalesce(dropped, F.lit(0)).alias("dropped"), (F.count(F.lit(1)) * (horizon - 1)).alias("expected"))
+
+
+def assert_dropped(df: DataFrame, horizon: int, area: str = "area") -> None:
+    """Raise unless exactly the weeks without a whole forward window go."""
+    found = dropped_rows(df, horizon, area).first()
+    if found["dropped"] != found["expected"]:
+        raise ValueError(f"horizon {horizon} drops {found['dropped']} rows, expected {found['expected']}")
+
+
 def record_volume(events: DataFrame, weeks: int = RECORD_WINDOW, delay: int = 0) -> DataFrame:
     """Recording intensity: events of the whole log in the ``weeks`` weeks before each week.
 

@@ -31,6 +31,13 @@ def assert_label_absent(features: list[str], labels: tuple[str, ...] = ("y", "oc
         raise ValueError(f"label columns among the features: {wrong}")
 
 
+def label_copies(panel: DataFrame, features: list[str], label: str) -> DataFrame:
+    """feature, named_as_label, same, rows: whether a feature has the label's name, and in how many rows it has its value."""
+    same = [F.struct(F.lit(c).alias("feature"), F.lit(c == label).alias("named_as_label"), F.count_if(F.col(c).cast("double") == F.col(label).cast("double")).alias("same")) for c in features]
+    found = panel.agg(F.array(*same).alias("f"), F.count(F.lit(1)).alias("rows"))
+    return found.select(F.explode("f").alias("f"), "rows").select("f.*", "rows")
+
+
 def frame_difference(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-4) -> DataFrame:
     """Largest absolute difference per column over joined keys, and keys on one side only."""
     joined = left.select(*keys, *columns, F.lit(True).alias("_l")).join(

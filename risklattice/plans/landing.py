@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from risklattice.plans.base import query, table
 from risklattice.session import scratch_path
-from risklattice.sources import files, rest
+from risklattice.sources import contracts, files, rest
 
 
 @query("S1_csv_scan", "select o_orderkey, o_custkey, cast(o_orderdate as date) as o_orderdate, o_totalprice, o_orderpriority from orders")
@@ -92,12 +95,25 @@ def _(spark, sf):
     return spark.read.format("paged_events").options(**options).load().select("event_id", "event_date", "category")
 
 
-@query("S11_fingerprints", "select n_nationkey as nation, cast(strlen(n_name || n_regionkey) + 1 as bigint) as bytes, md5(n_name || n_regionkey || chr(10)) as md5 from nation")
+@query("S10_indexed_lookup", "select o_orderkey, cast(o_orderdate as date) as event_date, o_totalprice from orders where o_custkey = 37 and cast(o_orderdate as date) between date '1994-01-01' and date '1999-12-31'")
+def _(spark, sf):
+    """Orders as incidents of the customer's area, indexed by area and day; one area's rows of some years."""
+    name, path = f"incidents_{uuid.uuid4().hex}", scratch_path(spark, "indexed")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("lga_id"), F.col("o_orderdate").cast("date").alias("event_date"), "o_orderkey", "o_totalprice")
+    contracts.write_indexed(o, name, path, contracts.INDEXES["incidents"], 8)
+    found = contracts.look_up(spark, name, contracts.INDEXES["incidents"], 37, datetime.date(1994, 1, 1), datetime.date(1999, 12, 31))
+    return found.select("o_orderkey", "event_date", "o_totalprice")
+
+
+@query("S11_fingerprints", """
+with v as (select strftime(o_orderdate, '%Y-%m') as month, o_orderkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus as line from orders)
+select month, cast(sum(strlen(line) + 1) as bigint) as bytes, md5(string_agg(line || chr(10), '' order by o_orderkey)) as md5 from v group by month""")
 def _(spark, sf):
     path = scratch_path(spark, "inputs")
-    table(spark, sf, "nation").select(F.col("n_nationkey"), F.concat("n_name", F.col("n_regionkey").cast("string")).alias("value")).write.partitionBy("n_nationkey").text(path)
+    o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus").alias("value"))
+    o.repartition("month").sortWithinPartitions("month", "o_orderkey").drop("o_orderkey").write.partitionBy("month").text(path)
     found = files.fingerprints(spark, path)
-    return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "bytes", "md5")
+    return found.select(F.regexp_extract("path", "month=([0-9-]+)", 1).alias("month"), "bytes", "md5")
 
 
 @query("S12_serving_tables", "select 'forecast' as name, count(*) as n from orders union all select 'drivers', count(*) from lineitem union all select 'band_stats', count(*) from part union all select 'recent', count(*) from customer union all select 'metadata', count(*) from region")

@@ -129,6 +129,11 @@ def _(spark, sf):
     return out.withColumns({c: r(c) for c in ("smallest_margin", "largest_margin")})
 
 
+@query("A37_range_within_fold", f"with {FOLDED} select fold, round(max(recall_at_k) - min(recall_at_k), 6) as range_in_fold, arg_max(model, (recall_at_k, model)) as best from fm group by fold")
+def _(spark, sf):
+    return metrics.range_within(fold_metrics(spark, sf), "fold", "recall_at_k").withColumn("range_in_fold", r("range_in_fold"))
+
+
 @query("A37_metric_ranges", f"with {FOLDED}, b as (select fold, arg_max(model, (recall_at_k, model)) as best from fm group by fold) select model, round(max(recall_at_k) - min(recall_at_k), 6) as range_over_folds, (select count(*) from b where best = fm.model) as folds_led from fm group by model")
 def _(spark, sf):
     return metrics.metric_ranges(fold_metrics(spark, sf), "recall_at_k").withColumn("range_over_folds", r("range_over_folds"))

@@ -103,7 +103,7 @@ x as (
   from scores cross join tr)"""
 
 
-def newton_sql(name: str, source: str, y: str = "y", family: str = "logistic", ridge: float = 0.0) -> str:
+def newton_sql(name: str, source: str, y: str = "y", family: str = "logistic", ridge: float = 0.0, table: str = "x") -> str:
     mean, variance = ("1 / (1 + exp(-(b0 + b1 * a + b2 * b)))", "p * (1 - p)") if family == "logistic" else ("exp(b0 + b1 * a + b2 * b)", "p")
     pull = f"count(*) * {ridge}::double"
     return f"""{name} as (
@@ -118,7 +118,7 @@ def newton_sql(name: str, source: str, y: str = "y", family: str = "logistic", r
     from (
       select step, b0, b1, b2, sum(v) as g00, sum(v * a) as g01, sum(v * b) as g02, sum(v * a * a) + {pull} as g11, sum(v * a * b) as g12, sum(v * b * b) + {pull} as g22,
         sum(e) as s0, sum(e * a) - {pull} * b1 as s1, sum(e * b) - {pull} * b2 as s2
-      from (select *, {y} - p as e, {variance} as v from (select *, {mean} as p from {name}, (select * from x where {source}) where step < {glm.STEPS}))
+      from (select *, {y} - p as e, {variance} as v from (select *, {mean} as p from {name}, (select * from {table} where {source}) where step < {glm.STEPS}))
       group by step, b0, b1, b2)))"""
 
 
@@ -178,6 +178,38 @@ def _(spark, sf):
     return out.select("area", "week", "feature", r("contribution").alias("contribution"))
 
 
+BASES = {"recency": ["z_recency"], "long_run": ["z_long_run"]}
+STACK_SUMS = f"""{SUMS},
+xa as (select area, week, t, y, a, 0::double as b from x), xb as (select area, week, t, y, b as a, 0::double as b from x),
+{newton_sql("oa", "t < 148", ridge=1e-3, table="xa")}, {newton_sql("ob", "t < 148", ridge=1e-3, table="xb")},
+xm as (select x.y, x.t, oa.b0 + oa.b1 * x.a as a, ob.b0 + ob.b1 * x.b as b from x, oa, ob where oa.{LAST} and ob.{LAST} and t between 148 and 199),
+{newton_sql("m", "true", ridge=1e-3, table="xm")},
+{newton_sql("fa", "t < 200", ridge=1e-3, table="xa")}, {newton_sql("fb", "t < 200", ridge=1e-3, table="xb")}"""
+
+
+def stacked_by_sums(spark, sf):
+    s = standardised(spark, sf)
+    return glm.stack_by_sums(s.filter("t < 200"), s.filter("t >= 200"), BASES, F.col("t") >= 148)
+
+
+@query("M9_stack_sums", f"""with recursive {STACK_SUMS},
+l as (select area, week, fa.b0 + fa.b1 * x.a as la, fb.b0 + fb.b1 * x.b as lb from x, fa, fb where fa.{LAST} and fb.{LAST} and t >= 200)
+select area, week, round(1 / (1 + exp(-la)), 6) as p_recency, round(1 / (1 + exp(-lb)), 6) as p_long_run, round(1 / (1 + exp(-(b0 + b1 * la + b2 * lb))), 6) as ensemble from l, m where {LAST}""")
+def _(spark, sf):
+    scored, _weights = stacked_by_sums(spark, sf)
+    return scored.select("area", "week", *[r(c).alias(c) for c in ("p_recency", "p_long_run", "ensemble")])
+
+
+@query("A37_largest_weight", f"""with recursive {STACK_SUMS},
+w as (select unnest([{{'base': 'recency', 'weight': b1}}, {{'base': 'long_run', 'weight': b2}}], recursive := true) from m where {LAST})
+select base, round(weight, 6) as weight, abs(weight) = (select max(abs(weight)) from w) as largest from w""")
+def _(spark, sf):
+    """Weight of each base in the meta-model, and which is the largest."""
+    _scored, weights = stacked_by_sums(spark, sf)
+    rows = spark.createDataFrame(list(weights.items()), "base string, weight double")  # a row a base
+    return rows.select("base", r("weight").alias("weight"), (F.abs("weight") == F.max(F.abs("weight")).over(Window.partitionBy(F.lit(0)))).alias("largest"))
+
+
 def stacked(spark, sf):
     train, test = split(models.area_split(labelled(spark, sf)))
     bases = {"logistic": LOGISTIC, "forest": FOREST, "boosting": BOOSTING}

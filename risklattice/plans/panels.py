@@ -131,6 +131,17 @@ def _(spark, sf):
     return P.complete_horizon(d, 4, last).select("area", F.col("t").cast("long").alias("t"), "y")
 
 
+@query("W10_dropped_rows", f"with {DENSE}, h as (select unnest([1, 2, 4]) as horizon), m as (select max(t) as last from dense) select cast(horizon as integer) as horizon, count(*) filter (t > last - (horizon - 1)) as dropped, count(distinct area) * (horizon - 1) as expected from h cross join dense cross join m group by horizon")
+def _(spark, sf):
+    d = cut_lineage(dense_events(spark, sf).select("area", "t"))
+    out = None
+    for horizon in (1, 2, 4):
+        P.assert_dropped(d, horizon)
+        some = P.dropped_rows(d, horizon)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 @query("W17_first_row", f"with {EV}, k as (select *, row_number() over (partition by area, source order by day, event_id) as rn from ev) select area, source, event_id, day from k where rn = 1")
 def _(spark, sf):
     from risklattice.operators.ranking import first_value
@@ -270,10 +281,11 @@ def _(spark, sf):
     return graph.nearby_recent(cells, directed(spark, sf), ev.filter("severity > 490000"), 14)
 
 
-@query("D9_calendar_overlap", f"with {EV}, holidays as (select distinct cast(o_orderdate as date) as a, cast(o_orderdate as date) + 2 as z from orders where o_totalprice > 499000), k as (select distinct week, week + 6 as week_end from ev) select week, week_end, exists (select 1 from holidays where a <= week_end and z >= week) as festival from k")
+@query("D9_calendar_overlap", f"with {EV}, days as (select cast(o_orderdate as date) as a, count(*) as n from orders group by 1), holidays as (select a, a + 2 as z from days where n > (select 1.3::double * avg(n) from days)), k as (select distinct week, week + 6 as week_end from ev) select week, week_end, exists (select 1 from holidays where a <= week_end and z >= week) as festival from k")
 def _(spark, sf):
     weeks = events(spark, sf).select("week").distinct().withColumn("week_end", F.date_add("week", 6))
-    big = table(spark, sf, "orders").filter("o_totalprice > 499000").select(F.col("o_orderdate").cast("date").alias("a"))
+    days = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    big = days.filter(F.col("n") > 1.3 * days.select(F.avg("n")).scalar()).select("a")  # days far busier than the average one
     return context.overlaps(weeks, big.withColumn("z", F.date_add("a", 2)), "week", "week_end", "a", "z", "festival")
 
 

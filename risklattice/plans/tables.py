@@ -175,3 +175,12 @@ def _(spark, sf):
 def _(spark, sf):
     s = scores(spark, sf).select("area", "week", "recency")
     return s.join(areas(spark, sf).select("area", F.col("grp").alias("state")).distinct(), "area", "left").select("area", "week", "state", "recency")
+
+
+@query("Q2_label_absent", f"with {SCORES}, f as (select unnest([{{'feature': 'recency', 'v': recency::double}}, {{'feature': 'long_run', 'v': long_run::double}}, {{'feature': 'week_number', 'v': t::double}}], recursive := true), y from scores) select feature, feature = 'y' as named_as_label, count(*) filter (v = y) as same, count(*) as rows from f group by feature")
+def _(spark, sf):
+    """No feature is the label: by name, and by how often it has the label's value."""
+    s = scores(spark, sf).withColumnRenamed("t", "week_number")
+    names = ["recency", "long_run", "week_number"]
+    quality.assert_label_absent(names)
+    return quality.label_copies(s, names, "y")

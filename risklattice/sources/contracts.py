@@ -24,6 +24,8 @@ FEATURES_WEEKLY = (
 )
 KEYS = {"lga": ["lga_id"], "incidents": ["incident_id"], "text_mentions": ["mention_id"], "features_weekly": ["lga_id", "week_start"]}
 
+INDEX_BLOCK = 1 << 20  # bytes of a row group of an indexed table: small, so that look-ups skip most
+
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Project onto a declared schema: casts by name, null for absent columns."""
@@ -62,6 +64,29 @@ def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: list[str],
         latest.write.mode("overwrite").parquet(path)
 
 
+# Secondary indexes of the landing tables.
+INDEXES = {"incidents": ["lga_id", "event_date"], "text_mentions": ["lga_id", "published_at"]}
+
+
+def write_indexed(df: DataFrame, name: str, path: str, index: list[str], buckets: int) -> None:
+    """A table that answers look-ups by its index without a shuffle and without reading most of itself.
+
+    Rows are dealt into ``buckets`` files by the first index column and sorted by all of them; row groups carry the ranges of all
+    index columns and a Bloom filter of the first. A look-up by key reads one bucket, and of that the row groups that can hold it;
+    two tables with the same first column and buckets join where they lie.
+    """
+    dealt = df.repartition(buckets, index[0])
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, index[0]).sortBy(*index).option("path", path).option(f"parquet.bloom.filter.enabled#{index[0]}", "true").option("parquet.block.size", INDEX_BLOCK).saveAsTable(name)
+
+
+def look_up(spark: SparkSession, name: str, index: list[str], key, low=None, high=None) -> DataFrame:
+    """Rows of one key of an indexed table, between two values of its second index column where given."""
+    rows = spark.table(name).filter(F.col(index[0]) == F.lit(key))
+    if low is not None:
+        rows = rows.filter(F.col(index[1]) >= F.lit(low))
+    return rows if high is None else rows.filter(F.col(index[1]) <= F.lit(high))
+
+
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None before the first write."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
