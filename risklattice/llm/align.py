@@ -49,20 +49,24 @@ class ByteTokens:
         table = [b""] * self.tok.get_vocab_size()
         for text, i in vocabulary.items():
             table[i] = bytes(byte_of[c] for c in text) if all(c in byte_of for c in text) else text.encode("utf-8")
+        self.table = table
         self.bytes = np.array([*table, None], object)[:-1]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts; distinct pre-tokens are merged once each."""
-        memo = self.memo
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts, none where their bytes are not the text's. Distinct pre-tokens are merged and compared once each; a text is its pre-tokens."""
+        memo, own, odd = self.memo, self.table, set()
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
         words = [self.cut.findall(t) for t in texts]
         new = list(set().union(*words).difference(memo))
         for word, found in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            memo[word] = array("I", found.ids).tobytes()
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, some)), "<u4") for some in words]
+            ids = found.ids
+            memo[word] = array("I", ids).tobytes()
+            if b"".join([own[i] for i in ids]) != word.encode("utf-8"):
+                odd.add(word)
+        out = [None if odd and not odd.isdisjoint(some) else np.frombuffer(b"".join(map(memo.__getitem__, some)), "<u4") for some in words]
         for word in new:
-            if len(word) > MEMO_CHARS:
+            if len(word) > MEMO_CHARS or word in odd:
                 del memo[word]
         return out
 
@@ -71,14 +75,21 @@ class PieceTokens:
     """Ids of texts by a piece model, and the bytes of each id."""
 
     def __init__(self, model: Model):
-        self.encoder = Encoder(model)
+        self.encoder, self.unknown = Encoder(model), model.unknown
         table = [p.replace(SPACE, " ").encode("utf-8") for p in model.pieces]
         for b, i in enumerate(model.byte_ids):
             table[i] = bytes([b])
         self.bytes = np.array([*table, None], object)[:-1]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [ids for ids, _, _ in self.encoder.encode(texts)]
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts, none where their bytes are not a space and the text."""
+        forms = [self.encoder.form(t) for t in texts]
+        out = list(self.encoder.merged(forms))
+        for n, (form, text, ids) in enumerate(zip(forms, texts, out)):
+            # Pieces without an unknown one give the normalised text back.
+            if form.replace(SPACE, " ") != f" {text}" or self.unknown in ids:
+                out[n] = None
+        return out
 
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +97,10 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, fir
 
     ``ends`` rise over all texts together; text t holds tokens ``first[t]`` to ``first[t + 1]`` of each sequence, and its last ends agree.
     """
-    now = np.stack([first_a[:-1], first_a[1:], first_b[:-1], first_b[1:]])
+    now = np.stack([first_a[:-1], first_a[1:], first_b[:-1], first_b[1:]]).astype(ends_a.dtype)
     now = now[:, now[1] > now[0]]
+    place = np.searchsorted(ends_b, ends_a).astype(ends_a.dtype)  # all ends of the first side bisected in the second
+    common = ends_b[np.minimum(place, len(ends_b) - 1)] == ends_a if len(ends_b) else np.zeros(len(ends_a), bool)
     closed = []
     while now.shape[1]:
         single = (now[1] - now[0] == 1) | (now[3] - now[2] == 1)
@@ -96,11 +109,11 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, fir
         while now.shape[1]:  # ends nearest the middle first: 0, -1, 1, -2, 2, ...
             away = -(step + 1) // 2 if step % 2 else step // 2
             at = (now[0] + now[1] - 2) // 2 + away
-            inside = (at >= now[0]) & (at < now[1] - 1)
-            place = np.searchsorted(ends_b, ends_a[np.where(inside, at, 0)])
-            hit = inside & (ends_b[place] == ends_a[np.where(inside, at, 0)])
-            a, b, lo_a, hi_a, lo_b, hi_b = at[hit] + 1, place[hit] + 1, *now[[0, 1, 2, 3]][:, hit]
-            halves += [np.stack([lo_a, a, lo_b, b]), np.stack([a, hi_a, b, hi_b])]
+            hit = (at >= now[0]) & (at < now[1] - 1)
+            hit &= common[np.where(hit, at, 0)]
+            (lo_a, hi_a, lo_b, hi_b), a = now[:, hit], at[hit]
+            b = place[a] + 1
+            halves += [np.stack([lo_a, a + 1, lo_b, b]), np.stack([a + 1, hi_a, b, hi_b])]
             done = ~hit & (2 * abs(away) > now[1] - now[0])  # no end is left on either side
             closed.append(now[:, done])
             now, step = now[:, ~(hit | done)], step + 1
@@ -125,8 +138,7 @@ class Aligner:
         all_a, all_b = self.a.encode([f" {t}" if t else "" for t in own]), self.b.encode(own)
         none = np.zeros(0, "<u4")
         for n, (t, a, b) in enumerate(zip(own, all_a, all_b)):
-            whole = b" " + t.encode("utf-8")
-            if not t or b"".join(self.a.bytes[a].tolist()) != whole or b"".join(self.b.bytes[b].tolist()) != whole:
+            if not t or a is None or b is None:
                 all_a[n] = all_b[n] = none
         return all_a, all_b
 
@@ -137,7 +149,8 @@ class Aligner:
         first_a, first_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
         ids_a, ids_b = np.concatenate(all_a).astype(np.int64), np.concatenate(all_b).astype(np.int64)
         ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
-        last_a, last_b = shared_cuts(ends_a, ends_b, first_a, first_b)
+        small = np.int32 if len(ends_a) == 0 or ends_a[-1] < 1 << 31 else np.int64
+        last_a, last_b = shared_cuts(ends_a.astype(small), ends_b.astype(small), first_a, first_b)
 
         # The stretch between two ends of either side belongs to one token of each: that is a link. An end's tokens are
         # those after all ends of their side before it.

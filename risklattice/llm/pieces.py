@@ -169,6 +169,12 @@ class Encoder:
             data, source = SPACE.encode() + data, np.concatenate([np.full(3, source[0] if model.squeeze else 0, np.int32), source])
         return data, np.concatenate([source, [tail]]).astype(np.int32)
 
+    def form(self, text: str) -> str:
+        """The normalised text alone."""
+        if self.map.first is None and not self.model.squeeze:
+            return (SPACE if self.model.dummy_prefix and text else "") + text.replace(" ", SPACE)
+        return self.normalised(text)[0].decode("utf-8")
+
     def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin and end in the normalised text: the last byte piece of a character stands for all of it, the others for nothing."""
         sizes, byte = self.sizes[ids], self.byte[ids]
@@ -180,24 +186,28 @@ class Encoder:
         ends = np.cumsum(sizes)
         return ends - sizes, ends
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each text the ids, and the original bytes where each piece begins and ends. No begin and end ids."""
+    def merged(self, forms: list[str]) -> Iterator[np.ndarray]:
+        """Ids of normalised texts; distinct words are merged once each."""
         memo = self.memo
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        forms = [self.normalised(t or "") for t in texts]
-        words = [self.words.findall(data.decode("utf-8")) for data, _ in forms]
-        new = list(set().union(*words).difference(memo))  # distinct words are merged once each
+        words = [self.words.findall(form) for form in forms]
+        new = list(set().union(*words).difference(memo))
         for word, ids in zip(new, self.merger.encode(new, num_threads=1) if new else []):
             memo[word] = array("I", ids).tobytes()
-        for (_, source), some in zip(forms, words):
-            ids = np.frombuffer(b"".join(map(memo.__getitem__, some)), "<u4")
-            begins, ends = self.spans(ids)
-            yield ids, source[begins], source[ends]
+        for some in words:
+            yield np.frombuffer(b"".join(map(memo.__getitem__, some)), "<u4")
         for word in new:
             if len(word) > MEMO_CHARS:
                 del memo[word]
 
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text the ids, and the original bytes where each piece begins and ends. No begin and end ids."""
+        forms = [self.normalised(t or "") for t in texts]
+        for (_, source), ids in zip(forms, self.merged([data.decode("utf-8") for data, _ in forms])):
+            begins, ends = self.spans(ids)
+            yield ids, source[begins], source[ends]
+
 
 class Decoder:
     """Text of ids inside a worker."""
