@@ -1,10 +1,11 @@
 """Personal data by fixed patterns and by bootstrapped context. DataFrame functions only.
 
-Fixed patterns give the seed entities. Every place where a word, ``=`` or ``:`` and a token follow one another is an edge of a
-pattern-instance graph: the pattern is the word with its sign, the instance the token. Seeds make their instances known, known instances
-make patterns trustworthy, trusted patterns make more instances known; Spark scores the graph a few times over, and what
-looks like an identifier under a pattern of high confidence is found as kind ``id``. Texts are read once; afterwards only spans
-and edges move.
+Fixed patterns give the seed entities, and so do, a little less surely, tokens that by their form can only be identifiers: long
+mixtures of letters and digits. Every place where a word, ``=`` or ``:`` and a token follow one another is an edge of a
+pattern-instance graph: the pattern is the word with its sign, the instance the token. A pattern is scored by precision: what its
+instances are trusted, against ordinary words in the same place. Seeds make patterns trustworthy, trusted patterns make more
+instances known, and Spark scores the graph a few times over, both ways; what looks like an identifier under a pattern of
+high confidence is found as kind ``id``. Texts are read once; afterwards only spans and edges move.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ PATTERNS = {
 CONTEXT = r"(?<![\p{L}_])[\p{L}_]{2,}+\x20?[=:]\x20?[\"'(<\[]?[^\x20\x09-\x0D\"'()<>\[\]]++"
 TOKEN = r"[^\x20\x09-\x0D\"'()<>\[\]]+$"
 LOOKS_LIKE_ID = r"^(?=.*[0-9].*[0-9])[A-Za-z0-9_@.+-]{6,}+$"
+# By its form alone an identifier: 16 characters or more, with four digits and two letters among them.
+FORMED = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){2})[A-Za-z0-9_+/=.-]{16,}+$"
+ORDINARY = r"^[\p{L}\p{M}'’-]++[.,;:!?]*+$"
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 3  # scoring rounds; least confidence and least seeds of a trusted pattern
+FORM_TRUST = 0.9  # trust in a token that only its form makes known
 PRIOR = 1.0  # instances against a pattern before any is seen
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -90,16 +95,23 @@ def read_once(docs: DataFrame) -> DataFrame:
 
 
 def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, confidence, seeds from edges (pattern, token, known): shares of trusted instances, scored ``rounds`` times over."""
-    graph = cut_lineage(edges.groupBy("pattern", "token").agg(F.max(F.col("known").cast("double")).alias("known")))
-    trust = graph.groupBy("token").agg(F.max("known").alias("trust"))
+    """pattern, confidence, seeds from edges (pattern, token, known): trusted instances against ordinary words, scored ``rounds`` times over.
+
+    Tokens that are neither, such as short numbers, count neither way until a trusted pattern holds them. An instance counts once a
+    pattern, however often it stands there.
+    """
+    form = F.when(F.col("token").rlike(FORMED), FORM_TRUST).otherwise(0.0)
+    graph = edges.groupBy("pattern", "token").agg(F.max(F.col("known").cast("double")).alias("known"))
+    graph = cut_lineage(graph.withColumns({"seed": F.greatest("known", form), "against": F.col("token").rlike(ORDINARY).cast("double")}))
+    trust = graph.groupBy("token").agg(F.max("seed").alias("trust"))
     scores = None
     for _ in range(rounds):
         weighed = graph.join(trust, "token")
-        scores = weighed.groupBy("pattern").agg((F.sum("trust") / (F.count(F.lit(1)) + PRIOR)).alias("confidence"), F.sum("known").cast("long").alias("seeds"))
-        scores = cut_lineage(scores)
-        best = F.max(F.when((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= SUPPORT), F.col("confidence")).otherwise(0.0))
-        trust = graph.join(scores, "pattern").groupBy("token").agg(F.greatest(F.max("known"), best).alias("trust"))
+        doubt = F.when(F.col("trust") == 0, F.col("against")).otherwise(0.0)
+        confidence = F.sum("trust") / (F.sum(F.col("trust") + doubt) + PRIOR)
+        scores = cut_lineage(weighed.groupBy("pattern").agg(confidence.alias("confidence"), F.count_if(F.col("seed") > 0).alias("seeds")))
+        best = F.max(F.when((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= SUPPORT) & (F.col("against") == 0), F.col("confidence")).otherwise(0.0))
+        trust = graph.join(scores, "pattern").groupBy("token").agg(F.greatest(F.max("seed"), best).alias("trust"))
     return scores
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import brute
 import pytest
@@ -113,6 +114,25 @@ def test_second_line_hash_reads_the_line(spark):
     assert row.h2 != row.seeded  # which is a function of h1
 
 
+def test_tokens_of_the_documents_are_found_and_nothing_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: [(s.start, s.end) for s in r.id] for r in pii.find_personal_data(docs).collect()}
+    for r in docs.collect():
+        want = [m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")]
+        assert set(want) <= set(found[r.doc_id])
+        assert all(sum(c.isdigit() for c in r.text[a:b]) >= 2 for a, b in found[r.doc_id])
+    assert sum(map(len, found.values())) < 1.2 * sum(len(re.findall('token = "', r.text or "")) for r in docs.collect())
+
+
+def test_patterns_are_scored_against_ordinary_words(spark):
+    ids = [(f"key = ", f"{i}abc4567890123{i}xyz", False) for i in range(5)] + [("key = ", "a1b2c3", False)]
+    words = [("said: ", w, False) for w in "one two three four five six seven eight nine".split()] + [("said: ", f"9{i}abc4567890123{i}xyz", False) for i in range(3)]
+    few = [("once = ", "0abc45678901230xyz", False), ("no: ", "word", True)]
+    got = {r.pattern: (r.confidence, r.seeds) for r in pii.pattern_scores(spark.createDataFrame(ids + words + few, "pattern string, token string, known boolean")).collect()}
+    assert got["key = "][0] > pii.CONFIDENT and got["key = "][1] == 5
+    assert got["said: "][0] < pii.CONFIDENT and got["once = "][1] < pii.SUPPORT and got["no: "][1] == 1
+
+
 def test_personal_data_of_odd_rows(spark):
     assert pii.find_personal_data(odd(spark).withColumn("email", F.lit("clash"))).count() == 5
     assert pii.find_personal_data(empty(spark)).count() == 0
