@@ -93,18 +93,22 @@ def fit(bags: list[tuple[list[int], list[int]]], labels: list[int]) -> np.ndarra
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights from labelled documents whose crc32(doc_id) mod 5 is not 0; a bounded sample of at most ``sample``, the same in every run."""
+    """Weights from labelled documents whose crc32(doc_id) mod 5 is not 0; a bounded sample of at most ``sample`` ids, the same in every run.
+
+    Where an id repeats, its first text in order counts, once.
+    """
     seen = labels.filter(F.col("toxic").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0))
     marks = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.filter(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("_t")).select("doc_id", "_t.*")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             pairs = [bag(t) for t in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "toxic": rows["toxic"].astype("int32"), "ids": [np.array(a, np.int32).tobytes() for a, _ in pairs], "starts": [np.array(b, np.int32).tobytes() for _, b in pairs]})
 
-    rows = sorted(texts.mapInPandas(bags, "doc_id long, toxic int, ids binary, starts binary").limit(2 * sample).collect(), key=lambda r: (r.doc_id, r.ids))
+    rows = sorted(texts.mapInPandas(bags, "doc_id long, toxic int, ids binary, starts binary").collect(), key=lambda r: (r.doc_id, r.ids))
     return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.starts, np.int32)) for r in rows], [int(r.toxic > 0) for r in rows])
 
 
