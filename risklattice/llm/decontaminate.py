@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SIMILARITY = 0.8  # least 1 - edits / length of the item
 WALKS, STEPS, SAMPLES = 4, 64, 14  # independent walks; their steps (about half as many bytes); sampled steps
 PRUNE = 6  # samples after which windows that agree with no item are given up
-ANCHOR_SHARE = 2  # one in so many kinds of words starts a window, the same kinds in documents and items
+ANCHOR_SHARE = 1  # one in so many kinds of words starts a window, the same kinds in documents and items; one: every word
 SHORT = 48  # bytes; shorter items, and others too short for a whole walk, are found only as they are
 ITEM_BYTES = 1 << 24  # bytes of items held by a task at a time; more items are taken in blocks
 TEXT_BYTES = 1 << 21  # bytes of text walked at a time
