@@ -138,3 +138,24 @@ def test_expanding_masks_fit_before_they_calibrate(panel):
     for before, block in models.expanding_masks(59, 0):
         low, high = panel.filter(block).agg(F.min("t"), F.max("t")).first()
         assert panel.filter(before).agg(F.max("t")).first()[0] == low - 1 and high - low == 14
+
+
+def test_boosting_weighted_and_calibrated_protocols_run_small(panel, spark):
+    """The long queries' learners and protocols, with few trees and folds."""
+    boosting = models.Learner(["x", "z"], kind="boosting", params={"maxIter": 3, "maxDepth": 2})
+    scored = boosting.fit(panel.filter("t < 40")).score(panel.filter("t >= 40"))
+    assert scored.filter("score between 0 and 1").count() == 240
+    assert scored.corr("score", "x") > 0.5
+    weights = spark.createDataFrame([(f"A{a:02d}", 0.5 + a / 12) for a in range(12)], "area string, weight double")
+    found = models.under_reporting_experiment(panel, weights, models.Learner(["x", "z"]), 2, 10, 59, k=3).collect()
+    assert sorted({(r.weighting, r.fold) for r in found}) == [("inverse detection", 1), ("inverse detection", 2), ("none", 1), ("none", 2)]
+    schemes = models.calibration_schemes(panel.filter("t < 50"), panel.filter("t >= 50"), models.Learner(["x", "z"]), k=3).collect()
+    assert len(schemes) == 5 and all(0 <= r.brier <= 0.3 for r in schemes)
+
+
+def test_stack_returns_weights_of_all_bases_and_metas(panel):
+    rows = models.area_split(panel)
+    bases = {"a": models.Learner(["x"]), "b": models.Learner(["z"]), "c": models.Learner(["x", "z"], kind="forest", params={"numTrees": 3, "maxDepth": 3})}
+    scored, weights = models.stack(rows.filter("t < 50"), rows.filter("t >= 50"), bases, F.col("t") >= 40, calibrated=("a",))
+    assert {(r.meta, r.base) for r in weights.collect()} == {(m, b) for m in models.META for b in bases}
+    assert {"p_a", "p_b", "p_c", *models.META} <= set(scored.columns) and scored.count() == 120
