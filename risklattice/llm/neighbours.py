@@ -4,7 +4,8 @@ Inner products become distances: with one more coordinate that lifts every vecto
 the nearest point. A small tree of vantage points, fitted on a bounded sample, deals all vectors to shards; each shard builds
 its own tree. A query first searches its home shard, which bounds the distance of its k-th neighbour, and then the
 shards and branches whose lower bound by the triangle inequality, times ``factor``, is below that bound. Factor one prunes only what
-cannot hold a neighbour and is exact; larger factors prune more.
+cannot hold a neighbour and is exact; larger factors prune more. Unless it is given, the factor is tuned to the vectors: the
+largest that finds ``TARGET`` of the neighbours within a bounded sample, as brute force over the sample knows them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from risklattice.session import cut_lineage
 
-K, FACTOR = 20, 4.0  # recall by factor: see README
+K = 20
+FACTORS, TARGET = (4.0, 3.0, 2.5, 2.0, 1.5, 1.2), 0.99  # tried in this order; one where none reaches the target
+TUNING_ROWS, TUNING_BYTES, TUNING_QUERIES = 4000, 1 << 25, 100  # the factor is tuned on at most so many vectors, bytes and queries
 SHARD_ROWS, LEAF_ROWS = 8192, 128
 SAMPLE_PER_SHARD, MOST_SHARDS = 64, 4096  # the router is fitted on at most 64 * 4,096 sampled vectors
 QUERY_ROWS = 4096  # queries that meet a shard in one task
@@ -113,6 +116,21 @@ def search(tree: Tree, queries: np.ndarray, limit: np.ndarray, k: int, factor: f
     return best, rows
 
 
+def tuned_factor(sample: np.ndarray, k: int = K, target: float = TARGET) -> float:
+    """The largest factor at which a tree over the sample finds the share ``target`` of the neighbours of some of its points."""
+    queries = sample[: min(TUNING_QUERIES, len(sample))]
+    take = min(k + 1, len(sample))  # a point is its own nearest
+    if take <= 1:
+        return 1.0
+    kth = np.partition(distances(queries, sample), take - 1, axis=1)[:, take - 1]
+    tree = Tree(sample, min(LEAF_ROWS, max(1, len(sample) // 32)))
+    for factor in FACTORS:
+        found, _ = search(tree, queries, np.full(len(queries), np.inf), take, factor)
+        if (found <= kth[:, None] + 1e-9).mean() >= target:
+            return factor
+    return 1.0
+
+
 class Router:
     """Deals vectors to shards by a small tree of vantage points; a shard is a leaf."""
 
@@ -185,12 +203,13 @@ def distinct_points(vectors: DataFrame, keep: int) -> DataFrame:
     return grouped.select(F.col("ids")[0].alias("uid"), "ids", "v")
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, factor: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of every query row by inner product, ties to the smaller id, itself left out.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, rows with a null id, and vectors of another length than
     the commonest take no part. Repeated rows count once. With fewer than k candidates all are returned; an empty table gives no rows. Equal
-    vectors are one point that carries the ids that can matter, so a common vector is no hot group. Every row is indexed.
+    vectors are one point that carries the ids that can matter, so a common vector is no hot group. Every row is indexed. Without a
+    ``factor`` it is tuned on a bounded sample; a given one of 1 makes the search exact.
     """
     spark = vectors.sparkSession
     lengths = vectors.groupBy(F.size("embedding").alias("n")).count().filter("n > 0").orderBy(F.desc("count"), "n").limit(1)
@@ -203,6 +222,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = K, factor: float =
     norm = (norm or 0.0) * (1 + 1e-12)
     shards = min(MOST_SHARDS, -(-count // shard_rows)) or 1
     sample = points.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_PER_SHARD * shards).select("uid", "v").collect() if shards > 1 else []
+    if factor is None:
+        some = min(TUNING_ROWS, max(TUNING_QUERIES, TUNING_BYTES // (8 * dim)))
+        tuning = points.orderBy(F.xxhash64("uid", F.lit(1)), "uid").limit(some).select("v").collect()
+        factor = tuned_factor(lifted(np.array([r.v for r in tuning], float).reshape(-1, dim), norm), k)
     router = spark.sparkContext.broadcast(Router(lifted(np.array([r.v for r in sorted(sample)], float).reshape(-1, dim), norm), shards))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,6 +55,21 @@ def test_recall_at_the_standing_factor(spark, sf):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", 3, 8, 16])
+def test_tuned_factor_keeps_recall_on_hard_vectors(spark, kind):
+    rng = np.random.RandomState(3)
+    x = rng.randn(3000, 32)
+    if kind == "clustered":
+        x = rng.randn(20, 32)[rng.randint(0, 20, 3000)] + 0.3 * x
+    elif kind != "isotropic":
+        x = x[:, :kind] @ rng.randn(kind, 32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(enumerate(x.astype(np.float32).tolist()))
+    got, want = found(neighbours.nearest(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, shard_rows=500)), exact(rows, 20)
+    hits = sum(len({i for i, _ in got[k]} & {i for i, _ in want[k]}) for k in want)
+    assert hits >= 0.95 * 20 * len(want)
+
+
 def test_neighbours_of_odd_vectors(spark):
     one, nan = [1.0, 0.0], float("nan")
     rows = [(i, one) for i in range(0, 90)] + [(100, None), (120, []), (140, [0.0, 0.0]), (160, [nan, 1.0]), (180, [float("inf"), 1.0]), (200, [None, 1.0]), (220, [1.0, 2.0, 3.0]), (None, one), (240, [0.5, 0.5]), (240, [0.5, 0.5])]
