@@ -41,13 +41,22 @@ def quantile_bands(df: DataFrame, value: str, probs: list[float], inclusive: boo
 
 
 def correlations(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Pearson correlation of each feature with the label: one pass over the rows."""
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
+    """Pearson correlation of each feature with the label: one pass over the rows. Not a number where either is constant, null without rows."""
+
+    def pearson(x: Column, y: Column) -> Column:
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), spread))
+
+    one = df.agg(*[pearson(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
     return one.unpivot([], features, "feature", "r")
 
 
-def strongest(corr: DataFrame) -> DataFrame:
-    return corr.agg(F.max_by("feature", F.abs("r")).alias("feature"), F.max_by("r", F.abs("r")).alias("r"))
+def strongest(corr: DataFrame, features: list[str]) -> DataFrame:
+    """Largest absolute correlation, equal ones by their place in ``features``; not a number counts as largest."""
+    place = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature"))
+    order = F.when(F.col("r").isNotNull(), F.struct(F.abs("r"), -place))
+    return corr.agg(F.max_by("feature", order).alias("feature"), F.max_by("r", order).alias("r"))
 
 
 def sparsity(df: DataFrame, columns: list[str]) -> DataFrame:

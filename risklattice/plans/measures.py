@@ -446,17 +446,18 @@ def _(spark, sf):
     return q.select("flag", *[r(F.col("edges")[i], 4).alias(n) for i, n in enumerate(("q10", "q50", "q99"))])
 
 
+CORRELATED = ["recency", "long_run", "events", "t"]
 CORR = SCORES + ", cr as (unpivot (select corr(recency, y) as recency, corr(long_run, y) as long_run, corr(events, y) as events, corr(t, y) as t from scores) on recency, long_run, events, t into name feature value r)"
 
 
 @query("A11_correlations", f"with {CORR} select feature, round(r, 6) as r from cr")
 def _(spark, sf):
-    return stats.correlations(scores(spark, sf), "y", ["recency", "long_run", "events", "t"]).withColumn("r", r("r"))
+    return stats.correlations(scores(spark, sf), "y", CORRELATED).withColumn("r", r("r"))
 
 
 @query("A11_strongest", f"with {CORR} select arg_max(feature, abs(r)) as feature, round(arg_max(r, abs(r)), 6) as r from cr")
 def _(spark, sf):
-    return stats.strongest(stats.correlations(scores(spark, sf), "y", ["recency", "long_run", "events", "t"])).withColumn("r", r("r"))
+    return stats.strongest(stats.correlations(scores(spark, sf), "y", CORRELATED), CORRELATED).withColumn("r", r("r"))
 
 
 @query("A12_sparsity", f"with {DENSE} select unnest(['events', 'ops', 'taken']) as feature, unnest([round(avg((events = 0)::int), 6), round(avg((ops = 0)::int), 6), round(avg((taken = 0)::int), 6)]) as zero_share from dense")

@@ -114,3 +114,16 @@ def test_quantile_bands_edges(spark):
     half = stats.quantile_bands(df, "v", [0, 0.5, 1.0]).groupBy("band_no").count().collect()
     both = stats.quantile_bands(df, "v", [0, 0.5, 1.0], inclusive=True).groupBy("band_no").count().collect()
     assert sorted(map(tuple, half)) == [(1, 2), (2, 3)] and sorted(map(tuple, both)) == [(1, 3), (2, 3)]
+
+
+def test_correlation_with_a_constant_is_not_a_number_and_ties_go_by_place(spark, duck):
+    import math
+
+    from risklattice.operators import stats
+
+    df = spark.createDataFrame([(1.0, 5.0, 1), (2.0, 3.0, 1), (4.0, 4.0, 1)], "b double, a double, y int")
+    got = dict(map(tuple, stats.correlations(df, "y", ["b", "a"]).collect()))
+    assert math.isnan(got["a"]) and math.isnan(got["b"])
+    assert stats.strongest(stats.correlations(df, "y", ["b", "a"]), ["b", "a"]).first().feature == "b"
+    both = dict(map(tuple, stats.correlations(df, "a", ["b"]).collect()))
+    assert abs(both["b"] - duck.sql("select corr(a, b) from (values (1.0, 5.0), (2.0, 3.0), (4.0, 4.0)) t(b, a)").fetchall()[0][0]) < 1e-12
