@@ -63,9 +63,21 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def percent_text(rate: Column) -> Column:
-    """Percentage for display: one decimal below ten per cent, none above."""
-    pct = rate * 100
-    return F.when(pct < 10, F.format_string("%.1f%%", pct)).otherwise(F.format_string("%.0f%%", pct))
+    """Percentage for display: one decimal below ten per cent, none above; null stays null.
+
+    The double's exact value is rounded, an exact half to the even digit, as C's printf does; Java's formatter would round the shortest
+    decimal text half up. Ten times the value is a sum of two doubles without error, whose second part settles what looks like a half.
+    """
+    pct = rate.cast("double") * 100
+    size = F.abs(pct)
+    near, far = size * 8, size * 2
+    tenths = near + far
+    rest = (near - (tenths - (tenths - near))) + (far - (tenths - near))
+    low = F.floor(tenths).cast("double")
+    up = F.when(tenths - low != 0.5, tenths - low > 0.5).when(rest != 0, rest > 0).otherwise(low % 2 == 1)
+    one = (low + up.cast("double")) / 10
+    short = F.format_string("%.1f%%", F.when(pct < 0, -one).otherwise(one))
+    return F.when(pct < 10, short).when(pct.isNotNull(), F.format_string("%.0f%%", F.rint(pct)))
 
 
 def in_box(lon: Column | str, lat: Column | str, box: tuple[float, float, float, float]) -> Column:

@@ -104,3 +104,15 @@ def test_a_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_percent_text_rounds_the_exact_value_as_printf(spark, duck):
+    from risklattice.functions.scalar import percent_text
+
+    rates = [k / 2000 for k in range(0, 400)] + [k / 200 for k in range(20, 120)] + [-k / 2000 for k in range(1, 40)] + [0.0999999, 0.0995, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rates)], "i int, d double")
+    got = dict(map(tuple, df.select("i", percent_text(F.col("d")).alias("s")).collect()))
+    duck.execute("create or replace temp table rate (i int, d double)")
+    duck.executemany("insert into rate values (?, ?)", [list(x) for x in enumerate(rates)])
+    want = dict(duck.sql("select i, case when d * 100 < 10 then printf('%.1f%%', d * 100) else printf('%.0f%%', d * 100) end from rate").fetchall())
+    assert got == want
