@@ -83,7 +83,8 @@ def _probability(df: DataFrame, name: str) -> DataFrame:
 class Learner:
     """A Spark ML classifier on scaled or raw features.
 
-    With ``balanced`` both classes weigh the same in each fit, counted on the very rows of that fit; row weights multiply.
+    With ``balanced`` both classes weigh the same in each fit, counted on the very rows of that fit; row weights multiply. Where those
+    rows hold one class only, nothing can be weighed against it: the fit is ``only``, that class's probability, with all weights zero.
     """
 
     features: list[str]
@@ -94,19 +95,23 @@ class Learner:
     balanced: bool = False
     scaler: Scaler | None = None
     model: PipelineModel | None = None
+    only: float | None = None
 
     def fit(self, train: DataFrame) -> "Learner":
         scaled = self.kind == "logistic"
         fitted = Learner(self.features, self.label, self.kind, self.weight, self.params, self.balanced)
         y, own = F.col(self.label).cast("double"), F.col(self.weight) if self.weight else F.lit(1.0)
-        sums = {"_share": F.avg(y), "_positive": F.sum(own * y), "_all": F.sum(own)}
+        sums = {"_share": F.avg(y), "_positive": F.sum(own * y), "_all": F.sum(own), "_rows": F.count(y)}
         # Means, deviations, class shares and weights come from one pass.
         fitted.scaler, found = Scaler.with_sums(train, self.features if scaled else [], sums)
         mass, weight = found["_all"], self.weight
         if self.balanced:
             share = found["_share"]
+            if not found["_rows"]:
+                raise ValueError("no rows to fit")
             if not 0 < share < 1:
-                raise ValueError("both classes must be among the rows of a balanced fit")
+                fitted.only = share
+                return fitted
             mass = found["_positive"] * 0.5 / share + (found["_all"] - found["_positive"]) * 0.5 / (1 - share)
             train, weight = train.withColumn("_mass", own * F.when(y > 0, 0.5 / share).otherwise(0.5 / (1 - share))), "_mass"
         train = fitted.scaler.apply(train)
@@ -132,6 +137,8 @@ class Learner:
         raise ValueError(f"unknown learner {self.kind!r}")
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
+        if self.only is not None:
+            return df.withColumn(name, F.lit(self.only))
         if self.scaler:
             # A linear model is one expression over the columns: it stays inside generated code.
             return df.withColumn(name, sigmoid(self.linear_part()))
@@ -142,9 +149,13 @@ class Learner:
         return sum((self.scaler.column(c) * F.lit(w) for c, w in weights.items()), F.lit(self.intercept()))
 
     def coefficients(self) -> dict[str, float]:
+        if self.only is not None:
+            return dict.fromkeys(self.features, 0.0)
         return dict(zip(self.features, (float(v) for v in self.model.stages[-1].coefficients)))
 
     def intercept(self) -> float:
+        if self.only is not None:
+            return float("inf") if self.only > 0 else float("-inf")
         return float(self.model.stages[-1].intercept)
 
 

@@ -159,3 +159,14 @@ def test_stack_returns_weights_of_all_bases_and_metas(panel):
     scored, weights = models.stack(rows.filter("t < 50"), rows.filter("t >= 50"), bases, F.col("t") >= 40, calibrated=("a",))
     assert {(r.meta, r.base) for r in weights.collect()} == {(m, b) for m in models.META for b in bases}
     assert {"p_a", "p_b", "p_c", *models.META} <= set(scored.columns) and scored.count() == 120
+
+
+@pytest.mark.parametrize("kind", ["logistic", "forest"])
+@pytest.mark.parametrize("label", [0, 1])
+def test_balanced_fit_on_one_class_gives_that_class(panel, kind, label):
+    one = panel.filter(F.col("y") == label)
+    fitted = models.Learner(["x", "z"], kind=kind, balanced=True).fit(one)
+    assert fitted.score(panel).agg(F.min("score"), F.max("score")).first()[:] == (float(label), float(label))
+    assert set(fitted.coefficients().values()) == {0.0}
+    with pytest.raises(ValueError, match="no rows"):
+        models.Learner(["x", "z"], kind=kind, balanced=True).fit(panel.filter("false"))
