@@ -274,12 +274,12 @@ def stack(train: DataFrame, apply_to: DataFrame, bases: dict, inner: Column, cal
     return scored.drop(*[f"l_{n}" for n in bases]), weights
 
 
-def recalibrate(df: DataFrame, probability: str, targets: DataFrame, group: str, bracket: float = 12.0, passes: int = 6, grid: int = 32) -> DataFrame:
+def recalibrate(df: DataFrame, probability: str, targets: DataFrame, group: str, bracket: float = 12.0, passes: int = 6, grid: int = 32, to_end: bool = False) -> DataFrame:
     """Shift each group's log-odds so that its mean probability meets its target; order is kept.
 
     ``targets`` has (group, target). Every pass evaluates a grid of shifts in one aggregate over distinct
     probabilities, then narrows the bracket around the crossing. Where the target lies beyond the bracket the
-    input stays and the shift is null. Groups are few (horizons).
+    input stays and the shift is null, or with ``to_end`` the shift is the bracket's nearer end, as bisection gives it. Groups are few (horizons).
     """
     odds = log_odds(F.col("_p"), 1e-9)
     cells = cut_lineage(df.groupBy(group, F.col(probability).alias("_p")).agg(F.count(F.lit(1)).alias("_n")))
@@ -293,7 +293,7 @@ def recalibrate(df: DataFrame, probability: str, targets: DataFrame, group: str,
         got = joined.groupBy(group).agg(F.first("target").alias("target"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_ok").alias("_ok"), *means)
         below = F.size(F.filter(F.array(*[F.col(f"_m{k}") for k in range(grid + 1)]), lambda m: m <= F.col("target")))
         at = F.greatest(F.least(below - 1, F.lit(grid - 1)), F.lit(0))
-        reach = (F.col("_m0") <= F.col("target")) & (F.col("target") <= F.col(f"_m{grid}")) if i == 0 else F.col("_ok")
+        reach = F.lit(True) if to_end else (F.col("_m0") <= F.col("target")) & (F.col("target") <= F.col(f"_m{grid}")) if i == 0 else F.col("_ok")
         bounds = got.select(group, "target", reach.alias("_ok"), (F.col("_lo") + width * at).alias("_lo2"), (F.col("_lo") + width * (at + 1)).alias("_hi2")).withColumnsRenamed({"_lo2": "_lo", "_hi2": "_hi"})
     shift = bounds.select(group, "target", F.when(F.col("_ok"), (F.col("_lo") + F.col("_hi")) / 2).alias("shift"))
     moved = sigmoid(log_odds(F.col(probability), 1e-9) + F.col("shift"))

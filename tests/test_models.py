@@ -170,3 +170,11 @@ def test_balanced_fit_on_one_class_gives_that_class(panel, kind, label):
     assert set(fitted.coefficients().values()) == {0.0}
     with pytest.raises(ValueError, match="no rows"):
         models.Learner(["x", "z"], kind=kind, balanced=True).fit(panel.filter("false"))
+
+
+def test_recalibration_to_the_end_of_the_bracket(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, 0.8), (2, 0.3), (2, 0.4)], "fold int, p double")
+    targets = spark.createDataFrame([(1, 1.0), (2, 0.0)], "fold int, target double")
+    out = models.recalibrate(df, "p", targets, "fold", to_end=True).collect()
+    assert all(abs(x["shift"] - (12.0 if x["fold"] == 1 else -12.0)) < 1e-6 for x in out)
+    assert all(x["recalibrated"] > 0.9999 if x["fold"] == 1 else x["recalibrated"] < 0.0001 for x in out)
