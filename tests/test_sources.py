@@ -107,3 +107,23 @@ def test_late_event_is_dropped_and_counted(spark, tmp_path):
     put([(3, day(25), date(2024, 2, 1)), (4, day(3), date(2024, 2, 1))])
     assert drain("second") == [1]
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_pages_of_a_slice_read_the_events_once(spark, sf, monkeypatch):
+    import pyarrow.dataset as ds
+
+    from risklattice.plans import QUERIES
+    from risklattice.sources import rest
+
+    found, opened, plain = {}, [], ds.dataset
+
+    def caught(name, fetch):
+        found["page"] = fetch
+        raise KeyError(name)
+
+    monkeypatch.setattr(rest, "paged_source", caught)
+    with pytest.raises(KeyError):
+        QUERIES["S8_paged_source"](spark, sf)
+    monkeypatch.setattr(ds, "dataset", lambda *a, **k: opened.append(1) or plain(*a, **k))
+    pages = [found["page"]("2024-01-01", "2024-12-31", n, 7, {"path": f"{sf}/events.parquet"}) for n in (1, 2, 3)]
+    assert len(opened) == 1 and len({r["event_id"] for p in pages for r in p}) == 21
