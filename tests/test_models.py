@@ -178,3 +178,20 @@ def test_recalibration_to_the_end_of_the_bracket(spark):
     out = models.recalibrate(df, "p", targets, "fold", to_end=True).collect()
     assert all(abs(x["shift"] - (12.0 if x["fold"] == 1 else -12.0)) < 1e-6 for x in out)
     assert all(x["recalibrated"] > 0.9999 if x["fold"] == 1 else x["recalibrated"] < 0.0001 for x in out)
+
+
+def test_protocols_run_on_panels_of_one_class(panel):
+    """Labels that are always 1, as where every area has an event in every week."""
+    ones = panel.withColumns({"y": F.lit(1), "events": F.lit(1.0) + F.pmod("t", F.lit(3))}).cache()
+    learner = models.Learner(["x", "z"], balanced=True)
+    weights = ones.groupBy("area").agg(F.lit(2.0).alias("weight"))
+    found = [
+        models.horizon_experiment(ones.drop("y"), [1, 2], learner, 2, 10, 59, 5),
+        models.delay_experiment(lambda d: ones, [0, 1], learner, 2, 10, 59, 5),
+        models.under_reporting_experiment(ones, weights, learner, 2, 10, 59, 5),
+        models.calibration_schemes(ones.filter("t < 50"), ones.filter("t >= 50"), learner, 5),
+    ]
+    assert [f.count() for f in found] == [4, 4, 4, 5]
+    assert all(r.base_rate == 1.0 and r.average_precision == 1.0 and r.brier == 0.0 and r.roc_auc is None for f in found for r in f.collect())
+    scored = models.severity(models.Calibrated.fit(learner, models.area_split(ones)).score(ones), models.poisson_stage(ones, ["x", "z"]))
+    assert scored.filter("score <> 1 or severity < 1 or expected <> severity").count() == 0
