@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklattice.functions.text import content_words
-from risklattice.operators.ranking import ordered_numbers
 from risklattice.session import cut_lineage, scratch_path
 
 LINK_THRESHOLD = 0.60
-HOT_ROWS = 4096  # rows of one side of a (block, word) that meet in one task
-
-
-def word_numbers(sets: DataFrame, words: str) -> DataFrame:
-    """(word, no): the words of all sets, the rarest first. One order for the whole corpus, whatever the block."""
-    counted = sets.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    return ordered_numbers(counted, [], ["_df", "word"], "no").select("word", F.col("no").cast("int").alias("no"))
-
-
-def numbered_sets(sets: DataFrame, keys: list[str], words: str, numbers: DataFrame) -> DataFrame:
-    """keys, ``size`` (all words of the set) and ``nos``, its words of the order, rarest first."""
-    each = sets.select(*keys, F.size(words).alias("size"), F.explode(words).alias("word")).join(numbers, "word")
-    return each.groupBy(*keys, "size").agg(F.sort_array(F.collect_list("no")).alias("nos"))
+HOT_ROWS = 4096  # rows of one side of a block that meet in one task
+CELLS = 2**22  # pairs, and postings of rare words, counted at a time
 
 
 def salted(probes: DataFrame, postings: DataFrame, on: list[str], probe_id: str, posting_id: str, rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -46,46 +36,105 @@ def salted(probes: DataFrame, postings: DataFrame, on: list[str], probe_id: str,
     return dealt(probes, "_b", "_a", "_sb", "_sa", probe_id), dealt(postings, "_a", "_b", "_sa", "_sb", posting_id)
 
 
+def word_sets(records: DataFrame, block: list[str], text: str, own: str) -> DataFrame:
+    """block, ``own``, ``_hash`` of the content words and ``_words``, each as a 64-bit hash of word and block: two words of one block
+    count as equal if their hashes are. Written once, eight bytes a word, as cutting text into words is the dear part."""
+    words = records.dropna(subset=block).select(*block, own, F.array_sort(content_words(text)).alias("_w"))
+    hashed = F.transform("_w", lambda w: F.xxhash64(w, *block))
+    return cut_lineage(words.select(*block, own, F.sha2(F.concat_ws(" ", "_w"), 256).alias("_hash"), hashed.alias("_words"))).filter(F.size("_words") > 0)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists of a column in one array, and the row of each value."""
+    column = column.combine_chunks()
+    rows = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    return column.flatten().to_numpy(zero_copy_only=False), rows
+
+
+def shared_counts(own: np.ndarray, own_rows: np.ndarray, n: int, other: np.ndarray, other_rows: np.ndarray, m: int):
+    """Yield (first row, matrix of shared values) for slices of ``n`` sets against ``m`` sets, given as values with their rows.
+
+    Values that more than one in 32 of the other sets hold are multiplied as 0/1 matrices, the rest counted through their
+    postings; a slice has at most CELLS cells and postings, if it has more than one row.
+    """
+    order = np.argsort(other, kind="stable")
+    values, starts, sizes = np.unique(other[order], return_index=True, return_counts=True)
+    postings = other_rows[order]
+    at = np.searchsorted(values, own)
+    held = values[np.minimum(at, len(values) - 1)] == own
+    at, rows = at[held], own_rows[held]
+    common = sizes > max(32, m // 32)
+    column = np.cumsum(common) - 1
+    dense = np.zeros((int(common.sum()), m), dtype=np.float32)
+    where = np.repeat(common, sizes)
+    dense[np.repeat(column, sizes)[where], postings[where]] = 1
+    rare = ~common[at]
+    steps = np.bincount(rows[rare], weights=sizes[at[rare]], minlength=n)
+    weight = np.cumsum(np.maximum(steps, m))
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(weight, (weight[first - 1] if first else 0) + CELLS, side="right")))
+        a, b = np.searchsorted(rows, [first, last])
+        hit, row, few = at[a:b], rows[a:b] - first, rare[a:b]
+        mine = np.zeros((last - first, len(dense)), dtype=np.float32)
+        mine[row[~few], column[hit[~few]]] = 1
+        lengths = sizes[hit[few]]
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[hit[few]] - (ends - lengths), lengths)
+        cells = np.repeat(row[few] * m, lengths) + postings[places]
+        yield first, np.bincount(cells, minlength=(last - first) * m).reshape(-1, m) + np.rint(mine @ dense).astype(np.int64)
+        first = last
+
+
+def _best_in_tiles(titles: pa.Table, stories: pa.Table, kept: list[str], threshold: float, main_id: str) -> pa.Table:
+    """Best story of each title inside each tile, the lowest id of equals; rows of a tile lie together once sorted."""
+    titles, stories = titles.sort_by("_tile"), stories.sort_by([("_tile", "ascending"), (main_id, "ascending")])
+    spans = [dict(zip(v, zip(i, np.append(i[1:], len(t))))) for t in (titles, stories) for v, i in [np.unique(t["_tile"].to_numpy(), return_index=True)]]
+    found, partner, score = [], [], []
+    for tile, (a, b) in spans[0].items():
+        if tile not in spans[1]:
+            continue
+        c, d = spans[1][tile]
+        own, own_rows = _lists(titles["_words"].slice(a, b - a))
+        size = np.bincount(own_rows, minlength=b - a)
+        for first, shared in shared_counts(own, own_rows, b - a, *_lists(stories["_words"].slice(c, d - c)), d - c):
+            best = shared.argmax(axis=1)
+            share = shared[np.arange(len(best)), best] / size[first : first + len(best)]
+            good = np.flatnonzero(share >= threshold)
+            found.append(a + first + good)
+            partner.append(c + best[good])
+            score.append(share[good])
+    found, partner, score = (np.concatenate(v) if v else np.zeros(0, dtype=t) for v, t in ((found, np.int64), (partner, np.int64), (score, np.float64)))
+    return titles.select(kept).take(pa.array(found)).append_column(main_id, stories[main_id].take(pa.array(partner))).append_column("score", pa.array(score))
+
+
 def find_duplicates(additional: DataFrame, main: DataFrame, block: list[str], title: str, narrative: str, threshold: float = LINK_THRESHOLD, add_id: str = "add_id", main_id: str = "main_id") -> DataFrame:
     """Best main record for each additional record that repeats it: (add_id, main_id, score).
 
     Score is the share of title words the narrative holds, inside equal non-null block keys; ties go to
-    the lowest main id. Four steps keep a hot block cheap and the result whole:
+    the lowest main id. A block's texts share their common words, so nearly all its pairs have some: the work is a block's number of
+    pairs. None of them is a row:
 
     * equal word sets inside a block collapse to one row, keeping the lowest main id, so masses of copies cost one comparison;
-    * words become numbers, the rarest of the whole corpus first. A title of n words that reaches the threshold shares at least
-      ceil(threshold * n) of them, hence at least one of its n - ceil(threshold * n) + 1 first; only those look for partners,
-      by an equi-join on (block, word) whose hot keys are dealt to many tasks from both sides;
-    * the first shared word stands in the narrative where at least as many words are left as must be shared, which is settled
-      by its position, before word sets are read;
-    * the surviving pairs are checked on the full sets of numbers.
+    * a block is dealt out as tiles of at most about HOT_ROWS titles by as many narratives, and tiles into tasks;
+    * a tile counts the shared words of all its pairs in place, and only each title's best partner in it leaves the task.
     """
-    titles = additional.dropna(subset=block).select(*block, add_id, F.array_sort(content_words(title)).alias("_t"))
-    # Word sets are written once: cutting text into words costs more than reading them back three times.
-    # Empty sets are dropped afterwards, as a filter before would cut every text a second time.
-    titles = cut_lineage(titles.withColumn("_th", F.sha2(F.concat_ws(" ", "_t"), 256))).filter(F.size("_t") > 0)
-    stories = main.dropna(subset=block).select(*block, main_id, F.array_sort(content_words(narrative)).alias("_n"))
-    stories = stories.withColumn("_nh", F.sha2(F.concat_ws(" ", "_n"), 256))
-    title_sets = titles.groupBy(*block, "_th").agg(F.first("_t").alias("_t"), F.min(add_id).alias("_tid"))
-    story_sets = cut_lineage(stories.groupBy(*block, "_nh").agg(F.first("_n").alias("_n"), F.min(main_id).alias(main_id))).filter(F.size("_n") > 0)
-
-    numbers = word_numbers(story_sets, "_n")
-    wanted = cut_lineage(numbered_sets(title_sets, [*block, "_tid"], "_t", numbers).withColumn("_need", F.ceil(F.col("size") * F.lit(float(threshold)) - F.lit(1e-9)).cast("int")))
-    stored = cut_lineage(numbered_sets(story_sets, [*block, main_id], "_n", numbers))
-    # Words that no narrative holds come first in the order; they count, but cannot lead to a partner.
-    first = F.col("size") - F.col("_need") + 1 - (F.col("size") - F.size("nos"))
-    probes = wanted.filter(first > 0).select(*block, "_tid", "_need", F.explode(F.slice("nos", F.lit(1), first)).alias("no"))
-    postings = stored.select(*block, main_id, F.size("nos").alias("_have"), F.posexplode("nos").alias("_at", "no")).withColumn("_left", F.col("_have") - F.col("_at")).drop("_have", "_at")
-    probes, postings = salted(probes, postings, [*block, "no"], "_tid", main_id)
-    pairs = probes.join(postings, [*block, "no", "_a", "_b"]).filter("_left >= _need").select(*block, "_tid", main_id).distinct()
-    shared = F.size(F.array_intersect("nos", "_nos"))
-    scored = (
-        pairs.join(wanted, [*block, "_tid"]).join(stored.select(*block, main_id, F.col("nos").alias("_nos")), [*block, main_id])
-        .withColumn("score", shared.cast("double") / F.col("size")).filter(F.col("score") >= threshold)
-    )
-    best = scored.groupBy(*block, "_tid").agg(F.min_by(F.struct(F.col(main_id), F.col("score")), F.struct(-F.col("score"), F.col(main_id))).alias("_b"))
-    hashes = title_sets.select(*block, "_tid", "_th").join(best, [*block, "_tid"]).select(*block, "_th", "_b")
-    return titles.select(*block, add_id, "_th").join(hashes, block + ["_th"]).select(add_id, f"_b.{main_id}", "_b.score")
+    titles, stories = word_sets(additional, block, title, add_id), word_sets(main, block, narrative, main_id)
+    title_sets, story_sets = (sets.groupBy(*block, "_hash").agg(F.first("_words").alias("_words"), F.min(own).alias(own)) for sets, own in ((titles, add_id), (stories, main_id)))
+    counts = [sets.select(*block, "_hash").distinct() for sets in (titles, stories)]
+    groups = max(1, sum(sets.count() for sets in counts) // HOT_ROWS)
+    a, b = salted(title_sets, story_sets, block, "_hash", "_hash")
+    tile = F.xxhash64(*block, "_a", "_b")
+    a, b = (df.select(*own, "_words", tile.alias("_tile"), F.pmod(tile, F.lit(groups)).alias("_group")) for df, own in ((a, [*block, "_hash"]), (b, [main_id])))
+    types = {f.name: f.dataType.simpleString() for f in [*titles.schema, *stories.schema]}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*block, "_hash", main_id]) + ", score double"
+
+    def best_in_tiles(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_in_tiles(left, right, [*block, "_hash"], threshold, main_id)
+
+    pairs = a.groupBy("_group").cogroup(b.groupBy("_group")).applyInArrow(best_in_tiles, schema)
+    best = pairs.groupBy(*block, "_hash").agg(F.min_by(F.struct(main_id, "score"), F.struct(-F.col("score"), F.col(main_id))).alias("_b"))
+    return titles.select(*block, add_id, "_hash").join(best, [*block, "_hash"]).select(add_id, f"_b.{main_id}", "_b.score")
 
 
 def drop_linked(additional: DataFrame, links: DataFrame, add_id: str = "add_id") -> DataFrame:

@@ -2,6 +2,7 @@ import difflib
 import random
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from risklattice.functions import text as T
@@ -139,3 +140,39 @@ def test_merge_and_conform(spark):
     rows = conform.general_events(raw).collect()
     assert (rows[0].date, rows[0].latitude, rows[0].is_target, rows[0].is_operation, rows[0].category) == (None, None, True, True, "banditry")
     assert (rows[1].date, rows[1].deaths, rows[1].kidnapped, rows[1].category) == (date(2020, 2, 3), None, 2.0, "other")
+
+
+def shuffled_rows(spark):
+    """Rows written to shuffles by all stages of the session so far."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._gateway.jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_a_block_are_no_rows(spark):
+    """300 by 300 texts of the same few words, nearly all of whose 90,000 pairs share some: the links of all pairs, from few rows."""
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(8)]
+    texts = [" ".join(rng.sample(words, rng.randint(2, 25))) for _ in range(600)]
+    add, main = (spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts) if i % 2 == k], f"{n} long, block string, t string") for k, n in enumerate(("add_id", "main_id")))
+    before = shuffled_rows(spark)
+    got = {r.add_id: (r.main_id, round(r.score, 9)) for r in link.find_duplicates(add, main, ["block"], "t", "t").collect()}
+    assert shuffled_rows(spark) - before < 9_000
+    want = {}
+    for i in range(0, 600, 2):
+        own = set(texts[i].split())
+        score, j = min((-len(own & set(texts[j].split())) / len(own), j) for j in range(1, 600, 2))
+        if -score >= 0.6:
+            want[i] = (j, round(-score, 9))
+    assert got == want
+
+
+def test_shared_counts_in_slices(monkeypatch):
+    """Common and rare values, in slices of few cells: the size of each intersection."""
+    monkeypatch.setattr(link, "CELLS", 200)
+    rng = random.Random(5)
+    own, other = ([sorted(rng.sample(range(-30, 300), rng.randint(1, 40)) + [1000 + k]) for k in range(n)] for n in (50, 70))
+    flat = lambda sets: (np.array([v for s in sets for v in s]), np.array([i for i, s in enumerate(sets) for _ in s]))
+    slices = list(link.shared_counts(*flat(own), 50, *flat(other), 70))
+    assert len(slices) > 1 and np.concatenate([m for _, m in slices]).tolist() == [[len(set(a) & set(b)) for b in other] for a in own]
