@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risklattice.operators.ranking import top_k
 from risklattice.session import cut_lineage, scratch_path
 
 SNAP_TOLERANCE = 0.025
@@ -205,11 +206,13 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 
 
 def nearest_target(centroids: DataFrame, targets: DataFrame, cell: float, area: str = "area", x: str = "x", y: str = "y") -> DataFrame:
-    """Nearest target centroid in km for each area (itself excluded), exact anywhere on the globe, by widening grid rings.
+    """Nearest target centroid in km for each area (itself excluded, ties to the lowest target), exact anywhere on the globe, by widening grid rings.
 
     Places become points of the unit sphere, where the straight distance grows with the distance along the ground and neither
-    poles nor the date line are borders. Each round files the targets on a 3-D grid twice as coarse (``cell`` degrees at first) and lets open
-    areas look at the 27 cells around. Anything further off is at least one cell away, so a best distance below that is final.
+    poles nor the date line are borders. Areas of one place look once, for the two nearest targets, of which at most one is the area
+    itself; of the targets of one place the two lowest count. Each round files the targets on a 3-D grid twice as coarse (``cell``
+    degrees at first, less where that would hold more than about one target place a cell) and lets open places look at the 27 cells
+    around. Anything further off is at least one cell away, so a second-best distance below that is final.
     Rounds are written to the shared folder, since each one narrows the next.
     """
     import math
@@ -218,26 +221,30 @@ def nearest_target(centroids: DataFrame, targets: DataFrame, cell: float, area:
         lon, lat = F.radians(F.col(f"{prefix}x")), F.radians(F.col(f"{prefix}y"))
         return df.withColumns({f"{prefix}1": F.cos(lat) * F.cos(lon), f"{prefix}2": F.cos(lat) * F.sin(lon), f"{prefix}3": F.sin(lat)})
 
-    left = sphere(centroids.select(area, F.col(x).alias("ax"), F.col(y).alias("ay")), "a")
-    goal = sphere(targets.select(F.col(area).alias("target"), F.col(x).alias("tx"), F.col(y).alias("ty")), "t")
+    own = centroids.select(F.col(area).alias("_area"), F.col(x).alias("ax"), F.col(y).alias("ay"))
+    left = cut_lineage(sphere(own.select("ax", "ay").distinct(), "a"))
+    goal = targets.select(F.col(area).alias("target"), F.col(x).alias("tx"), F.col(y).alias("ty")).distinct()
+    goal = cut_lineage(sphere(top_k(goal, ["tx", "ty"], [F.col("target")], 2), "t").drop("rank"))
+    spots = max(1, goal.select("tx", "ty").distinct().count())
     steps = [F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias(f"s{k}") for k in (1, 2, 3)]
-    size, found = math.radians(cell), None
+    size, found = min(math.radians(cell), math.sqrt(4 * math.pi / spots)), None
     while True:
         last = size >= 2
         spread = left.select("*", steps[0]).select("*", steps[1]).select("*", steps[2])
-        spread = spread.select(area, "ax", "ay", "a1", "a2", "a3", *[(F.floor(F.col(f"a{k}") / size) + F.col(f"s{k}")).alias(f"c{k}") for k in (1, 2, 3)])
+        spread = spread.select("ax", "ay", "a1", "a2", "a3", *[(F.floor(F.col(f"a{k}") / size) + F.col(f"s{k}")).alias(f"c{k}") for k in (1, 2, 3)])
         filed = goal.select("*", *[F.floor(F.col(f"t{k}") / size).alias(f"c{k}") for k in (1, 2, 3)])
         km = haversine_km(F.col("ax"), F.col("ay"), F.col("tx"), F.col("ty"))
         chord = F.sqrt(sum((F.col(f"a{k}") - F.col(f"t{k}")) * (F.col(f"a{k}") - F.col(f"t{k}")) for k in (1, 2, 3)))
-        best = (
-            spread.join(filed, ["c1", "c2", "c3"]).filter(F.col(area) != F.col("target"))
-            .groupBy(area).agg(F.min(F.struct(km.alias("km"), F.col("target"), chord.alias("chord"))).alias("b")).select(area, "b.km", "b.target", "b.chord")
-        )
+        near = spread.join(filed, ["c1", "c2", "c3"]).groupBy("ax", "ay", "target").agg(F.min(F.struct(km.alias("km"), chord.alias("chord"))).alias("b")).select("ax", "ay", "target", "b.*")
+        two = top_k(near, ["ax", "ay"], [F.col("km"), F.col("target")], 2)
+        best = two.groupBy("ax", "ay").agg(F.sort_array(F.collect_list(F.struct("km", "target"))).alias("near"), F.max("chord").alias("far"))
         if not last:
-            best = best.filter(F.col("chord") <= size * (1 - 1e-9))
-        best = cut_lineage(best.drop("chord"))
+            best = best.filter((F.size("near") == 2) & (F.col("far") <= size * (1 - 1e-9)))
+        best = cut_lineage(best.drop("far"))
         found = best if found is None else found.unionByName(best)
-        left = cut_lineage(left.join(best.select(area), area, "left_anti"))
+        left = cut_lineage(left.join(best.select("ax", "ay"), ["ax", "ay"], "left_anti"))
         if last or left.isEmpty():
-            return found
+            break
         size *= 2
+    other = own.join(found, ["ax", "ay"]).select("_area", F.get(F.filter("near", lambda n: n["target"] != F.col("_area")), F.lit(0)).alias("b")).filter("b is not null")
+    return other.groupBy(F.col("_area").alias(area)).agg(F.min("b").alias("b")).select(area, "b.km", "b.target")

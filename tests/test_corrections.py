@@ -116,3 +116,26 @@ def test_percent_text_rounds_the_exact_value_as_printf(spark, duck):
     duck.executemany("insert into rate values (?, ?)", [list(x) for x in enumerate(rates)])
     want = dict(duck.sql("select i, case when d * 100 < 10 then printf('%.1f%%', d * 100) else printf('%.0f%%', d * 100) end from rate").fetchall())
     assert got == want
+
+
+def test_areas_of_one_place_look_for_targets_once(spark, monkeypatch):
+    """1,200 areas on 24 places, some with targets: brute force, and no written step holds more rows than places or two targets a place."""
+    rows = [(i, float(i % 24 * 14 - 170), float(i % 24 * 5 - 60), i % 24 < 9 and i % 7 == 0 or i == 23) for i in range(1200)]
+    df = spark.createDataFrame(rows, "area int, x double, y double, goal boolean")
+    sizes = []
+
+    def counted(out):
+        sizes.append(out.count())
+        return session.cut_lineage(out)
+
+    monkeypatch.setattr(spatial, "cut_lineage", counted)
+    got = {r.area: (round(r.km, 6), r.target) for r in spatial.nearest_target(df, df.filter("goal"), 5.0).collect()}
+    at = {i: (math.radians(x), math.radians(y)) for i, x, y, _ in rows}
+    goals = [i for i, _, _, goal in rows if goal]
+
+    def km(a, b):
+        (p, q), (u, v) = at[a], at[b]
+        return round(2 * 6371.0088 * math.asin(math.sqrt(min(1, math.sin((v - q) / 2) ** 2 + math.cos(q) * math.cos(v) * math.sin((u - p) / 2) ** 2))), 6)
+
+    assert got == {a: min((km(a, b), b) for b in goals if b != a) for a in at}
+    assert max(sizes) <= 24
