@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from risklattice.session import cut_lineage
+
+ROWS_A_TASK = 2**20  # rows of a partitioned write that one task sorts
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """CSV with a declared schema; no inference pass."""
@@ -70,12 +75,24 @@ def _documents(content: bytes):
                 yield bundle.read(entry)
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] = [], mode: str = "overwrite") -> None:
-    """Parquet, optionally partitioned. Rows of a partition value go to few tasks, split where it is large."""
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = df.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode(mode).partitionBy(*partition_by)
-    writer.parquet(path)
+def write_table(df: DataFrame, path: str, partition_by: list[str] = [], mode: str = "overwrite", rows: int = ROWS_A_TASK) -> None:
+    """Parquet, optionally partitioned. Rows of a partition value go to few tasks; a value of more than ``rows`` rows to as many tasks as
+    it holds that many. Tasks are dealt by rows, not bytes: each one sorts its rows by value, and bytes may be far fewer before that.
+    """
+    if not partition_by:
+        df.write.mode(mode).parquet(path)
+        return
+    sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_parts", F.ceil(F.col("_rows") / F.lit(float(rows))))
+    sizes = cut_lineage(sizes.toDF(*[f"_v{i}" for i in range(len(partition_by))], "_rows", "_parts"))
+    small, large = sizes.agg(F.sum(F.when(F.col("_parts") == 1, F.col("_rows"))), F.sum(F.when(F.col("_parts") > 1, F.col("_parts")))).first()
+    base = -(-(small or 0) // rows)  # tasks for the values that need less than one, by hash
+    starts = F.coalesce(F.sum("_parts").over(Window.orderBy(F.col("_parts").desc(), *sizes.columns).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hot = sizes.filter("_parts > 1").withColumn("_start", starts + base).drop("_rows")
+    same = [F.col(f"_v{i}").eqNullSafe(df[c]) for i, c in enumerate(partition_by)]
+    # At most a row for each ``rows`` rows.
+    dealt = df.join(F.broadcast(hot), functools.reduce(lambda a, b: a & b, same), "left")
+    task = F.coalesce(F.col("_start") + F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.pmod(F.xxhash64(*[df[c] for c in partition_by]), F.lit(max(base, 1))))
+    dealt.repartitionById(max(1, base + (large or 0)), task.cast("int")).select(*[df[c] for c in df.columns]).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
 def write_sorted_csv(df: DataFrame, path: str, order: list[Column | str]) -> None:

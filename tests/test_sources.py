@@ -28,6 +28,18 @@ def test_parquet_sink_results_and_serving(spark, tmp_path):
     assert {n: t.count() for n, t in files.serving_tables(spark, str(tmp_path / "gold")).items()} == dict.fromkeys(files.SERVING_TABLES, 20)
 
 
+def test_partitioned_write_splits_large_values_by_rows(spark, tmp_path):
+    """Equal rows, which shrink to few bytes: no file holds many more than the bound; small and null values keep one file."""
+    y = F.when(F.col("id") < 4000, 1).when(F.col("id") < 4020, 2)
+    df = spark.range(4050).select(y.alias("y"), F.lit(7).alias("x"))
+    files.write_table(df, str(tmp_path / "t"), ["y"], rows=500)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    held = {}
+    for r in back.groupBy("y", F.input_file_name().alias("f")).count().collect():
+        held.setdefault(r.y, []).append(r["count"])
+    assert sum(held[1]) == 4000 and max(held[1]) <= 600 and held[2] == [20] and held[None] == [30]
+
+
 def test_layers(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "name string, x int").write.parquet(str(tmp_path / "l1"))
     spark.createDataFrame([("b",)], "name string").write.parquet(str(tmp_path / "l2"))
