@@ -235,8 +235,8 @@ def _(spark, sf):
     """A panel whose areas grow with the data: one per customer, hundreds of weeks each."""
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("area"), F.date_trunc("week", "o_orderdate").cast("date").alias("week"))
     totals = P.weekly_totals(orders, {"events": F.count(F.lit(1))})
-    grid = P.spine(table(spark, sf, "customer").select(F.col("c_custkey").alias("area")), *P.week_span(orders))
-    d = P.densify(grid, totals, ["events"]).withColumn("total", P.prefix("events"))
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("area"))
+    d = P.dense_panel(customers, totals, ["events"], *P.week_span(orders)).withColumn("total", P.prefix("events"))
     f = d.select("area", "week", "events", P.prefix_window("total", 4).alias("own_4w"), P.prefix_window("total", 52).alias("own_52w"), P.weeks_since("events").alias("since"))
     return f.groupBy("week").agg(
         F.count(F.lit(1)).alias("areas"), F.sum("events").alias("events"), F.sum("own_4w").alias("own_4w"), F.sum("own_52w").alias("own_52w"),

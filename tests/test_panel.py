@@ -119,3 +119,17 @@ def test_page_rank_settles_in_few_rounds_where_ranks_swing(spark, monkeypatch):
                 nxt[d] += 0.85 * plain[s] * w / sum(out.values())
         plain = nxt
     assert all(abs(rank[n] - plain[n] / len(plain)) < 1e-9 for n in rank)
+
+
+def test_dense_panel_equals_densify_and_moves_no_weeks(spark):
+    """300 areas by 53 weeks: the same rows, with windows, while fewer rows are shuffled than the panel has."""
+    from test_matching import shuffled_rows
+
+    areas = spark.range(300).withColumnRenamed("id", "area").repartition(4)
+    totals = spark.range(330).selectExpr("id as area", "case when id % 50 <> 9 then date_add(date'2020-01-06', cast(7 * (id % 53) as int)) end as week", "id + 1 as events")
+    span = F.lit("2020-01-06").cast("date"), F.lit("2021-01-04").cast("date")
+    want = P.densify(P.spine(areas, *span), totals, ["events"]).withColumn("sum", P.prefix("events"))
+    before = shuffled_rows(spark)
+    got = P.dense_panel(areas, totals, ["events"], *span).withColumn("sum", P.prefix("events")).select(want.columns).collect()
+    assert shuffled_rows(spark) - before < 300 * 53 / 2
+    assert len(got) == 300 * 53 and sorted(got) == sorted(want.collect())
