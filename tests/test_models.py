@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from risklattice.functions.scalar import sigmoid
 from risklattice.operators import models
+from risklattice.plans import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +196,35 @@ def test_protocols_run_on_panels_of_one_class(panel):
     assert all(r.base_rate == 1.0 and r.average_precision == 1.0 and r.brier == 0.0 and r.roc_auc is None for f in found for r in f.collect())
     scored = models.severity(models.Calibrated.fit(learner, models.area_split(ones)).score(ones), models.poisson_stage(ones, ["x", "z"]))
     assert scored.filter("score <> 1 or severity < 1 or expected <> severity").count() == 0
+
+
+@pytest.fixture(scope="module")
+def busy(spark, sf, tmp_path_factory):
+    """Driver tables in which every nation has two or three urgent orders in every one of 330 weeks, as in large copies."""
+    root = str(tmp_path_factory.mktemp("busy"))
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{root}/{name}.parquet")
+    like = {name: spark.read.parquet(f"{sf}/{name}.parquet").schema for name in ("customer", "orders")}
+    customer = spark.range(25).select((F.col("id") + 1).alias("c_custkey"), F.col("id").alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    place, copy = F.floor(F.col("id") / 3), F.col("id") % 3
+    orders = spark.range(330 * 25 * 3).select(
+        F.col("id").alias("o_orderkey"), (place % 25 + 1).alias("o_custkey"), F.when(copy == 1, "O").otherwise("F").alias("o_orderstatus"), (100.0 + F.col("id") % 7).alias("o_totalprice"),
+        F.date_add(F.lit("1992-01-06").cast("date"), (F.floor(place / 25) * 7).cast("int")).alias("o_orderdate"),
+        F.when((copy == 2) & (F.col("id") % 2 == 0), "5-LOW").otherwise("1-URGENT").alias("o_orderpriority"),
+    )
+    for name, df in (("customer", customer), ("orders", orders)):
+        df.select(*[F.col(f.name).cast(f.dataType) for f in like[name] if f.name in df.columns]).write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+# Rows and, where every row says the same, that value.
+BUSY = {
+    "M17_horizon_experiment": (15, {"base_rate": 1.0, "brier": 0.0}),
+}
+
+
+@pytest.mark.parametrize("key", BUSY)
+def test_queries_run_where_every_area_has_an_event_every_week(spark, busy, key):
+    rows, same = BUSY[key]
+    found = QUERIES[key](spark, busy).collect()
+    assert len(found) == rows and all(x[c] == v for x in found for c, v in same.items())
