@@ -222,6 +222,7 @@ BUSY = {
     "M17_horizon_experiment": (15, {"base_rate": 1.0, "brier": 0.0}),
     "M18_delay_experiment": (15, {"base_rate": 1.0, "brier": 0.0}),
     "M19_under_reporting_experiment": (10, {"base_rate": 1.0, "brier": 0.0}),
+    "M20_calibration_schemes": (5, {"base_rate": 1.0, "brier": 0.0}),
 }
 
 
