@@ -221,6 +221,7 @@ def busy(spark, sf, tmp_path_factory):
 BUSY = {
     "M3_logistic": (1300, {"y": 1, "score": 1.0}),
     "M5_calibrated_logistic": (1300, {"y": 1, "score": 1.0}),
+    "M6_forest": (1300, {"y": 1, "score": 1.0}),
     "M17_horizon_experiment": (15, {"base_rate": 1.0, "brier": 0.0}),
     "M18_delay_experiment": (15, {"base_rate": 1.0, "brier": 0.0}),
     "M19_under_reporting_experiment": (10, {"base_rate": 1.0, "brier": 0.0}),
