@@ -222,6 +222,7 @@ BUSY = {
     "M3_logistic": (1300, {"y": 1, "score": 1.0}),
     "M5_calibrated_logistic": (1300, {"y": 1, "score": 1.0}),
     "M6_forest": (1300, {"y": 1, "score": 1.0}),
+    "M8_hurdle": (1300, {}),
     "M17_horizon_experiment": (15, {"base_rate": 1.0, "brier": 0.0}),
     "M18_delay_experiment": (15, {"base_rate": 1.0, "brier": 0.0}),
     "M19_under_reporting_experiment": (10, {"base_rate": 1.0, "brier": 0.0}),
@@ -234,3 +235,5 @@ def test_queries_run_where_every_area_has_an_event_every_week(spark, busy, key):
     rows, same = BUSY[key]
     found = QUERIES[key](spark, busy).collect()
     assert len(found) == rows and all(x[c] == v for x in found for c, v in same.items())
+    if key == "M8_hurdle":
+        assert all(x.severity == x.expected and abs(x.severity - x.events) < 0.2 for x in found)
